@@ -34,9 +34,23 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.exact_dedup import exact_dedup
+
+    return exact_dedup(_documents(spark, sf_dir))
+
+
+OP9_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
+WINDOW same AS (PARTITION BY norm)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_exact_dedup": OP9_SQL}

@@ -330,12 +330,13 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         counter = None
         for batch in batches:
             counter = counter or TokenCounter(vocabulary)
             ids, texts = batch.column(0), batch.column(1)
-            size = np.asarray(pa.compute.binary_length(texts), np.int64) if len(ids) else np.zeros(0, np.int64)
+            size = np.asarray(pc.binary_length(texts), np.int64) if len(ids) else np.zeros(0, np.int64)
             out, begin = np.zeros(len(ids), np.int64), 0
             edge = np.cumsum(size)
             while begin < len(ids):  # about 4 MB of text at once
