@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,12 +29,39 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def crc_part(parts: int):
+    """Remainder of the CRC-32 of an id's text."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import langid
+
+    docs = _documents(spark, sf_dir)
+    model = langid.train(docs, crc_part(4) != 2)
+    return langid.predict(docs, model).select("doc_id", (crc_part(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import toxicity
+
+    docs = _documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), crc_part(5) != 0)
+    return toxicity.score(docs, model).select("doc_id", (crc_part(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.bpe import encode_digests
 
     return encode_digests(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.decontam import find_items
+
+    return find_items(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.exact_dedup import exact_dedup
 
