@@ -89,7 +89,7 @@ class PieceIndex:
                 continue
             self.items[key], self.errors[key] = item, budget(len(text), rate)
             if self.errors[key] == 0:
-                places.setdefault(f" {text} ", []).append((key, 1))
+                places.setdefault(f" {text} ", []).append((key, -1))
             else:
                 for offset, piece in pieces(text, self.errors[key]):
                     places.setdefault(piece, []).append((key, offset))

@@ -62,6 +62,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.jaccard_join import jaccard_join
+
+    return jaccard_join(_documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.exact_dedup import exact_dedup
 
