@@ -62,12 +62,16 @@ def shingle_set(words: np.ndarray, k: int = 5) -> np.ndarray:
     return np.unique(windows(words, min(k, len(words))))
 
 
-def with_texts(docs: DataFrame, ids: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """Rows of ids (doc_id, ...) with the text of one row of that doc_id each.
+def with_texts(docs: DataFrame, ids: DataFrame, *, id_col: str, text_col: str, wide: bool = False) -> DataFrame:
+    """Rows of ids (doc_id, ...) with the text of that doc_id, null as empty; ids identify texts.
 
-    ids is broadcast if it has at most BROADCAST_ROWS rows; the texts then stay where
-    they are read. Beyond that both sides are shuffled by doc_id.
+    If ids has at most BROADCAST_ROWS rows it is broadcast (wide: only its doc_ids are),
+    and no other texts are shuffled; beyond that both sides are, by doc_id.
     """
     small = ids.count() <= BROADCAST_ROWS
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(ids) if small else ids, "doc_id")
+    if not small:
+        return texts.join(ids, "doc_id")
+    if not wide:
+        return texts.join(F.broadcast(ids), "doc_id")
+    return texts.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").join(ids, "doc_id")
