@@ -50,6 +50,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (crc_part(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.licenses import find_licenses
+
+    return find_licenses(_documents(spark, sf_dir))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm import pii
+
+    return pii.summary(pii.find_pii(_documents(spark, sf_dir)))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.bpe import encode_digests
 
