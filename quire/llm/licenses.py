@@ -87,6 +87,10 @@ def _with_shingles(rows: DataFrame) -> DataFrame:
     return rows.withColumn("shingles", F.transform(F.sequence(F.lit(1), F.size("words") - WORDS + 1), lambda i: F.array_join(F.slice("words", i, WORDS), " ")))
 
 
+# explode_outer below: for a plain explode, Spark infers a filter on the array's size and pushes it,
+# with all that makes the array, under the projections that compute it once.
+
+
 def _with_bands(rows: DataFrame) -> DataFrame:
     """rows (shingles, ...) with bands: the distinct minhash values of all windows; a value tells its band."""
     rows = rows.withColumn("hashes", F.transform("shingles", lambda s: F.xxhash64(s)))
@@ -115,12 +119,12 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, *, t
     screen = "|".join(sorted(set(screen_words(templates, threshold))))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.filter(F.lower("text").rlike(rf"(?<![\p{{L}}\p{{N}}_])(?:{screen})(?![\p{{L}}\p{{N}}_])"))
-    windowed = _with_bands(_with_shingles(rows.select("doc_id", word_array(F.col("text")).alias("words")))).select("doc_id", F.explode("bands").alias("band"))
-    index = _with_bands(known).select("license_id", F.explode("bands").alias("band"))
+    windowed = _with_bands(_with_shingles(rows.select("doc_id", word_array(F.col("text")).alias("words")))).select("doc_id", F.explode_outer("bands").alias("band"))
+    index = _with_bands(known).select("license_id", F.explode_outer("bands").alias("band"))
     retrieved = windowed.join(F.broadcast(index), "band").select("doc_id", "license_id").distinct()
     texts = with_texts(docs, retrieved.groupBy("doc_id").agg(F.collect_set("license_id").alias("retrieved")), id_col=id_col, text_col=text_col)  # a text's licenses
-    verify = _with_shingles(texts.select("doc_id", "retrieved", word_array(F.col("text")).alias("words"))).select("doc_id", "shingles", F.explode("retrieved").alias("license_id"))
+    verify = _with_shingles(texts.select("doc_id", "retrieved", word_array(F.col("text")).alias("words"))).select("doc_id", "shingles", F.explode_outer("retrieved").alias("license_id"))
     pairs = verify.join(F.broadcast(known.select("license_id", "wanted")), "license_id").withColumn("common", F.array_intersect("wanted", "shingles"))
     pairs = pairs.withColumn("containment", F.size("common") / F.size("wanted")).filter(F.col("containment") >= threshold)
-    pairs = pairs.withColumn("places", F.filter(F.transform("shingles", lambda s, i: F.when(F.array_contains("common", s), i)), lambda i: i.isNotNull()))
-    return pairs.select("doc_id", "license_id", "containment", F.array_min("places").alias("start_word"), (F.array_max("places") + WORDS).alias("end_word"))
+    places = F.transform("common", lambda s: F.array_position("shingles", s))
+    return pairs.select("doc_id", "license_id", "containment", (F.array_min(places) - 1).cast("int").alias("start_word"), (F.array_max(places) - 1 + WORDS).cast("int").alias("end_word"))

@@ -202,7 +202,7 @@ def train(rows: DataFrame) -> dict[str, tuple[float, dict[str, dict[str, float]]
     parts = []
     for kind in CANDIDATES:
         t, b = F.col("s.text"), F.col("s.before")
-        one = found.select(F.explode(kind).alias("s"))
+        one = found.select(F.explode_outer(kind).alias("s")).filter("s is not null")  # no filter on the array's size, which would be pushed below and search twice
         parts.append(one.select(F.lit(kind).alias("kind"), _votes(kind, t, b).alias("votes"), F.concat_ws("|", *(f(t, b) for f in FEATURES.values())).alias("features")))
     every = parts[0].unionByName(parts[1]).unionByName(parts[2])
     counts = every.groupBy("kind", "votes", "features").count().collect()  # labelers and features have few values each
