@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-_MODULES: list[str] = []
+_MODULES: list[str] = ["quire.plans.chapter_queries"]
 
 
 def queries() -> dict[str, Callable]:
