@@ -129,7 +129,7 @@ KEY = ["seed", "right_ctx", "left_ctx"]
 
 
 def _extend(members: DataFrame, docs: DataFrame, *, length: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """KEY, off: repeated windows around seeds of several classes, off words before the seed.
+    """KEY, offs: repeated windows around seeds of several classes, a bit for each number of words before the seed.
 
     members: KEY, one suffix (doc_id, pos) of each class, the least and largest id of its rows.
     """
@@ -159,20 +159,22 @@ def _extend(members: DataFrame, docs: DataFrame, *, length: int, seed: int, id_c
     texts = with_texts(docs, wanted, id_col=id_col, text_col=text_col, wide=True)
     found = persist_table(texts.select("text", "at").mapInArrow(run, f"window long, off int, seed long, right_ctx long, left_ctx long, lo {ids}, hi {ids}"), "windows")
     shared = found.groupBy("window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("window")
-    return found.select("window", "off", *KEY).join(shared, "window").select(*KEY, "off").distinct()
+    return found.select("window", "off", *KEY).join(shared, "window").groupBy(*KEY).agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("offs"))
 
 
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, end (in words, end exclusive), n_words: the repeated passages of each text, a row each."""
     slack = length - seed
+    if not 0 <= slack < 63:
+        raise ValueError("a passage may be up to 62 words longer than its seed")
     kept = persist_table(suffixes(docs, length=length, seed=seed, id_col=id_col, text_col=text_col), "suffixes")
     near = persist_table(neighbours(kept), "near")
     one = F.struct("doc_id", "pos")
     classes = persist_table(near.groupBy(*KEY).agg(F.min_by(one, one).alias("one"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "classes")
     several = classes.groupBy("seed").agg(F.count(F.lit(1)).alias("classes"), F.min("lo").alias("least"), F.max("hi").alias("most")).filter("classes > 1 and least <> most").select("seed")
     members = classes.join(several, "seed").select(*KEY, "one.doc_id", "one.pos", "lo", "hi")
-    offsets = _extend(members, docs, length=length, seed=seed, id_col=id_col, text_col=text_col).groupBy(*KEY).agg(F.array_sort(F.collect_set("off")).alias("offs"))  # at most slack + 1
-    whole = F.sequence(F.lit(0), F.lit(slack))
+    offsets = _extend(members, docs, length=length, seed=seed, id_col=id_col, text_col=text_col)
+    whole = F.lit((1 << slack + 1) - 1).cast("long")
     reach = classes.select(*KEY, (F.col("lo") != F.col("hi")).alias("same")).join(offsets, KEY, "left").select(*KEY, F.when(F.col("same"), whole).otherwise(F.col("offs")).alias("offs")).filter("offs is not null")
     rows = near.join(reach, KEY).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "room", "offs")).alias("at"))  # suffixes of one text
 
@@ -183,7 +185,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, seed: int = SEED, i
             ids, begins, ends = [], [], []
             for i, at in zip(batch.column("doc_id").to_pylist(), batch.column("at").to_pylist(), strict=True):
                 end = -1
-                for start in sorted({s["pos"] - o for s in at for o in s["offs"] if slack - s["room"] <= o <= s["pos"]}):
+                for start in sorted({s["pos"] - o for s in at for o in range(max(0, slack - s["room"]), min(slack, s["pos"]) + 1) if s["offs"] >> o & 1}):
                     if start > end:
                         ids.append(i)
                         begins.append(start)
