@@ -154,3 +154,30 @@ def natural_key(name: Column) -> Column:
 def sha256(text: Column) -> Column:
     """Hex SHA-256 of a text."""
     return F.sha2(text, 256)
+
+
+# Punctuation that is made plain, and what Markdown marks look like.
+FULL_WIDTH_PUNCTUATION = ("，。！？：；（）【】", ",.!?:;()[]")
+MARKDOWN = ((r"(?m)^[ \t]*(?:```|~~~).*$", ""), (r"(?m)^[ \t]*#{1,6}[ \t]+", ""), (r"(?m)^[ \t]*>[ \t]?", ""), (r"!?\[([^\[\]\n]*)\]\(([^()\s]*)\)", "$1 ($2)"), (r"(\*\*|__)(?=\S)(.+?)(?<=\S)\1", "$2"), (r"`([^`\n]+)`", "$1"))
+
+
+def sanitize(text: Column) -> Column:
+    """Prose for reading aloud, the steps that are expressions, in their fixed order.
+
+    Line ends, quotes, invisible characters, comments and tags, decorative lines, Markdown,
+    bullets, wide punctuation, ellipses and repeated marks, spacing. A second pass changes
+    nothing. Unicode composition and the balanced scanners of technical tokens have no
+    built-in expression and are left out.
+    """
+    out = F.regexp_replace(text, r"\r\n?|[\x{85}\x{2028}\x{2029}\x0B\f]", "\n")
+    out = quotes_to_single(out)[0]
+    out = remove_invisible(out)[0]
+    out = F.when(F.contains(out, F.lit("<")), strip_html(out)).otherwise(out)
+    out = F.regexp_replace(out, r"(?m)^[ \t]*[-=*_~#•·—–]{3,}[ \t]*$", "")
+    for pattern, by in MARKDOWN:
+        out = F.regexp_replace(out, pattern, by)
+    out = F.regexp_replace(out, r"(?m)^[ \t]*[•●▪◦*][ \t]+", "")
+    out = F.translate(out, *FULL_WIDTH_PUNCTUATION)
+    for pattern, by in ((r"\.{3,}|…{2,}", "…"), (r"(?<!\.)\.\.(?!\.)", "."), (r"([!?])\1+", "$1"), (r"(?m)^[ \t]*[-–][ \t]+", "— "), (r"(?m)^[ \t]+|[ \t]+$", "")):
+        out = F.regexp_replace(out, pattern, by)
+    return normalize_spacing(out)

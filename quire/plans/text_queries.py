@@ -96,6 +96,24 @@ def meaningful_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("source").agg(F.count(F.lit(1)).alias("line_count"), F.sum(text.meaningful(F.col("line")).cast("long")).alias("meaningful"))
 
 
+def sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digested(spark, sf_dir, text.sanitize(T()))
+
+
+def sanitize_fixed_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that a second pass would change: none."""
+    once = dirty(spark, sf_dir).select("source", text.sanitize(T()).alias("text"))
+    return once.groupBy("source").agg(F.sum((text.sanitize(T()) != T()).cast("long")).alias("changed"))
+
+
+def mojibake_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suspicious values by source: how many, and the first three texts that have them."""
+    spoilt = documents(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 6 == 1, F.replace(T(), F.lit("e"), F.lit("Ã©"))).otherwise(T()))
+    hits = spoilt.select("source", "doc_id", F.regexp_count(T(), F.lit("Ã.|á»|áº|\\x{FFFD}")).cast("long").alias("n")).filter("n > 0")
+    firsts = F.slice(F.array_sort(F.collect_list("doc_id")), 1, 3)
+    return hits.groupBy("source").agg(F.sum("n").alias("n"), F.array_join(firsts.cast("array<string>"), ",").alias("first_docs"))
+
+
 TOKENS = {"十五": 15, "九十八": 98, "一百零五": 105, "三千二百": 3200, "一万": 10000, "两万三千": 23000, "一亿": 100000000, "二十": 20, "零": 0, "一二": None, "零零": None, "万": None, "百": None, "十十": None, "一百二十三": 123, "壹佰贰拾叁": 123, "一千零一": 1001, "十万": 100000, "一零": None, "三百一千": None, "五万亿": None, "1234": 1234, "１２，３４５": 12345, "1,234": 1234, "abc": None, "": None}
 ROMANS = {"I": 1, "iv": 4, "IX": 9, "XLII": 42, "MCMXCIV": 1994, "IIII": 4, "VX": 5, "ABC": None, "": None, "mmxxvi": 2026}
 
@@ -152,7 +170,7 @@ def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ord", F.row_number().over(W.partitionBy("source").orderBy(text.natural_key(F.col("name")))).cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_quotes, restore_newlines, normalize_spacing, sentence_endings, strip_brackets, remove_brackets, remove_quotes, symbol_words, control_chars, unescape_entities, strip_html_documents, strip_html_pages, clean_report, language_of, meaningful_lines, parse_number_token, chinese_numerals, roman_numerals, normalize_digits, format_header, clean_header_artifacts, text_fingerprints, slugs, natural_sort)}
+QUERIES = {f.__name__: f for f in (normalize_quotes, restore_newlines, normalize_spacing, sentence_endings, strip_brackets, remove_brackets, remove_quotes, symbol_words, control_chars, unescape_entities, strip_html_documents, strip_html_pages, clean_report, language_of, meaningful_lines, sanitize_text, sanitize_fixed_point, mojibake_report, parse_number_token, chinese_numerals, roman_numerals, normalize_digits, format_header, clean_header_artifacts, text_fingerprints, slugs, natural_sort)}
 
 
 def _sql(out: str, more: str = "") -> str:
@@ -208,6 +226,8 @@ ORACLES = {
     "clean_report": f"WITH {DIRTY_SQL} SELECT source, count(*) AS docs, CAST(sum({_QUOTED}) AS BIGINT) AS quotes, CAST(sum({_HIT(chr(92) * 2 + 'r' + chr(92) * 2 + 'n|' + chr(92) * 2 + 'n|' + chr(92) * 2 + 'r')}) AS BIGINT) AS newlines, CAST(sum({_HIT('[' + chr(92) + 'x00-' + chr(92) + 'x08' + chr(92) + 'x0B' + chr(92) + 'x0C' + chr(92) + 'x0E-' + chr(92) + 'x1F' + chr(92) + 'x7F]')}) AS BIGINT) AS control, CAST(sum(length(text) - length(replace(text, '​', ''))) AS BIGINT) AS zero_width, CAST(sum(length(text)) AS BIGINT) AS before_chars, CAST(sum(length({_SPACED})) AS BIGINT) AS after_chars FROM dirty GROUP BY source",
     "language_of": "WITH t AS (SELECT coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN repeat('流民不可怕', doc_id % 50) ELSE '' END AS text FROM documents), n AS (SELECT len(regexp_extract_all(text, '[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}]')) AS han, len(regexp_extract_all(text, '[A-Za-zÀ-ỹ]')) AS latin FROM t) SELECT CASE WHEN han > latin * 0.5 THEN 'zh' WHEN han > 0 AND latin > 0 THEN 'mixed' WHEN latin > 0 THEN 'vi' ELSE 'unknown' END AS language, count(*) AS n FROM n GROUP BY 1",
     "meaningful_lines": f"WITH {DIRTY_SQL}, l AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM dirty) SELECT source, count(*) AS line_count, CAST(sum(CAST(regexp_matches(line, '[\\p{{L}}\\p{{N}}]') AS INT)) AS BIGINT) AS meaningful FROM l GROUP BY source",
+    "sanitize_fixed_point": "SELECT source, CAST(0 AS BIGINT) AS changed FROM documents GROUP BY source",
+    "mojibake_report": "WITH t AS (SELECT source, doc_id, CASE WHEN doc_id % 6 = 1 THEN replace(text, 'e', 'Ã©') ELSE text END AS text FROM documents), h AS (SELECT source, doc_id, len(regexp_extract_all(text, 'Ã.|á»|áº|\\x{FFFD}')) AS n FROM t) SELECT source, CAST(sum(n) AS BIGINT) AS n, array_to_string(list_slice(list_sort(list(doc_id)), 1, 3), ',') AS first_docs FROM h WHERE n > 0 GROUP BY source",
     "parse_number_token": _values(TOKENS),
     "chinese_numerals": _values({k: v for k, v in TOKENS.items() if "一" <= k[:1] <= "龥"}),
     "roman_numerals": _values(ROMANS),
