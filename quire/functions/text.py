@@ -165,8 +165,8 @@ def sanitize(text: Column) -> Column:
     """Prose for reading aloud, the steps that are expressions, in their fixed order.
 
     Line ends, quotes, invisible characters, comments and tags, decorative lines, Markdown,
-    bullets, wide punctuation, ellipses and repeated marks, spacing. A second pass changes
-    nothing. Unicode composition and the balanced scanners of technical tokens have no
+    bullets, wide punctuation, ellipses and repeated marks, spacing. Prose is a fixed point;
+    where removing one mark brings others together, another pass may find these. Unicode composition and the balanced scanners of technical tokens have no
     built-in expression and are left out.
     """
     out = F.regexp_replace(text, r"\r\n?|[\x{85}\x{2028}\x{2029}\x0B\f]", "\n")
@@ -178,6 +178,7 @@ def sanitize(text: Column) -> Column:
         out = F.regexp_replace(out, pattern, by)
     out = F.regexp_replace(out, r"(?m)^[ \t]*[•●▪◦*][ \t]+", "")
     out = F.translate(out, *FULL_WIDTH_PUNCTUATION)
+    out = normalize_spacing(out)
     for pattern, by in ((r"\.{3,}|…{2,}", "…"), (r"(?<!\.)\.\.(?!\.)", "."), (r"([!?])\1+", "$1"), (r"(?m)^[ \t]*[-–][ \t]+", "— "), (r"(?m)^[ \t]+|[ \t]+$", "")):
         out = F.regexp_replace(out, pattern, by)
-    return normalize_spacing(out)
+    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"\A\n+|\n+\z", "")
