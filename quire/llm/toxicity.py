@@ -136,7 +136,10 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, *, per_label: in
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(used, pa.list_(pa.int32())), batch.column(2)], ["doc_id", "used", "y"])
 
     table = picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, used array<int>, y int").toArrow().sort_by("doc_id")
-    rows = [np.array(r.as_py() or [], np.int64) for r in table["used"]]
+    lists = table["used"].combine_chunks()  # as flat arrays: lists of Python numbers would take the driver's memory
+    flat, edge = lists.values.to_numpy(), lists.offsets.to_numpy()
+    often = np.bincount(flat, minlength=1 << BITS) >= 5
+    rows = [own[often[own]] for own in (flat[edge[i] : edge[i + 1]] for i in range(len(lists)))]
     y = np.array(table["y"].to_pylist(), float)
     weight = np.where(y == 1, 1 / share.get(1, 1.0), 1 / share.get(0, 1.0))
     return train_fm(rows, y, weight / weight.mean() if len(y) else weight)
