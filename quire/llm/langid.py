@@ -197,10 +197,11 @@ def train(docs: DataFrame, training: Column, *, per_label: int = 1500, id_col: s
                     tf.append(got[1])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.string()), pa.array(used, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.float32()))], ["doc_id", "label", "used", "tf"])
 
-    picked = sample.mapInArrow(run, "doc_id long, label string, used array<int>, tf array<float>").toArrow().to_pylist()
-    picked.sort(key=lambda r: (r["doc_id"], r["label"]))
-    data = [(np.array(r["used"], np.int32), np.array(r["tf"], np.float32)) for r in picked]
-    y = np.array([labels.index(r["label"]) for r in picked], int)
+    picked = sample.mapInArrow(run, "doc_id long, label string, used array<int>, tf array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    lists = [picked[c].combine_chunks() for c in ("used", "tf")]  # as flat arrays: lists of Python numbers would take the driver's memory
+    flat, edge = [x.values.to_numpy() for x in lists], lists[0].offsets.to_numpy()
+    data = [(flat[0][a:b], flat[1][a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    y = np.array([labels.index(label) for label in picked["label"].to_pylist()], int)
     left_out = np.arange(len(y)) % 5 == 4
     model = train_ftrl([d for d, out in zip(data, left_out, strict=True) if not out], y[~left_out], labels, idf)
     model.temperature = fit_temperature(model, [d for d, out in zip(data, left_out, strict=True) if out], y[left_out])
