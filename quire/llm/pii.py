@@ -28,9 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: kind -> (cheap test that a match needs, pattern). Possessive forms of the given patterns: the
-#: same matches, without backtracking; starts within a run that has failed are skipped.
+#: same matches, without backtracking; starts within a run that has failed are skipped. Classes
+#: are written with as few ranges as can be, since each is a predicate of its own in Java's matcher.
 BASE = {
-    "email": ("@", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
+    "email": ("@", r"(?:\G|(?<![\w.%+-]))[\w.%+-]++@[\p{Alnum}-]++(?:\.[\p{Alnum}-]++)++"),
     "ip": (r"[0-9]\.[0-9]", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
     "card": (r"[0-9][\x20-]?[0-9]", r"[0-9](?:[\x20-]?[0-9]){11,}+"),
     "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
@@ -39,7 +40,7 @@ KINDS = [*BASE, "secret", "person", "number"]
 
 #: Candidates of added kinds.
 CANDIDATES = {
-    "secret": r"(?<![A-Za-z0-9_/+.@-])(?=[A-Za-z_/+-]*[0-9])[A-Za-z0-9_/+-]{12,}+(?![@.])",
+    "secret": r"(?<![\w/+.@-])(?=[\p{Alpha}_/+-]*[0-9])[\w/+-]{12,}+(?![@.])",
     "person": r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}{2,}+(?:\x20\p{Lu}\p{Ll}{2,}+){1,2}+(?![\p{L}\p{N}])",
     "number": r"(?<![0-9A-Za-z+.-])[0-9]{3}[-.\x20][0-9]{2,4}[-.\x20][0-9]{4}(?![0-9A-Za-z-])",
 }
