@@ -3,20 +3,24 @@
 Each text is the set of its runs of five words; texts with the same set are one class,
 represented by its least id. A set is embedded as SIZE minhash values, so that the share
 of equal values estimates the Jaccard similarity. In each of several runs every set
-walks down a random forest: at a node (a path) it takes each of its values with
-probability 1 / (threshold * SIZE), decided by a hash of path and value, so that similar
-sets take the same ones; sets that took the same value at the same node share a child.
-Children of one set end there; small ones are compared by brute force on the embedding;
-large ones lose the close surroundings of a pivot (with links to the pivot) and are
-split again. The number of runs follows from the target recall.
+walks down a random forest: at a node (a path) it takes each of its values that isn't on
+the path yet, decided by a hash of path and value, so that similar sets take the same
+ones: a pair at the threshold takes one common value on average at the root, BRANCH below
+it. Sets that took the same value at the same node share a child. Children of one set end
+there; small ones are compared by brute force on the embedding; large ones lose the close
+surroundings of a pivot. Sets with a link to the pivot are in one group, so what is left
+to find has a side that is far from the pivot: it is found by brute force in pairs of
+bounded blocks where that takes at most FINISH^2 comparisons or the node is at DEPTH;
+else the node is split again. So no pair of a node is dropped, at whatever level. The
+number of runs follows from the target recall for pairs that meet at DEPTH only.
 
 The links found that way join sets into candidate groups, with a margin for the error
 of the estimate. Within each group the whole texts are read again and every pair's exact
 similarity is computed, in blocks of bounded size, of which each sends on a row per set
 (number of links, and a link to the least set it reaches), never a row per pair.
 
-Skew: a class is one row however many copies it has; a large node is split by pivots and
-deeper paths; a large group is dealt into pairs of blocks. The work on a group of
+Skew: a class is one row however many copies it has; a large node is split by pivots,
+deeper paths and pairs of blocks; a large group is dealt into pairs of blocks. The work on a group of
 n different but mutually similar texts remains quadratic in n (the number of links is),
 but it is spread over n^2 / BLOCK^2 tasks.
 
@@ -42,15 +46,43 @@ from quire.session import persist_table
 SIZE = 64
 #: Sets that are compared by brute force at a node; texts in one block of exact comparison.
 LEAF, BLOCK = 48, 192
+#: Levels of splits; nodes that are still large then are finished by brute force.
 DEPTH = 6
+#: Common values that a pair at the threshold takes on average at a node below the root.
+BRANCH = 2
+#: A large node is split if it takes more than FINISH^2 comparisons; sets in one block of them.
+FINISH, NODE_BLOCK = 2048, 512
 
 
-def runs_for(recall: float) -> int:
-    """Runs after which a pair at the threshold has met with the given probability.
+def margin_for(threshold: float) -> float:
+    """Four standard deviations of the estimate of a similarity at the threshold."""
+    return 4 * math.sqrt(threshold * (1 - threshold) / SIZE)
 
-    In one run, it takes a common value with probability 1 - 1/e at least.
+
+def odds_at(level: int, threshold: float) -> float:
+    """Probability with which a set takes one of its SIZE - level values that aren't on the path."""
+    return min(1.0, (BRANCH if level else 1) / max(threshold * SIZE - level, 1e-9))
+
+
+def runs_for(recall: float, threshold: float = 0.8, depth: int = DEPTH) -> int:
+    """Runs after which a pair at the threshold has met at the given depth with the given probability.
+
+    Pairs that meet higher up have met more often. The number of the pair's equal values is
+    binomial; the mean is taken over those whose estimate is within margin_for, as others
+    aren't linked anyway (0.013 % at 0.8).
     """
-    return math.ceil(math.log(1 - recall) / -1)
+    least = (threshold - margin_for(threshold)) * SIZE
+    missed = []
+    for equal in range(SIZE + 1):
+        met = 1.0
+        for level in range(depth, -1, -1):
+            met = 1 - (1 - odds_at(level, threshold) * met) ** max(equal - level, 0)
+        if equal and equal >= least:
+            missed.append((math.comb(SIZE, equal) * threshold**equal * (1 - threshold) ** (SIZE - equal), 1 - met))
+    runs, every = 1, sum(p for p, _ in missed)
+    while sum(p * m**runs for p, m in missed) > (1 - recall) * every:
+        runs += 1
+    return runs
 
 
 def _seeds(n: int, salt: int) -> np.ndarray:
@@ -99,9 +131,12 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SIZE)
 
 
-def take_paths(sets: DataFrame, runs: int | None, threshold: float) -> DataFrame:
-    """path, rep: the children that each set goes to, from the root of each run, or (runs None) from its own path."""
-    odds = np.uint64(min(1.0, 1 / (threshold * SIZE)) * 2**32)
+def take_paths(sets: DataFrame, runs: int | None, threshold: float, level: int = 0) -> DataFrame:
+    """path, used, rep: the children that each set goes to, from the root of each run, or (runs None) from its own path at level - 1.
+
+    used: the positions of the values on the path, as bits.
+    """
+    odds = np.uint64(odds_at(level, threshold) * 2**32)
     seeds = [None] if runs is None else list(_seeds(runs, 17))
 
     def run(batches: Iterator) -> Iterator:
@@ -110,18 +145,21 @@ def take_paths(sets: DataFrame, runs: int | None, threshold: float) -> DataFrame
         for batch in batches:
             values = _matrix(batch.column("values")).astype(np.uint64)
             tagged = mixed(values + (np.arange(SIZE, dtype=np.uint64) << np.uint64(32)))
-            reps, paths, outs = batch.column("rep").to_numpy(), [], []
+            reps, paths, masks, outs = batch.column("rep").to_numpy(), [], [], []
+            bits = np.uint64(1) << np.arange(SIZE, dtype=np.uint64)
+            used = np.zeros(len(reps), np.uint64) if runs else np.asarray(batch.column("used")).astype(np.int64).view(np.uint64)
+            free = (used[:, None] & bits) == 0
             for seed in seeds:
                 above = np.asarray(batch.column("path")).astype(np.int64).view(np.uint64)[:, None] if seed is None else seed
                 with np.errstate(over="ignore"):
                     h = mixed(tagged * np.uint64(0xD6E8FEB86659FD93) + above)
-                row, at = np.nonzero((h & np.uint64(0xFFFFFFFF)) < odds)
+                row, at = np.nonzero(((h & np.uint64(0xFFFFFFFF)) < odds) & free)
                 paths.append(h[row, at].view(np.int64))
+                masks.append((used[row] | bits[at]).view(np.int64))
                 outs.append(reps[row])
-            path = np.concatenate(paths) if paths else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(path, pa.int64()), pa.array(np.concatenate(outs), batch.schema.field("rep").type)], ["path", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths), pa.int64()), pa.array(np.concatenate(masks), pa.int64()), pa.array(np.concatenate(outs), batch.schema.field("rep").type)], ["path", "used", "rep"])
 
-    return sets.mapInArrow(run, f"path long, rep {sets.schema['rep'].dataType.simpleString()}").distinct()
+    return sets.mapInArrow(run, f"path long, used long, rep {sets.schema['rep'].dataType.simpleString()}").distinct()
 
 
 def leaf_links(rows: DataFrame, least: float) -> DataFrame:
@@ -182,7 +220,7 @@ def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def pivot_links(rows: DataFrame, level: int, least: float, core: float) -> DataFrame:
-    """rows (path, rep, values) of large nodes with pivot (where a link leads to it) and stays (whether to go on below)."""
+    """rows (path, used, rep, values) of large nodes with pivot (where a link leads to it) and stays (whether to go on below)."""
     kind = rows.schema["rep"].dataType.simpleString()
     pivots = rows.groupBy("path").agg(F.min_by(F.struct("rep", "values"), F.xxhash64("rep", F.lit(level))).alias("p")).select("path", F.col("p.rep").alias("pivot"), F.col("p.values").alias("pivot_values"))
 
@@ -192,18 +230,58 @@ def pivot_links(rows: DataFrame, level: int, least: float, core: float) -> DataF
         for batch in batches:
             same = (_matrix(batch.column("values")) == _matrix(batch.column("pivot_values"))).sum(axis=1) / SIZE if len(batch) else np.zeros(0)
             pivot = pa.array(batch.column("pivot").to_numpy(), batch.schema.field("pivot").type, mask=same < least)
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("rep"), batch.column("values"), pivot, pa.array(same < core)], ["path", "rep", "values", "pivot", "stays"])
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("used"), batch.column("rep"), batch.column("values"), pivot, pa.array(same < core)], ["path", "used", "rep", "values", "pivot", "stays"])
+
+    return rows.join(pivots, "path").mapInArrow(run, f"path long, used long, rep {kind}, values binary, pivot {kind}, stays boolean")
 
-    return rows.join(pivots, "path").mapInArrow(run, f"path long, rep {kind}, values binary, pivot {kind}, stays boolean")
+
+def block_links(rows: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) within nodes of any size of rows (path, rep, values, far, size, n_far), between sets of which one is far at least.
+
+    Far sets are dealt into blocks of about NODE_BLOCK and so are the others (of a small node
+    all into one); each pair of blocks with far sets is a task's unit. Links are reduced as in leaf_links.
+    """
+    small = F.col("size") <= NODE_BLOCK
+    far_blocks = F.when(small, 1).otherwise(F.ceil(F.col("n_far") / NODE_BLOCK)).cast("int")
+    near_blocks = F.when(small, 0).otherwise(F.ceil((F.col("size") - F.col("n_far")) / NODE_BLOCK)).cast("int")
+    dealt = F.xxhash64("rep", F.lit(29))
+    own = F.when(small, 0).when(F.col("far"), F.pmod(dealt, F.col("far_blocks"))).otherwise(F.col("far_blocks") + F.pmod(dealt, F.col("near_blocks"))).cast("int")
+    rows = rows.withColumn("far_blocks", far_blocks).withColumn("near_blocks", near_blocks).withColumn("own", own)
+    last = F.col("far_blocks") - 1 + F.when(F.col("far"), F.col("near_blocks")).otherwise(0)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.select("path", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "far", "rep", "values")
+    kind = rows.schema["rep"].dataType.simpleString()
+
+    def compare(unit: pd.DataFrame) -> pd.DataFrame:
+        unit = unit.sort_values("rep", kind="stable")
+        values = np.frombuffer(b"".join(unit["values"]), np.uint32).reshape(-1, SIZE)
+        far, own, reps = unit["far"].to_numpy(bool), unit["own"].to_numpy(), unit["rep"].to_numpy()
+        crossed = unit["i"].iloc[0] != unit["j"].iloc[0]
+        one = np.flatnonzero(far & (own == own.min()))
+        two = np.flatnonzero(own != own.min()) if crossed else np.arange(len(reps))
+        left, right = [], []
+        for begin in range(0, len(one), 256):
+            at = one[begin : begin + 256]
+            same = np.zeros((len(at), len(two)), np.uint8)
+            for k in range(SIZE):
+                same += values[at, k][:, None] == values[two, k]
+            a, b = np.nonzero(same >= least * SIZE)
+            left.append(at[a])
+            right.append(two[b])
+        label = _least_labels(len(reps), *(np.concatenate(x) if x else np.zeros(0, int) for x in (left, right)))
+        moved = np.flatnonzero(label != np.arange(len(reps)))
+        return pd.DataFrame({"a": reps[moved], "b": reps[label[moved]]})
+
+    return rows.groupBy("path", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
 
 
 def candidate_links(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
     """Links (a, b) between sets (rep, values) whose estimated similarity is near the threshold or above."""
-    margin = 4 * math.sqrt(threshold * (1 - threshold) / SIZE)
+    margin = margin_for(threshold)
     least = threshold - margin
     #: Sets so close to a pivot that whatever they link with links with the pivot as well.
     core, wide = 1 - (1 - threshold) / 4, max(0.0, 1 - (1 - threshold) * 1.25 - 1.5 * margin)
-    paths, out = take_paths(reps, runs_for(recall), threshold), None
+    paths, out = take_paths(reps, runs_for(recall, threshold), threshold), None
     for level in range(DEPTH + 1):
         paths = persist_table(paths, "paths")
         size = paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -211,14 +289,20 @@ def candidate_links(reps: DataFrame, threshold: float, recall: float) -> DataFra
         rows = persist_table(rows, "nodes") if level == 0 else rows
         links = leaf_links(rows.filter(F.col("size") <= LEAF).select("path", "rep", "values"), least)
         out = links if out is None else out.unionByName(links)
-        large = rows.filter(F.col("size") > LEAF).select("path", "rep", "values")
+        large = rows.filter(F.col("size") > LEAF).select("path", "used", "rep", "values")
         if large.isEmpty():
             break
         split = persist_table(pivot_links(large, level, wide, core), "pivots")
         out = out.unionByName(split.filter("pivot is not null and pivot <> rep").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
-        if level == DEPTH:
+        left = split.filter("stays").withColumn("far", F.col("pivot").isNull())
+        nodes = left.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.count_if("far").alias("n_far")).filter("n_far > 0 and size > 1")
+        left = left.select("path", "used", "rep", "values", "far").join(nodes, "path")
+        ends = F.lit(level == DEPTH) | (F.col("n_far") * F.col("size") <= FINISH * FINISH)
+        out = out.unionByName(block_links(left.filter(ends), least))
+        on = left.filter(~ends)
+        if level == DEPTH or on.isEmpty():
             break
-        paths = take_paths(split.filter("stays").select("path", "rep", "values"), None, threshold)
+        paths = take_paths(on.select("path", "used", "rep", "values"), None, threshold, level + 1)
     return out
 
 

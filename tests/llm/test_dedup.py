@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import components, exact_dedup, jaccard_join, suffix_dedup
 from quire.llm.words import WordHashes, windows
@@ -80,6 +81,30 @@ def test_jaccard_join(docs, empty, texts):
     assert jaccard_join.jaccard_join(empty).count() == 0
 
 
+
+@pytest.mark.parametrize(("depth", "finish"), [(6, 2048), (1, 0)])
+def test_jaccard_join_of_texts_that_share_a_passage(spark, monkeypatch, depth, finish):
+    """Pairs of about 0.8 among thousands of texts with a common passage, finished at the root and at the last level."""
+    monkeypatch.setattr(jaccard_join, "DEPTH", depth)
+    monkeypatch.setattr(jaccard_join, "FINISH", finish, raising=False)
+    rng = np.random.default_rng(6)
+    passage = [f"p{k}" for k in range(40)]
+    rows = {i: [*passage, *(f"w{x}" for x in rng.integers(0, 10**9, rng.integers(30, 90)))] for i in range(2000)}
+    for i in range(200):
+        rows[5000 + i] = [*rows[i][: -len(rows[i]) // 6], f"edit{i}"]
+    sets = [(i, shingles(" ".join(w))) for i, w in rows.items()]
+    links, least = Counter(), {i: i for i in rows}
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            if 9 * len(x & y) >= 4 * (len(x) + len(y)):  # 0.8 of the union
+                links.update((i, j))
+                least[i] = min(least[i], j)
+    assert len(links) > 200
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")
+    got = jaccard_join.jaccard_join(d).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == {i: links[i] for i in rows}
+    assert {r["doc_id"]: r["class_id"] for r in got} == least
+
 def test_deep_paths(spark, texts, monkeypatch):
     """Large nodes: pivots and deeper levels find what brute force finds."""
     monkeypatch.setattr(jaccard_join, "LEAF", 8)
