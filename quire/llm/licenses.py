@@ -14,8 +14,12 @@ verification. The templates' values are broadcast; their number is bounded by th
 templates (MAX_TEMPLATE_WORDS, checked). Texts of retrieved pairs are read again; nothing
 else of them is shuffled.
 
-Defined results: one row per (document, license) found; null texts, and texts or templates
-of fewer than five words, have none. Empty tables give empty results; repeated rows
+A template of fewer than five words is one shingle of its own length: a screen by a regular
+expression that means these words in a row finds all its places, in the pass over the texts,
+without windows or a shuffle. A license can have such a notice beside its template.
+
+Defined results: one row per (document, license) found, of notice and template the template
+where both are met; null texts, and templates without a word, have none. Empty tables give empty results; repeated rows
 repeated ones, as often as the id is in the table.
 """
 
@@ -50,6 +54,9 @@ TEMPLATES = {
     "All-rights-reserved": "Copyright holder. All rights reserved. No part of this work may be reproduced",
 }
 
+#: Notices of fewer than five words, under the license that they stand for.
+NOTICES = {"All-rights-reserved": "All rights reserved."}
+
 
 def _word_list(text: str) -> list[str]:
     return re.findall(r"\w+", text.lower())
@@ -114,7 +121,50 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, *, t
 
     start_word and end_word: from the first to the last shingle of the template in the text, in words.
     """
-    templates = TEMPLATES if templates is None else templates
+    notices = NOTICES if templates is None else {k: v for k, v in templates.items() if 0 < len(_word_list(v)) < WORDS}
+    templates = {k: v for k, v in (TEMPLATES if templates is None else templates).items() if len(_word_list(v)) >= WORDS}
+    short = _find_notices(docs, notices, templates, threshold, id_col, text_col)
+    long = _find_templates(docs, templates, notices, threshold, id_col, text_col)
+    return short if long is None else long if short is None else long.unionByName(short)
+
+
+def _notice_pattern(notice: str) -> str:
+    """A regular expression for the notice's words in a row, in lower-cased text."""
+    return r"(?<![\p{L}\p{N}_])" + r"[^\p{L}\p{N}_]+".join(_word_list(notice)) + r"(?![\p{L}\p{N}_])"
+
+
+def _places(pairs: DataFrame) -> DataFrame:
+    """pairs (shingles, wanted, ...) with common, containment and places of the common shingles."""
+    pairs = pairs.withColumn("common", F.array_intersect("wanted", "shingles")).withColumn("containment", F.size("common") / F.size("wanted"))
+    return pairs.withColumn("places", F.transform("common", lambda s: F.array_position("shingles", s)))
+
+
+def _find_notices(docs: DataFrame, notices: dict[str, str], templates: dict[str, str], threshold: float, id_col: str, text_col: str) -> DataFrame | None:
+    """Rows of find_licenses for texts with a notice; None without notices."""
+    found = None
+    for license_id, notice in notices.items():
+        pattern = _notice_pattern(notice)
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("text")).filter(F.col("text").rlike(pattern))
+        start = F.size(word_array(F.split("text", pattern, 2)[0]))
+        rows = rows.select("doc_id", F.lit(license_id).alias("license_id"), start.alias("at"), word_array(F.col("text")).alias("words"))
+        wanted = sorted({" ".join(w[i : i + WORDS]) for w in [_word_list(templates.get(license_id, ""))] for i in range(len(w) - WORDS + 1)})
+        whole = F.size("words") >= WORDS
+        shingles = F.when(whole, F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - WORDS + 1, F.lit(1))), lambda i: F.array_join(F.slice("words", i, WORDS), " "))).otherwise(F.array().cast("array<string>"))
+        if wanted:
+            rows = _places(rows.withColumn("shingles", shingles).withColumn("wanted", F.array(*map(F.lit, wanted))))
+            met = F.col("containment") >= threshold
+            containment, start, end = F.when(met, F.col("containment")).otherwise(1.0), F.when(met, F.array_min("places") - 1).otherwise(F.col("at")), F.when(met, F.array_max("places") - 1 + WORDS).otherwise(F.col("at") + len(_word_list(notice)))
+        else:
+            containment, start, end = F.lit(1.0), F.col("at"), F.col("at") + len(_word_list(notice))
+        rows = rows.select("doc_id", "license_id", containment.alias("containment"), start.cast("int").alias("start_word"), end.cast("int").alias("end_word"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def _find_templates(docs: DataFrame, templates: dict[str, str], notices: dict[str, str], threshold: float, id_col: str, text_col: str) -> DataFrame | None:
+    """Rows of find_licenses for texts without the license's notice; None without templates but with notices."""
+    if not templates and notices:
+        return None
     known = _with_shingles(template_table(docs.sparkSession, templates)).withColumn("wanted", F.array_distinct("shingles"))
     screen = "|".join(sorted(set(screen_words(templates, threshold))))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -123,8 +173,8 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, *, t
     index = _with_bands(known).select("license_id", F.explode_outer("bands").alias("band"))
     retrieved = windowed.join(F.broadcast(index), "band").select("doc_id", "license_id").distinct()
     texts = with_texts(docs, retrieved.groupBy("doc_id").agg(F.collect_set("license_id").alias("retrieved")), id_col=id_col, text_col=text_col)  # a text's licenses
-    verify = _with_shingles(texts.select("doc_id", "retrieved", word_array(F.col("text")).alias("words"))).select("doc_id", "shingles", F.explode_outer("retrieved").alias("license_id"))
-    pairs = verify.join(F.broadcast(known.select("license_id", "wanted")), "license_id").withColumn("common", F.array_intersect("wanted", "shingles"))
-    pairs = pairs.withColumn("containment", F.size("common") / F.size("wanted")).filter(F.col("containment") >= threshold)
-    places = F.transform("common", lambda s: F.array_position("shingles", s))
-    return pairs.select("doc_id", "license_id", "containment", (F.array_min(places) - 1).cast("int").alias("start_word"), (F.array_max(places) - 1 + WORDS).cast("int").alias("end_word"))
+    both = [F.when(F.lower("text").rlike(_notice_pattern(v)), F.lit(k)) for k, v in notices.items() if k in templates]
+    noticed = F.array_compact(F.array(*both)).cast("array<string>").alias("noticed")  # found by notice
+    verify = _with_shingles(texts.select("doc_id", "retrieved", word_array(F.col("text")).alias("words"), noticed)).select("doc_id", "shingles", "noticed", F.explode_outer("retrieved").alias("license_id"))
+    pairs = _places(verify.filter(~F.array_contains("noticed", F.col("license_id"))).join(F.broadcast(known.select("license_id", "wanted")), "license_id")).filter(F.col("containment") >= threshold)
+    return pairs.select("doc_id", "license_id", "containment", (F.array_min("places") - 1).cast("int").alias("start_word"), (F.array_max("places") - 1 + WORDS).cast("int").alias("end_word"))

@@ -162,6 +162,17 @@ def test_licenses(spark, docs, empty):
     assert licenses.find_licenses(docs).count() == 0 and licenses.find_licenses(empty).count() == 0
 
 
+def test_short_notices(spark):
+    long = licenses.TEMPLATES["All-rights-reserved"]
+    rows = {0: "All rights reserved.", 1: f"{'word ' * 30}\nALL  rights,reserved", 2: "x All rights reserved. Released under the MIT License.", 3: "all rights unreserved", 4: "overall rights reserved", 5: "all rights\tare reserved", 6: f"a {long} b", 7: None, 8: "all rights reserved " * 3}
+    d = spark.createDataFrame([*rows.items(), (0, rows[0])], "doc_id long, text string")
+    got = sorted(tuple(r) for r in licenses.find_licenses(d).collect())
+    name = "All-rights-reserved"
+    assert got == [(0, name, 1.0, 0, 3), (0, name, 1.0, 0, 3), (1, name, 1.0, 30, 33), (2, name, 1.0, 1, 4), (2, "MIT", 1.0, 4, 9), (6, name, 1.0, 1, 14), (8, name, 1.0, 0, 3)]
+    own = licenses.find_licenses(d, {"short": "rights are", "none": "!"}).collect()
+    assert [tuple(r) for r in own] == [(5, "short", 1.0, 1, 3)]
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
