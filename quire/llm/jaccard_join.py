@@ -15,18 +15,21 @@ else the node is split again. So no pair of a node is dropped, at whatever level
 number of runs follows from the target recall for pairs that meet at DEPTH only.
 
 The links found that way join sets into candidate groups, with a margin for the error
-of the estimate. Within each group the whole texts are read again and every pair's exact
-similarity is computed, in blocks of bounded size, of which each sends on a row per set
-(number of links, and a link to the least set it reaches), never a row per pair.
+of the estimate. Within each group the whole texts are read again, once, and every pair's
+exact similarity is computed from the sets of shingle hashes, in blocks of bounded size, of
+which each sends on a row per set (number of links, and a link to the least set it reaches),
+never a row per pair.
 
 Skew: a class is one row however many copies it has; a large node is split by pivots,
-deeper paths and pairs of blocks; a large group is dealt into pairs of blocks. The work on a group of
-n different but mutually similar texts remains quadratic in n (the number of links is),
-but it is spread over n^2 / BLOCK^2 tasks.
+deeper paths and pairs of blocks; a large group is dealt into pairs of blocks. The work on a
+group of n different texts remains quadratic in n, in units of two blocks of bounded size
+each: to count its links where they are similar; where they only seem to be (pairs whose
+estimate is within the margin below the threshold, such as pages of one template at 0.7)
+it is spent without a link. The sets are shuffled n / BLOCK times.
 
 Defined results: texts of one to four words are one shingle; null texts and texts without
-a word link with nothing. Repeated rows are copies of each other. Empty tables give
-empty results.
+a word link with nothing. Repeated rows are copies of each other; an id stands for one text.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -44,14 +47,18 @@ from quire.llm.words import WordHashes, mixed, shingle_set, with_texts
 from quire.session import persist_table
 
 SIZE = 64
-#: Sets that are compared by brute force at a node; texts in one block of exact comparison.
-LEAF, BLOCK = 48, 192
+#: Sets that are compared by brute force at a node.
+LEAF = 48
+#: Sets, and bytes of their shingles, in one block of exact comparison; sets from which an element is counted by matrices.
+BLOCK, BLOCK_BYTES, FEW = 1024, 2 << 20, 48
+#: Rows up to which a table of nodes is broadcast (about 300 bytes each).
+NODES = 50_000
 #: Levels of splits; nodes that are still large then are finished by brute force.
 DEPTH = 6
 #: Common values that a pair at the threshold takes on average at a node below the root.
 BRANCH = 2
 #: A large node is split if it takes more than FINISH^2 comparisons; sets in one block of them.
-FINISH, NODE_BLOCK = 2048, 512
+FINISH, NODE_BLOCK = 4096, 1024
 
 
 def margin_for(threshold: float) -> float:
@@ -219,20 +226,30 @@ def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def pivot_links(rows: DataFrame, level: int, least: float, core: float) -> DataFrame:
-    """rows (path, used, rep, values) of large nodes with pivot (where a link leads to it) and stays (whether to go on below)."""
+def pivot_links(rows: DataFrame, level: int, least: float, core: float, wide: float) -> DataFrame:
+    """rows (path, used, rep, values) of large nodes with pivot and near.
+
+    near: 3 if what links with the set links with the pivot too, 2 if the set is linked to the
+    pivot, 1 if it isn't but might share a link with sets that are 3, 0 otherwise.
+    """
     kind = rows.schema["rep"].dataType.simpleString()
     pivots = rows.groupBy("path").agg(F.min_by(F.struct("rep", "values"), F.xxhash64("rep", F.lit(level))).alias("p")).select("path", F.col("p.rep").alias("pivot"), F.col("p.values").alias("pivot_values"))
+    pivots = persist_table(pivots, "pivots")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             same = (_matrix(batch.column("values")) == _matrix(batch.column("pivot_values"))).sum(axis=1) / SIZE if len(batch) else np.zeros(0)
-            pivot = pa.array(batch.column("pivot").to_numpy(), batch.schema.field("pivot").type, mask=same < least)
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("used"), batch.column("rep"), batch.column("values"), pivot, pa.array(same < core)], ["path", "used", "rep", "values", "pivot", "stays"])
+            near = (same >= core).astype(np.int8) + (same >= least) + (same >= wide)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "used", "rep", "values", "pivot")), pa.array(near.astype(np.int32))], ["path", "used", "rep", "values", "pivot", "near"])
+
+    return rows.join(_if_few(pivots), "path").mapInArrow(run, f"path long, used long, rep {kind}, values binary, pivot {kind}, near int")
 
-    return rows.join(pivots, "path").mapInArrow(run, f"path long, used long, rep {kind}, values binary, pivot {kind}, stays boolean")
+
+def _if_few(nodes: DataFrame) -> DataFrame:
+    """A table of nodes, broadcast if it has at most NODES rows; beyond that, joins shuffle and split skewed partitions."""
+    return F.broadcast(nodes) if nodes.count() <= NODES else nodes
 
 
 def block_links(rows: DataFrame, least: float) -> DataFrame:
@@ -260,11 +277,12 @@ def block_links(rows: DataFrame, least: float) -> DataFrame:
         one = np.flatnonzero(far & (own == own.min()))
         two = np.flatnonzero(own != own.min()) if crossed else np.arange(len(reps))
         left, right = [], []
+        columns = np.ascontiguousarray(values[two].T)
         for begin in range(0, len(one), 256):
             at = one[begin : begin + 256]
             same = np.zeros((len(at), len(two)), np.uint8)
             for k in range(SIZE):
-                same += values[at, k][:, None] == values[two, k]
+                same += values[at, k][:, None] == columns[k]
             a, b = np.nonzero(same >= least * SIZE)
             left.append(at[a])
             right.append(two[b])
@@ -275,74 +293,122 @@ def block_links(rows: DataFrame, least: float) -> DataFrame:
     return rows.groupBy("path", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """rows with size and n_far of their nodes, without nodes that have no pair with a far set."""
+    nodes = persist_table(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.count_if("far").alias("n_far")).filter("n_far > 0 and size > 1"), "nodes")
+    return rows.join(_if_few(nodes), "path")
+
+
 def candidate_links(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """Links (a, b) between sets (rep, values) whose estimated similarity is near the threshold or above."""
+    """Links (a, b) between sets (rep, values) whose estimated similarity is near the threshold or above.
+
+    Every level's paths, nodes and links are written as tables, so no plan spans two levels.
+    """
     margin = margin_for(threshold)
     least = threshold - margin
-    #: Sets so close to a pivot that whatever they link with links with the pivot as well.
     core, wide = 1 - (1 - threshold) / 4, max(0.0, 1 - (1 - threshold) * 1.25 - 1.5 * margin)
-    paths, out = take_paths(reps, runs_for(recall, threshold), threshold), None
+    out: list[DataFrame] = []
+
+    def found(links: DataFrame) -> None:
+        out.append(persist_table(links, "links"))
+
+    paths = take_paths(reps, runs_for(recall, threshold), threshold)
     for level in range(DEPTH + 1):
         paths = persist_table(paths, "paths")
         size = paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        rows = paths.join(size, "path").join(reps.select("rep", "values"), "rep")
-        rows = persist_table(rows, "nodes") if level == 0 else rows
-        links = leaf_links(rows.filter(F.col("size") <= LEAF).select("path", "rep", "values"), least)
-        out = links if out is None else out.unionByName(links)
+        rows = persist_table(paths.join(size, "path").join(reps.select("rep", "values"), "rep"), "nodes")
+        found(leaf_links(rows.filter(F.col("size") <= LEAF).select("path", "rep", "values"), least))
         large = rows.filter(F.col("size") > LEAF).select("path", "used", "rep", "values")
         if large.isEmpty():
             break
-        split = persist_table(pivot_links(large, level, wide, core), "pivots")
-        out = out.unionByName(split.filter("pivot is not null and pivot <> rep").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
-        left = split.filter("stays").withColumn("far", F.col("pivot").isNull())
-        nodes = left.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.count_if("far").alias("n_far")).filter("n_far > 0 and size > 1")
-        left = left.select("path", "used", "rep", "values", "far").join(nodes, "path")
+        split = persist_table(pivot_links(large, level, least, core, wide), "split")
+        found(split.filter("near > 1 and pivot <> rep").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
+        nodes = _counted(split.withColumn("far", F.col("near") < 2))
         ends = F.lit(level == DEPTH) | (F.col("n_far") * F.col("size") <= FINISH * FINISH)
-        out = out.unionByName(block_links(left.filter(ends), least))
-        on = left.filter(~ends)
+        found(block_links(nodes.filter(ends), least))
+        on = nodes.filter(~ends).drop("far", "size", "n_far")
         if level == DEPTH or on.isEmpty():
             break
-        paths = take_paths(on.select("path", "used", "rep", "values"), None, threshold, level + 1)
-    return out
+        # sets that link with the pivot as closely as can be go no further, but for the pairs that the pivot doesn't speak for
+        found(block_links(_counted(on.filter("near in (1, 3)").withColumn("far", F.col("near") == 1)).filter("n_far < size"), least))
+        paths = take_paths(on.filter("near < 3").select("path", "used", "rep", "values"), None, threshold, level + 1)
+    every = out[0]
+    for links in out[1:]:
+        every = every.unionByName(links)
+    return every
 
 
 # ---------------------------------------------------------------- exact verification
 
 
-def exact_links(texts: DataFrame, members: DataFrame, threshold: float, words: int) -> DataFrame:
+def shingle_table(texts: DataFrame, words: int) -> DataFrame:
+    """rep, copies, grp, shingles (sorted 64-bit hashes) of rows (rep, text, copies, grp)."""
+    kind = texts.schema["rep"].dataType.simpleString()
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(hashes.of(t.as_py()), words).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "copies", "grp")), pa.array(sets, pa.binary())], ["rep", "copies", "grp", "shingles"])
+
+    return texts.select("rep", "copies", "grp", "text").mapInArrow(run, f"rep {kind}, copies long, grp {kind}, shingles binary")
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the numbers of common elements of any two of the sets (whose elements are distinct).
+
+    Elements of fewer than FEW sets are counted by their pairs of sets, others by products of 0-1 matrices.
+    """
+    n = len(sets)
+    which = np.repeat(np.arange(n), [len(s) for s in sets])
+    element = np.concatenate(sets)
+    order = np.argsort(element, kind="stable")
+    element, which = element[order], which[order]
+    begin = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1])))
+    times = np.diff(np.append(begin, len(element)))
+    of = np.repeat(times, times)
+    common = np.zeros(n * n, np.float32)
+    rare = (of > 1) & (of < FEW)
+    own, sets_of, size = element[rare], which[rare], of[rare]
+    for shift in range(1, min(FEW, int(size.max(initial=0)))):
+        at = np.flatnonzero(own[shift:] == own[:-shift])
+        np.add.at(common, sets_of[at] * n + sets_of[at + shift], np.float32(1))
+    common = common.reshape(n, n)
+    common += common.T
+    often = np.flatnonzero(times >= FEW)
+    for at in range(0, len(often), 4096):
+        some = often[at : at + 4096]
+        part = np.zeros((n, len(some)), np.float32)
+        for k, x in enumerate(some):
+            part[which[begin[x] : begin[x] + times[x]], k] = 1
+        common += part @ part.T
+    return common
+
+
+def exact_links(sets: DataFrame, threshold: float) -> DataFrame:
     """rep, links, b: number of rows whose text is similar to that of rep, and the least set reached, by task.
 
-    texts: rep, text, copies, grp. Groups are dealt into blocks of about BLOCK texts, and each pair of
-    blocks is a task's unit, so no unit holds more than two blocks.
+    sets: rep, copies, grp, shingles. Groups are dealt into blocks of at most about BLOCK sets and
+    BLOCK_BYTES of shingles, and each pair of blocks is a task's unit, so no unit holds more than two blocks.
     """
-    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    rows = texts.join(sizes, "grp").withColumn("blocks", blocks).withColumn("own", own)
+    sizes = sets.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.sum(F.length("shingles")).alias("bytes"))
+    sizes = sizes.select("grp", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    kind = sets.schema["rep"].dataType.simpleString()
+    several = persist_table(sizes.filter("blocks > 1"), "blocks")
+    few = several.count() <= NODES
+    rows = sets.join(F.broadcast(several) if few else several, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(31)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies", "text")
-    kind = rows.schema["rep"].dataType.simpleString()
-    hashes = WordHashes()
+    rows = rows.withColumn("other", other).select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies", "shingles")
 
     def compare(unit: pd.DataFrame) -> pd.DataFrame:
-        unit = unit.sort_values("rep", kind="stable")
-        sets = [shingle_set(hashes.of(t), words) for t in unit["text"]]
-        size = np.array([len(s) for s in sets])
-        which = np.repeat(np.arange(len(sets)), size)
-        token, column = np.unique(np.concatenate(sets), return_inverse=True)
-        common = np.zeros((len(sets), len(sets)), np.float32)
-        shared = np.bincount(column, minlength=len(token)) > 1
-        column = np.where(shared, np.cumsum(shared) - 1, -1)[column]
-        order = np.argsort(column, kind="stable")
-        column, which = column[order], which[order]
-        total = int(shared.sum())
-        for begin in range(0, total, 4096):
-            a, b = np.searchsorted(column, (begin, begin + 4096))
-            part = np.zeros((len(sets), min(4096, total - begin)), np.float32)
-            part[which[a:b], column[a:b] - begin] = 1
-            common += part @ part.T
-        union = size[:, None] + size[None, :] - common
-        linked = common >= threshold * union - 1e-6
+        unit = unit.sort_values("rep", kind="stable").drop_duplicates("rep")  # rows of one id are one text
+        own = [np.frombuffer(b, np.uint64) for b in unit["shingles"]]
+        size = np.array([len(s) for s in own])
+        common = common_counts(own)
+        linked = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-6
         np.fill_diagonal(linked, False)
         if unit["i"].iloc[0] != unit["j"].iloc[0]:
             side = unit["own"].to_numpy()
@@ -365,8 +431,8 @@ def jaccard_join(docs: DataFrame, *, threshold: float = 0.8, words: int = 5, rec
     reps = persist_table(rows.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.first("values").alias("values")), "reps")
     groups = components(candidate_links(reps, threshold, recall))
     members = persist_table(groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")).join(reps.select("rep", "copies"), "rep"), "members")
-    texts = with_texts(docs, members.withColumnRenamed("rep", "doc_id"), id_col=id_col, text_col=text_col).withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
-    found = persist_table(exact_links(texts, members, threshold, words), "links")
+    texts = with_texts(docs, members.withColumnRenamed("rep", "doc_id"), id_col=id_col, text_col=text_col).withColumnRenamed("doc_id", "rep")
+    found = persist_table(exact_links(persist_table(shingle_table(texts, words), "sets"), threshold), "links")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = components(found.filter("rep <> b").select(F.col("rep").alias("a"), "b"))
     known = reps.select("set_key", "rep", "copies", "n").join(linked, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")

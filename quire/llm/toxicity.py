@@ -54,7 +54,7 @@ class FactorizationMachine:
     def rows_of(self, text: str | None) -> list[int]:
         """Rows of the terms of a text that have a weight."""
         known, out = self._known, set()
-        if len(known) > 500_000:
+        if len(known) > 250_000:
             known.clear()
         for w in words(text):
             rows = known.get(w)
@@ -117,7 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, *, per_label: in
     """Fit on the labelled rows for which training (an expression of doc_id) holds; None without any.
 
     About per_label rows of each label at most are used, chosen by a hash of the id;
-    so the labels that are broadcast, and what comes to the driver, are bounded.
+    so the labels that are broadcast, and the rows of the one task that fits, are bounded;
+    only the model comes to the driver.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).dropna().filter(training).groupBy("doc_id").agg((F.max("y") > 0).cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -135,14 +136,32 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, *, per_label: in
             used = [np.array(sorted({bucket(x) for w in words(t.as_py()) for x in terms(w)}), np.int32) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(used, pa.list_(pa.int32())), batch.column(2)], ["doc_id", "used", "y"])
 
-    table = picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, used array<int>, y int").toArrow().sort_by("doc_id")
-    lists = table["used"].combine_chunks()  # as flat arrays: lists of Python numbers would take the driver's memory
-    flat, edge = lists.values.to_numpy(), lists.offsets.to_numpy()
-    often = np.bincount(flat, minlength=1 << BITS) >= 5
-    rows = [own[often[own]] for own in (flat[edge[i] : edge[i + 1]] for i in range(len(lists)))]
-    y = np.array(table["y"].to_pylist(), float)
-    weight = np.where(y == 1, 1 / share.get(1, 1.0), 1 / share.get(0, 1.0))
-    return train_fm(rows, y, weight / weight.mean() if len(y) else weight)
+    kind = picked.schema["doc_id"].dataType.simpleString()
+    sampled = picked.mapInArrow(run, f"doc_id {kind}, used array<int>, y int").repartition(1)
+
+    def fit(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        got = [b for b in batches if len(b)]
+        if not got:
+            return
+        table = pa.Table.from_batches(got).sort_by("doc_id")
+        lists = table["used"].combine_chunks()  # as flat arrays: lists of Python numbers would take more memory
+        flat, edge = lists.values.to_numpy(), lists.offsets.to_numpy()
+        often = np.bincount(flat, minlength=1 << BITS) >= 5
+        rows = [own[often[own]] for own in (flat[edge[i] : edge[i + 1]] for i in range(len(lists)))]
+        y = table["y"].to_numpy().astype(float)
+        weight = np.where(y == 1, 1 / share.get(1, 1.0), 1 / share.get(0, 1.0))
+        m = train_fm(rows, y, weight / weight.mean())
+        keys = np.array([*m.weights], np.int64)
+        yield pa.RecordBatch.from_pydict({"bias": [m.bias], "rank": pa.array([m.rank], pa.int32()), "keys": [keys.tobytes()], "weights": [m._w.tobytes()], "factors": [m._v.tobytes()]})
+
+    made = sampled.mapInArrow(fit, "bias double, rank int, keys binary, weights binary, factors binary").collect()
+    if not made:
+        return None
+    keys, w = np.frombuffer(made[0]["keys"], np.int64).tolist(), np.frombuffer(made[0]["weights"])
+    v = np.frombuffer(made[0]["factors"]).reshape(len(keys), made[0]["rank"])
+    return FactorizationMachine(made[0]["bias"], dict(zip(keys, w.tolist(), strict=True)), dict(zip(keys, v, strict=True)), made[0]["rank"])
 
 
 def score(docs: DataFrame, model: FactorizationMachine | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

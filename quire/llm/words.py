@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -14,14 +15,16 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, the same on every machine; bounded."""
+    """word -> 64-bit hash, the same on every machine; bounded in entries and in their length."""
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 700_000:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word)
+        out = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= 250_000:
+                self.clear()
+            self[word] = out
         return out
 
     def of(self, text: str | None) -> np.ndarray:
@@ -62,6 +65,22 @@ def shingle_set(words: np.ndarray, k: int = 5) -> np.ndarray:
     return np.unique(windows(words, min(k, len(words))))
 
 
+def hot_from(rows: int) -> int:
+    """Rows from which a key counts as frequent in a table of rows: there are 100,000 such keys at most."""
+    return max(256, math.ceil(rows / 100_000))
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: list[str], n: str, many: int) -> DataFrame:
+    """left joined to right, which has a row a key and in column n the number of left's rows (about).
+
+    Keys of more than many rows are broadcast with their rows of right, so that their rows of left
+    stay where they are; the others are shuffled. many bounds what is broadcast (hot_from).
+    """
+    hot, rest = right.filter(F.col(n) > many), right.filter(F.col(n) <= many)
+    cold = left.join(F.broadcast(hot.select(*key)), key, "left_anti")
+    return left.join(F.broadcast(hot), key).unionByName(cold.join(rest, key))
+
+
 def with_texts(docs: DataFrame, ids: DataFrame, *, id_col: str, text_col: str, wide: bool = False) -> DataFrame:
     """Rows of ids (doc_id, ...) with the text of that doc_id, null as empty; ids identify texts.
 
