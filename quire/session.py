@@ -29,10 +29,14 @@ def get_spark(app: str = "quire", cpus: str = "*") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only where that setting is missing (local tests) a folder of our own is made.
+    Where that setting is missing, a folder of our own is made if the master is local; on a
+    cluster nothing of this machine is shared, so a ValueError says what to set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-quire-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
