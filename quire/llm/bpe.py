@@ -23,10 +23,14 @@ from pyspark.sql import functions as F
 from quire.llm.token_counts import byte_symbols
 
 
+#: Characters of the longest word or fragment that is kept in a table.
+LONGEST_KEPT = 64
+
+
 class ForcedBoundaryBPE:
     """Encoder and decoder for a word-level BPE file whose words end in a suffix."""
 
-    def __init__(self, path: str, limit: int = 700_000) -> None:
+    def __init__(self, path: str, limit: int = 300_000) -> None:
         import regex
         from tokenizers import Regex, Tokenizer, pre_tokenizers
 
@@ -84,9 +88,11 @@ class ForcedBoundaryBPE:
             fragment = tuple(chars[a:b])
             got = self.fragments.get(fragment)
             if got is None:
-                if len(self.fragments) > self.limit:
-                    self.fragments.clear()
-                got = self.fragments[fragment] = tuple(self.vocab[t] for t in self.merge(list(fragment)) if t in self.vocab)
+                got = tuple(self.vocab[t] for t in self.merge(list(fragment)) if t in self.vocab)
+                if len(fragment) <= LONGEST_KEPT:
+                    if len(self.fragments) > self.limit:
+                        self.fragments.clear()
+                    self.fragments[fragment] = got
             ids += got
         return ids
 
@@ -113,7 +119,9 @@ class ForcedBoundaryBPE:
                 got = kept.get(word)
                 if got is None:
                     ids = self.encode_word(word)
-                    got = kept[word] = b"".join(i.to_bytes(4, "little") for i in ids), self.decode(ids)
+                    got = b"".join(i.to_bytes(4, "little") for i in ids), self.decode(ids)
+                    if len(word) <= LONGEST_KEPT:
+                        kept[word] = got
                 yield got
 
     def encode_bytes(self, text: str) -> tuple[bytes, str]:

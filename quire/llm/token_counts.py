@@ -165,10 +165,14 @@ def byte_symbols() -> dict[int, str]:
     return out
 
 
+#: Characters of the longest piece whose count is kept.
+LONGEST_KEPT = 64
+
+
 class CountTransducer:
     """Number of tokens of a piece, by transitions that carry changes of the count."""
 
-    def __init__(self, merges: list[tuple[bytes, bytes]], limit: int = 1_000_000) -> None:
+    def __init__(self, merges: list[tuple[bytes, bytes]], limit: int = 500_000) -> None:
         self.limit = limit
         number = {bytes([b]): b for b in range(256)}
         #: By token: rank of the merge that makes it (-1: a byte), and its two parts.
@@ -266,10 +270,10 @@ class CountTransducer:
     def counts(self, pieces: list[str]) -> list[int]:
         if len(self.pieces) > self.limit or len(self.states) > self.limit:
             self.forget()
-        kept, count = self.pieces, self.count
+        kept, count, long = self.pieces, self.count, {}
         for piece in set(pieces).difference(kept):
-            kept[piece] = count(piece)
-        return [kept[p] for p in pieces]
+            (kept if len(piece) <= LONGEST_KEPT else long)[piece] = count(piece)
+        return [kept[p] if p in kept else long[p] for p in pieces] if long else [kept[p] for p in pieces]
 
 
 class TokenCounter:

@@ -22,7 +22,7 @@ class WordHashes(dict):
 
         out = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
-            if len(self) >= 250_000:
+            if len(self) >= 400_000:
                 self.clear()
             self[word] = out
         return out
