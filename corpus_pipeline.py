@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but
 the last return the columns of docs, rows unchanged; the last returns each text's tokens.
+
+Defined results of the four filters: null and empty texts are never toxic (score of a text
+without terms), near copies or benchmark passages; as exact copies of each other all but the
+one of the largest id go. Decisions are made by doc_id: rows that repeat an id with its text
+stay or go together, and rows whose id is null always stay. Of ties in a group the largest
+id (exact copies) or the least (near copies) stays. Empty tables give empty tables, further
+columns of any name pass unchanged.
 """
 
 from __future__ import annotations
@@ -17,9 +24,11 @@ from quire.llm.words import BROADCAST_ROWS
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of the given doc_ids, which are broadcast only if few."""
-    ids = ids.select("doc_id").distinct()
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows of the given doc_ids, which are written as a table first and broadcast only if few."""
+    from quire.session import persist_table
+
+    gone = persist_table(ids.select("doc_id").distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +77,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: The trained model of the first stage has no SQL form; the pipeline is tested against brute force.
+#: The trained model of the first stage has no SQL form; tests/llm compares each stage with brute force.
 ORACLE_SQL = None
 
 
