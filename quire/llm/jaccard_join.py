@@ -50,7 +50,7 @@ SIZE = 64
 #: Sets that are compared by brute force at a node.
 LEAF = 48
 #: Sets, and bytes of their shingles, in one block of exact comparison; sets from which an element is counted by matrices.
-BLOCK, BLOCK_BYTES, FEW = 1024, 2 << 20, 48
+BLOCK, BLOCK_BYTES, FEW = 512, 2 << 20, 48
 #: Rows up to which a table of nodes is broadcast (about 300 bytes each).
 NODES = 50_000
 #: Levels of splits; nodes that are still large then are finished by brute force.
@@ -408,7 +408,8 @@ def exact_links(sets: DataFrame, threshold: float) -> DataFrame:
         own = [np.frombuffer(b, np.uint64) for b in unit["shingles"]]
         size = np.array([len(s) for s in own])
         common = common_counts(own)
-        linked = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-6
+        size = size.astype(np.float32)
+        linked = (1 + np.float32(threshold)) * common >= np.float32(threshold) * (size[:, None] + size[None, :]) - np.float32(1e-3)
         np.fill_diagonal(linked, False)
         if unit["i"].iloc[0] != unit["j"].iloc[0]:
             side = unit["own"].to_numpy()
