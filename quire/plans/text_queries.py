@@ -185,6 +185,7 @@ _S = r"[ \t\n\x0B\f\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{20
 _SPACED = "replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(160), ' ')"
 for _p, _b in ((r"[ \t\x{A0}\x{3000}]{2,}", " "), (rf"{_S}+([,.;:!?%…)\]}}»”’])", r"\1"), (rf"([(\[{{«“‘]){_S}+", r"\1"), (r"(?m)[ \t\x{3000}]+$", ""), (r"\n{3,}", "' || chr(10) || chr(10) || '"), (r"\A\n+|\n+\z", "")):
     _SPACED = _gsub(_SPACED, _p, _b)
+SPACED = _SPACED
 _Q = text.DOUBLE_QUOTES
 _R = text.REMOVED_QUOTES
 _PAIRED = "text"
@@ -198,6 +199,7 @@ for _k, _v in sorted(SYMBOLS.items(), key=lambda kv: -len(kv[0])):
 _TAGS = lambda c: _gsub(_gsub(_gsub(c, "<!--.*?-->", "", "gs"), r"<\s*/?\s*(?:p|br|div|li|tr|h[1-6]|section|article)\b[^<>]*>", "' || chr(10) || '", "gi"), "</?[a-zA-Z][^<>]{0,200}?>", "")
 _LINES = "list_transform(string_split(text, chr(10)), lambda x: struct_pack(x := x, body := " + _gsub("x", rf"\A{_S}+|{_S}+\z", "") + ", trimmed := " + _gsub("x", rf"{_S}+\z", "") + "))"
 _LACKS = "length(l.body) > 1 AND NOT contains('" + (text.SENTENCE_END + text.CLOSERS + text.PAUSES).replace("'", "''") + "', right(l.trimmed, 1)) AND regexp_matches(l.x, '[A-Za-zÀ-ỹ0-9\\x{4E00}-\\x{9FFF}]')"
+ENDED_LINES, LACKS_ENDING = _LINES, _LACKS
 _UNESC = "text"
 for _e, _ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
     _UNESC = f"replace({_UNESC}, '{_e}', '{_ch}')"

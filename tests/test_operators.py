@@ -14,12 +14,89 @@ def table(spark, text):
     return spark.createDataFrame([("s", text)], "source string, text string")
 
 
-@pytest.mark.parametrize(("line", "number", "language"), [("Chương 12: Mở đầu", 12, "vi"), ("CHƯƠNG 3", 3, "vi"), ("【第327章】", 327, "zh"), ("第一百零五章", 105, "zh"), ("Chapter 7 - The End", 7, "en"), ("Hồi thứ nhất", None, None), ("  ## Tập 4. x", 4, "vi"), ("【00:18】", None, None), ("【12:09:57 — rương báu】", None, None), ("He read Chapter 7.", None, None), ("x" * 201, None, None), ("", None, None), ("Vol.2", 2, "en")])
+@pytest.mark.parametrize(("line", "number", "language"), [("Chương 12: Mở đầu", 12, "vi"), ("CHƯƠNG 3", 3, "vi"), ("【第327章】", 327, "zh"), ("第一百零五章", 105, "zh"), ("Chapter 7 - The End", 7, "en"), ("Hồi thứ nhất", None, None), ("第1章 标题", 1, "zh"), ("  ## Tập 4. x", 4, "vi"), ("【00:18】", None, None), ("【12:09:57 — rương báu】", None, None), ("He read Chapter 7.", None, None), ("x" * 201, None, None), ("", None, None), ("Vol.2", 2, "en")])
 def test_header_lines(spark, line, number, language):
     h = spark.createDataFrame([(line,)], "line string").select(detect.header_of(F.col("line")).alias("h")).first()["h"]
     assert (h and h["number"], h and h["language"]) == (number, language)
 
 
+@pytest.mark.parametrize(
+    ("line", "number", "title", "header", "body"),
+    [
+        ("第1章 标题", 1, "标题", "第1章", ""),
+        ("[第327章] 流民不可怕", 327, "流民不可怕", "[第327章]", ""),
+        ("【第3章】", 3, "", "【第3章】", ""),
+        ("第3章：标题", 3, "标题", "第3章", ""),
+        ("第3章: Đêm ấy", 3, "", "第3章", "Đêm ấy"),
+        ("第327章流民Đêm ấy trời", 327, "", "第327章", "流民Đêm ấy trời"),
+        ("第9章ab", 9, "", "第9章", "ab"),
+        ("Chương 12Đêm ấy trời mưa", 12, "", "Chương 12", "Đêm ấy trời mưa"),
+        ("Chương 12 Mở đầu", 12, "", "Chương 12", "Mở đầu"),
+        ("Chương 5: Chạy trốnNàng vội vã đi", 5, "Chạy trốn", "Chương 5: Chạy trốn", "Nàng vội vã đi"),
+        ("Chương 5: iPhone", 5, "iPhone", "Chương 5: iPhone", ""),
+        ("Chương 5: - Tên -", 5, "Tên", "Chương 5: - Tên -", ""),
+        ("Chương 1\r", 1, "", "Chương 1", ""),
+        ("Chương " + "9" * 30, None, None, None, None),
+        ("第一二章", None, None, None, None),
+        ("【4:59:50】", None, None, None, None),
+        ("Chương trình 5", None, None, None, None),
+        ("Chương 7 " + "dài " * 80, 7, "", "Chương 7", ("dài " * 80).strip()),
+    ],
+)
+def test_whole_and_glued_headers(spark, line, number, title, header, body):
+    h = spark.createDataFrame([(line,)], "line string").select(detect.header_of(F.col("line")).alias("h")).first()["h"]
+    assert (h and (h["number"], h["title"], h["header"], h["body"])) == (number and (number, title, header, body))
+
+
+def test_plain_and_custom_patterns(spark):
+    rows = spark.createDataFrame([("12. Đầu",), ("#7 - x",), ("10:30 sáng hôm đó",), ("Kapitel <5> Ende",)], "line string")
+    plain = detect.build_patterns(plain=True, vietnamese=False)
+    own = detect.build_patterns(custom=r"^Kapitel <(?P<number>[0-9]+)>(?P<title>.*)$")
+    got = [(r[0] and r[0]["number"], r[1] and (r[1]["number"], r[1]["title"], r[1]["pattern"])) for r in rows.select(detect.header_of(F.col("line"), plain), detect.header_of(F.col("line"), own)).collect()]
+    assert got == [(12, None), (7, None), (None, None), (None, (5, "Ende", "custom"))]
+    for wrong in ("", "(", "^x$"):
+        with pytest.raises(ValueError):
+            detect.custom_pattern(wrong)
+
+
+def test_normalizing(spark):
+    text = 'trước\nChương 1: “A”\n \nChương thứ 1\nmột  dòng ,\\nhai\n第2章 标题\n"x"\n第2章 标题\n"xyz"\nChapter 3\n'
+    rows = {r["number"]: r for r in detect.normalize(table(spark, text)).collect()}
+    assert {n: (r["header"], r["text"]) for n, r in rows.items()} == {1: ("Chương 1: 'A'", "một dòng,\nhai."), 2: ("Chương 2", "'xyz'"), 3: ("Chương 3", "")}
+    assert rows[1]["text_loss"] == 17
+    report = detect.normalize_report(table(spark, text)).first()
+    assert (report["found"], report["chapters"], report["header_artifacts_removed"], report["restored_newlines"], report["periods_added"], report["chinese_titles_removed"], report["double_quotes_normalized"]) == (4, 3, 1, 1, 1, 2, 6)
+    assert [r["number"] for r in detect.renumber(detect.normalize(table(spark, text)), first=8).orderBy("number").collect()] == [8, 9, 10]
+    assert detect.normalize(table(spark, "no header")).count() == 0
+    kept = detect.normalize(table(spark, "## Chương 4: B ==\nx"), options=detect.NormalizeOptions(keep_headers=True)).first()
+    assert kept["header"] == "Chương 4: B"
+    assert detect.repair_headers(detect.normalize(table(spark, text))).filter("changed").count() == 0
+
+
+def test_heading_spans_and_numeric_groups(spark):
+    text = "lời\r\n" + "".join(f"Chương {n} Tên\r\nthân\u2028x\r" for n in range(601, 701) if n not in (610, 655, 700))
+    texts = table(spark, text)
+    spans = detect.heading_spans(texts)
+    rows = spans.orderBy("start").collect()
+    assert [r["number"] for r in rows] == [n for n in range(601, 701) if n not in (610, 655, 700)]
+    assert rows[0]["start"] == 5 and rows[0]["line"] == 2 and rows[-1]["end"] == len(text)
+    assert all(text[r["start"] : r["body_start"]] == r["heading"] + "\r\n" for r in rows)
+    assert detect.plan_groups(spans, 20).count() == 0  # counting would give wrong ranges
+    groups = detect.plan_groups(spans, 20, "numeric")
+    cut = detect.group_texts(groups, texts).orderBy("ord").collect()
+    assert "".join(g["slice"] for g in cut) == text and detect.exact_cover(groups, texts).first()["covered"]
+    assert [g["range_label"] for g in cut] == ["601-620", "621-640", "641-660", "661-680", "681-699"]
+    marks = detect.numeric_fingerprint(spans, texts, 20)
+    ids = detect.group_identity(groups, texts, 20, fingerprints=marks)
+    assert ids.select("group_id").distinct().count() == 5
+    told = detect.analyze_grouping(spans, 27).first()
+    assert (told["needs_numbers"], told["refusal"], told["missing_starts"]) == (True, "missing_starts", [655])
+    twice = detect.analyze_grouping(detect.heading_spans(table(spark, "Chương 1\nChương 3\nChương 3\nChương 9")), 2).first()
+    assert twice["refusal"] == "ambiguous"
+    with pytest.raises(ValueError):
+        detect.plan_groups(spans, 0)
+
+
 def test_chapters_and_duplicates(spark):
     text = "preamble\nChương 1: A\nngắn\n第1章\n很长很长很长很长\nChương 2\nx\nChương 2: B\ny\nChương 5\nz"
     found = {(r["number"], r["source_line"]): r for r in detect.chapters(table(spark, text)).collect()}
@@ -37,7 +114,7 @@ def test_chapters_and_duplicates(spark):
 def test_groups_reproduce_the_text(spark, size):
     text = "lời đầu\n" + "\n".join(f"Chương {n}\n" + "chữ " * (n % 5) for n in range(1, 101))
     texts = table(spark, text)
-    groups = detect.group_texts(detect.group_by_count(detect.heading_spans(texts), size), texts).orderBy("grp").collect()
+    groups = detect.group_texts(detect.group_by_count(detect.heading_spans(texts), size), texts).orderBy("ord").collect()
     assert len(groups) == -(-100 // size)
     assert "".join(g["slice"] for g in groups) == text
     assert detect.exact_cover(detect.group_by_count(detect.heading_spans(texts), size), texts).first()["covered"]
