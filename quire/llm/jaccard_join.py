@@ -408,8 +408,10 @@ def exact_links(sets: DataFrame, threshold: float) -> DataFrame:
         own = [np.frombuffer(b, np.uint64) for b in unit["shingles"]]
         size = np.array([len(s) for s in own])
         common = common_counts(own)
-        size = size.astype(np.float32)
-        linked = (1 + np.float32(threshold)) * common >= np.float32(threshold) * (size[:, None] + size[None, :]) - np.float32(1e-3)
+        linked = np.zeros(common.shape, bool)
+        for at in range(0, len(own), 128):  # rows by rows: exact numbers take twice the memory
+            part = common[at : at + 128].astype(float)
+            linked[at : at + 128] = part >= threshold * (size[at : at + 128, None] + size[None, :] - part) - 1e-6
         np.fill_diagonal(linked, False)
         if unit["i"].iloc[0] != unit["j"].iloc[0]:
             side = unit["own"].to_numpy()
