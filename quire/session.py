@@ -52,3 +52,21 @@ def persist_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/quire-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes and rows of whole texts that Spark hands to Python at a time.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2_000
+
+
+def in_batches(rows: DataFrame) -> DataFrame:
+    """rows, with the session set to hand them to Python in small batches, so that memory doesn't grow with the length of texts.
+
+    The setting stays, since Spark reads it when the query runs; smaller ones of the user's are kept.
+    """
+    conf = rows.sparkSession.conf
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = conf.get(name).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
+    return rows
