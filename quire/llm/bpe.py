@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.token_counts import byte_symbols
+from quire.session import in_batches
 
 
 #: Characters of the longest word or fragment that is kept in a table.
@@ -150,7 +151,7 @@ def _batches(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, schem
             columns = make(bpe, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns.values()], ["doc_id", *columns])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {schema}")
+    return in_batches(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {schema}")
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,4 +200,4 @@ def decode_ids(rows: DataFrame, vocabulary: str, *, id_col: str = "doc_id", ids_
             out = [bpe.decode(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "decoded"])
 
-    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, decoded string")
+    return in_batches(picked).mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, decoded string")

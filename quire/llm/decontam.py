@@ -25,6 +25,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import in_batches
+
 #: Bounds of one block of items: characters sent to each task.
 BLOCK_CHARS = 4_000_000
 
@@ -154,7 +156,7 @@ def find_items(docs: DataFrame, items: DataFrame, *, rate: float = 0.05, id_col:
     for block in range(blocks):
         picked = queries.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else queries
         own = sorted((r["item_id"], normal(r["item"])) for r in picked.collect())  # about BLOCK_CHARS / 2 characters
-        part = rows.mapInArrow(_searcher(own, rate), schema)
+        part = in_batches(rows).mapInArrow(_searcher(own, rate), schema)
         found = part if found is None else found.unionByName(part)
     return found
 

@@ -8,30 +8,36 @@ others join the exact buckets, and the texts of every group of several rows are
 compared byte by byte with the text of the row that stays.
 
 Only digests are shuffled; texts are, too, for rows in groups of several. Groups are
-pre-aggregated map-side, so one text in a third of all rows costs a row per task.
+pre-aggregated map-side, so one text in a third of all rows costs a row per task. Rows
+get their group back by a join in which frequent digests are broadcast and their rows
+stay where they are; the texts of a group are compared in parts of about 256 rows, to each
+of which the text that stays is sent.
 
 Defined results: null text counts as empty; texts are equal when identical after
 lower-casing A-Z only; of equal texts the row with the largest id stays. Repeated rows
 (same id, same text) count in group_size and are all marked kept, since nothing tells
-them apart. A row whose bytes differ from its group's (a digest collision) stays as a
-group of its own. An empty table gives an empty result.
+them apart. Rows whose bytes differ from those of the row that stays (a digest collision)
+form groups of equal bytes of their own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import persist_table
+from quire.llm.words import hot_from
+from quire.session import in_batches, persist_table
 
 #: Keys of one filter shard, about.
 SHARD_KEYS = 16_384
+#: Rows of a group that are compared with one copy of the text that stays.
+PART = 256
 #: Rows up to which a list of ids is broadcast (16 bytes each); beyond it is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -121,21 +127,26 @@ def normalised(text_col: str):
     return F.translate(F.coalesce(F.col(text_col), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
-def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest: SHA-256 of each row's normalised text."""
+def sha256_digest(data: bytes) -> bytes:
+    from hashlib import sha256
+
+    return sha256(data).digest()
+
+
+def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], bytes] = sha256_digest, with_text: bool = False) -> DataFrame:
+    """doc_id, digest of each row's normalised text (in UTF-8), and with_text norm, that text as bytes."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator) -> Iterator:
-        from hashlib import sha256
-
         import pyarrow as pa
 
         lower = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
         for batch in batches:
-            out = [sha256(t.as_py().translate(lower)).digest() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "digest"])
+            norm = [t.as_py().translate(lower) for t in batch.column(1)]
+            columns = [batch.column(0), pa.array(map(digest, norm), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(norm, pa.binary())] if with_text else columns, ["doc_id", "digest", "norm"][: 2 + with_text])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary")
+    return in_batches(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary" + ", norm binary" * with_text)
 
 
 def buckets(rows: DataFrame) -> DataFrame:
@@ -182,36 +193,45 @@ def merge_batch(snapshot: DataFrame, batch: DataFrame, filters: DataFrame, shard
     return old.unionByName(fresh).unionByName(false_alarms)
 
 
-def unequal_rows(docs: DataFrame, members: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest of members (doc_id, digest, keep_id) whose text differs, byte by byte, from that of the row that stays."""
-    members = members.distinct()
+def unequal_rows(docs: DataFrame, members: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], bytes] = sha256_digest) -> DataFrame:
+    """doc_id, digest, norm (the text as bytes) of members (doc_id, digest, keep_id, n) whose text differs, byte by byte, from that of the row that stays.
+
+    A group's rows are dealt into parts of about PART rows, each of which gets the text that stays.
+    """
+    members = persist_table(members.distinct(), "members")
     small = members.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm"))
-    texts = texts.join(F.broadcast(members) if small else members, "doc_id").filter(F.unhex(F.sha2("norm", 256)) == F.col("digest"))
-    keepers = texts.filter("doc_id = keep_id").groupBy("digest").agg(F.first("norm").alias("kept_text"))
-    return texts.filter("doc_id <> keep_id").join(keepers, "digest").filter("norm <> kept_text").select("doc_id", "digest").distinct()
+    ids = members.select(F.col("doc_id").alias("_member")).distinct()
+    some = docs.join(F.broadcast(ids) if small else ids, F.col(id_col) == F.col("_member"), "left_semi")
+    texts = digests(some, id_col=id_col, text_col=text_col, digest=digest, with_text=True)
+    texts = texts.join(F.broadcast(members) if small else members, ["doc_id", "digest"]).withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
+    keepers = texts.filter("doc_id = keep_id").groupBy("digest", "parts").agg(F.first("norm").alias("kept_text"))
+    keepers = keepers.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    others = texts.filter("doc_id <> keep_id").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    return others.join(keepers, ["digest", "part"]).filter("norm <> kept_text").select("doc_id", "digest", "norm")
 
 
-def exact_dedup(docs: DataFrame, *, incoming_share: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, *, incoming_share: int = 4, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], bytes] = sha256_digest) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256 (the digest, in hex).
 
     The table is taken as a snapshot and a batch that comes in (one of incoming_share
     parts by a hash of the id), so that every row goes through the same steps as in
     daily use: buckets, filters, screening, exact join, byte checks.
     """
-    rows = persist_table(digests(docs, id_col=id_col, text_col=text_col), "digests")
+    rows = persist_table(digests(docs, id_col=id_col, text_col=text_col, digest=digest), "digests")
     coming = F.pmod(F.xxhash64("doc_id"), F.lit(incoming_share)) == 0
     snapshot = persist_table(buckets(rows.filter(~coming)), "buckets")
     shards = max(1, math.ceil(snapshot.count() / SHARD_KEYS))
     groups = persist_table(merge_batch(snapshot, buckets(rows.filter(coming)), build_filters(snapshot, shards), shards), "groups")
-    joined = rows.join(groups, "digest")
-    wrong = unequal_rows(docs, joined.filter("n > 1").select("doc_id", "digest", "keep_id"), id_col=id_col, text_col=text_col)
-    joined = joined.join(wrong.withColumn("wrong", F.lit(True)), ["doc_id", "digest"], "left")
-    own = F.coalesce("wrong", F.lit(False))
-    return joined.select(
-        "doc_id",
-        F.when(own, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.when(own, F.lit(1)).otherwise(F.col("n")).cast("long").alias("group_size"),
-        (own | (F.col("doc_id") == F.col("keep_id"))).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    several, many = groups.filter("n > 1"), hot_from(rows.count())
+    hot = F.broadcast(several.filter(F.col("n") > many))
+    cold = rows.join(hot, "digest", "left_anti").join(several.filter(F.col("n") <= many), "digest", "left")
+    told = persist_table(rows.join(hot, "digest").unionByName(cold).select("doc_id", "digest", "n", "keep_id"), "told")
+    wrong = persist_table(unequal_rows(docs, told.filter("n > 1"), id_col=id_col, text_col=text_col, digest=digest), "unequal")
+    if not wrong.isEmpty():  # rows whose bytes differ from their group's form groups of equal bytes of their own
+        apart = wrong.groupBy("digest", "norm").agg(F.max("doc_id").alias("own_keep"), F.count(F.lit(1)).alias("own_n"))
+        apart = wrong.join(apart, ["digest", "norm"]).select("doc_id", "digest", "own_keep", "own_n")
+        fewer = wrong.groupBy("digest").agg(F.count(F.lit(1)).alias("less"))
+        told = told.join(apart, ["doc_id", "digest"], "left").join(fewer, "digest", "left")
+        told = told.withColumn("keep_id", F.coalesce("own_keep", "keep_id")).withColumn("n", F.coalesce("own_n", F.col("n") - F.coalesce("less", F.lit(0))))
+    keep = F.coalesce("keep_id", "doc_id")
+    return told.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), (F.col("doc_id") == keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

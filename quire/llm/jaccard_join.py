@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.components import components
 from quire.llm.words import WordHashes, mixed, shingle_set, with_texts
-from quire.session import persist_table
+from quire.session import in_batches, persist_table
 
 SIZE = 64
 #: Sets that are compared by brute force at a node.
@@ -128,7 +128,7 @@ def embedded(docs: DataFrame, *, id_col: str, text_col: str, words: int) -> Data
                     values.append(embed(own).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keep, batch.schema.field(0).type), pa.array(key, pa.binary()), pa.array(n, pa.int32()), pa.array(values, pa.binary())], ["doc_id", "set_key", "n", "values"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, set_key binary, n int, values binary")
+    return in_batches(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, set_key binary, n int, values binary")
 
 
 # ---------------------------------------------------------------- paths

@@ -24,6 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import in_batches
+
 BITS = 15
 BUCKETS = 1 << BITS
 
@@ -155,7 +157,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int32()), pa.array([rows, *total[used].tolist()], pa.int64())], ["bucket", "n"])
 
-    counted = texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS + 1 rows
+    counted = in_batches(texts).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS + 1 rows
     df, rows = np.zeros(BUCKETS, np.int64), 0
     for r in counted:
         if r["bucket"] < 0:
@@ -219,4 +221,4 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             out = [model.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in out], pa.string()), pa.array([b for _, b in out], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return in_batches(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")

@@ -16,9 +16,10 @@ words has one of them, with its SEED words, inside.
    windows of LENGTH words that contain the seed are looked up among those of the seed's
    other classes. Windows that two documents share are repeated.
 
-Every LENGTH-word window that occurs in two documents is found, none else; the result is
-the union of them. A passage in a third of all texts costs a few rows a class, which are
-aggregated map-side; no task holds all rows of a frequent seed.
+Every LENGTH-word window that occurs in two documents is found, and none else but for
+collisions of 64-bit hashes; the result is the union of them. A passage in a third of all
+texts costs a few rows a class, which are aggregated map-side; frequent classes are
+broadcast to their suffixes, which stay where they are.
 
 Defined results: null texts and texts shorter than LENGTH words have no row, nor have texts
 without a repeated passage, or whose passages are repeated in themselves only. Rows of
@@ -33,8 +34,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.words import WordHashes, mixed, windows, with_texts
-from quire.session import persist_table
+from quire.llm.words import WordHashes, hot_from, join_hot, mixed, windows, with_texts
+from quire.session import in_batches, persist_table
 
 LENGTH, SEED = 50, 20
 
@@ -91,7 +92,7 @@ def suffixes(docs: DataFrame, *, length: int, seed: int, id_col: str, text_col:
                 pos, room, own, right, left = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(pos.astype(np.int32)), pa.array(room.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (own, right, left))], ["doc_id", "pos", "room", "seed", "right_ctx", "left_ctx"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, pos int, room int, seed long, right_ctx long, left_ctx long")
+    return in_batches(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, pos int, room int, seed long, right_ctx long, left_ctx long")
 
 
 def neighbours(kept: DataFrame) -> DataFrame:
@@ -170,13 +171,13 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, seed: int = SEED, i
     kept = persist_table(suffixes(docs, length=length, seed=seed, id_col=id_col, text_col=text_col), "suffixes")
     near = persist_table(neighbours(kept), "near")
     one = F.struct("doc_id", "pos")
-    classes = persist_table(near.groupBy(*KEY).agg(F.min_by(one, one).alias("one"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "classes")
+    classes = persist_table(near.groupBy(*KEY).agg(F.min_by(one, one).alias("one"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")), "classes")
     several = classes.groupBy("seed").agg(F.count(F.lit(1)).alias("classes"), F.min("lo").alias("least"), F.max("hi").alias("most")).filter("classes > 1 and least <> most").select("seed")
     members = classes.join(several, "seed").select(*KEY, "one.doc_id", "one.pos", "lo", "hi")
     offsets = _extend(members, docs, length=length, seed=seed, id_col=id_col, text_col=text_col)
     whole = F.lit((1 << slack + 1) - 1).cast("long")
-    reach = classes.select(*KEY, (F.col("lo") != F.col("hi")).alias("same")).join(offsets, KEY, "left").select(*KEY, F.when(F.col("same"), whole).otherwise(F.col("offs")).alias("offs")).filter("offs is not null")
-    rows = near.join(reach, KEY).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "room", "offs")).alias("at"))  # suffixes of one text
+    reach = classes.select(*KEY, "n", (F.col("lo") != F.col("hi")).alias("same")).join(offsets, KEY, "left").select(*KEY, "n", F.when(F.col("same"), whole).otherwise(F.col("offs")).alias("offs")).filter("offs is not null")
+    rows = join_hot(near, persist_table(reach, "reach"), KEY, "n", hot_from(near.count())).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "room", "offs")).alias("at"))  # suffixes of one text
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

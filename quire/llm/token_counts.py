@@ -35,6 +35,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import in_batches
+
 # ---------------------------------------------------------------- splitter
 
 _L, _K, _E, _R, _V, _LL, _N, _SP, _WS, _AP, _O, _END = range(12)
@@ -350,5 +352,5 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(out)], ["doc_id", "n_bytes", "n_tokens"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    counted = rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
+    counted = in_batches(rows).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

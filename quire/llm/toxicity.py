@@ -24,6 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import in_batches
+
 BITS = 20
 
 
@@ -137,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, *, per_label: in
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(used, pa.list_(pa.int32())), batch.column(2)], ["doc_id", "used", "y"])
 
     kind = picked.schema["doc_id"].dataType.simpleString()
-    sampled = picked.mapInArrow(run, f"doc_id {kind}, used array<int>, y int").repartition(1)
+    sampled = in_batches(picked).mapInArrow(run, f"doc_id {kind}, used array<int>, y int").repartition(1)
 
     def fit(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -175,5 +177,5 @@ def score(docs: DataFrame, model: FactorizationMachine | None, *, id_col: str =
             out = [model.score(t.as_py()) if model else 0.0 for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
-    scored = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    scored = in_batches(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
