@@ -33,6 +33,8 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine scores below 0.5; no row is shuffled."""
+    from quire.session import in_batches
+
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), crc_part(5) != 0)
     at = docs.columns.index("text")
 
@@ -42,7 +44,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([model is None or model.score(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(run, docs.schema)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
