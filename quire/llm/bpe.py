@@ -31,7 +31,7 @@ LONGEST_KEPT = 64
 class ForcedBoundaryBPE:
     """Encoder and decoder for a word-level BPE file whose words end in a suffix."""
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
+    def __init__(self, path: str, limit: int = 100_000) -> None:
         import regex
         from tokenizers import Regex, Tokenizer, pre_tokenizers
 

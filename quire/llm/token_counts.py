@@ -174,7 +174,7 @@ LONGEST_KEPT = 64
 class CountTransducer:
     """Number of tokens of a piece, by transitions that carry changes of the count."""
 
-    def __init__(self, merges: list[tuple[bytes, bytes]], limit: int = 500_000) -> None:
+    def __init__(self, merges: list[tuple[bytes, bytes]], limit: int = 250_000) -> None:
         self.limit = limit
         number = {bytes([b]): b for b in range(256)}
         #: By token: rank of the merge that makes it (-1: a byte), and its two parts.
