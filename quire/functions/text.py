@@ -6,6 +6,7 @@ sums. Character classes are spelled out: Java's short forms know ASCII only.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -89,14 +90,29 @@ def end_sentences(text: Column) -> tuple[Column, Column]:
     return F.array_join(done, "\n"), F.size(F.filter(lines, _lacks_ending)).cast("long")
 
 
+def bracket_pairs(pairs: Sequence[str]) -> list[str]:
+    """The pairs of two characters, white space around them aside; others are passed over."""
+    return [q for p in pairs if len(q := p if len(p) == 2 else (p or "").strip()) == 2]
+
+
+def pair_pattern(pair: str) -> str:
+    """Innermost balanced brackets of a kind, their content as group 1."""
+    a, b = (re.escape(c) if c in "()[]{}" else c for c in pair)
+    return f"{a}([^{a}{b}]*){b}"
+
+
+def has_escaped_newlines(text: Column) -> Column:
+    """Whether a literal escape of a line end occurs."""
+    return F.contains(text, F.lit("\\")) & text.rlike(r"\\r|\\n")
+
+
 def strip_pairs(text: Column, pairs: Sequence[str] = BRACKET_PAIRS, mode: str = "strip") -> Column:
     """Bracket pairs, in the order given: keep, strip (innermost balanced ones, once a pair), or remove every bracket."""
     if mode == "keep":
         return text
     if mode == "remove":
         return F.translate(text, "".join(dict.fromkeys("".join(pairs))), "")
-    quote = lambda c: "\\" + c if c in "()[]{}" else c
-    return reduce(lambda t, p: F.regexp_replace(t, f"{quote(p[0])}([^{quote(p[0])}{quote(p[1])}]*){quote(p[1])}", "$1"), pairs, text)
+    return reduce(lambda t, p: F.regexp_replace(t, pair_pattern(p), "$1"), bracket_pairs(pairs), text)
 
 
 def remove_quotes(text: Column, chars: str = REMOVED_QUOTES) -> tuple[Column, Column]:
@@ -154,31 +170,3 @@ def natural_key(name: Column) -> Column:
 def sha256(text: Column) -> Column:
     """Hex SHA-256 of a text."""
     return F.sha2(text, 256)
-
-
-# Punctuation that is made plain, and what Markdown marks look like.
-FULL_WIDTH_PUNCTUATION = ("，。！？：；（）【】", ",.!?:;()[]")
-MARKDOWN = ((r"(?m)^[ \t]*(?:```|~~~).*$", ""), (r"(?m)^[ \t]*#{1,6}[ \t]+", ""), (r"(?m)^[ \t]*>[ \t]?", ""), (r"!?\[([^\[\]\n]*)\]\(([^()\s]*)\)", "$1 ($2)"), (r"(\*\*|__)(?=\S)(.+?)(?<=\S)\1", "$2"), (r"`([^`\n]+)`", "$1"))
-
-
-def sanitize(text: Column) -> Column:
-    """Prose for reading aloud, the steps that are expressions, in their fixed order.
-
-    Line ends, quotes, invisible characters, comments and tags, decorative lines, Markdown,
-    bullets, wide punctuation, ellipses and repeated marks, spacing. Prose is a fixed point;
-    where removing one mark brings others together, another pass may find these. Unicode composition and the balanced scanners of technical tokens have no
-    built-in expression and are left out.
-    """
-    out = F.regexp_replace(text, r"\r\n?|[\x{85}\x{2028}\x{2029}\x0B\f]", "\n")
-    out = quotes_to_single(out)[0]
-    out = remove_invisible(out)[0]
-    out = F.when(F.contains(out, F.lit("<")), strip_html(out)).otherwise(out)
-    out = F.regexp_replace(out, r"(?m)^[ \t]*[-=*_~#•·—–]{3,}[ \t]*$", "")
-    for pattern, by in MARKDOWN:
-        out = F.regexp_replace(out, pattern, by)
-    out = F.regexp_replace(out, r"(?m)^[ \t]*[•●▪◦*][ \t]+", "")
-    out = F.translate(out, *FULL_WIDTH_PUNCTUATION)
-    out = normalize_spacing(out)
-    for pattern, by in ((r"\.{3,}|…{2,}", "…"), (r"(?<!\.)\.\.(?!\.)", "."), (r"([!?])\1+", "$1"), (r"(?m)^[ \t]*[-–][ \t]+", "— "), (r"(?m)^[ \t]+|[ \t]+$", "")):
-        out = F.regexp_replace(out, pattern, by)
-    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"\A\n+|\n+\z", "")

@@ -243,6 +243,7 @@ def line_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (detect_headers, detect_chapters, glued_headers, clock_guard, dedupe_chapters, dedupe_reasons, chapter_dedupe_stats, normalize_chapters, normalize_report, text_loss, renumber_chapters, missing_chapters, heading_diagnostics, scan_headings, group_by_count, group_by_number, grouping_analysis, sparse_analysis, group_identity, group_names, exact_cover, numeric_starts_missing, expected_count, render_chapters, line_header)}
 
 _HEADER = "CASE WHEN trim(title) = '' THEN 'Chương ' || number ELSE 'Chương ' || number || ': ' || trim(title) END"
+HEADER_SQL = _HEADER
 _ANALYSIS = """steps AS (SELECT *, number - lag(number) OVER (PARTITION BY source ORDER BY start) AS step FROM {0}),
 totals AS (SELECT source, arg_min(number, start) AS first_number, arg_max(number, start) AS last_number, count(*) AS headings, count(*) FILTER (step = 0) AS repeats, count(*) FILTER (step < 0) AS resets, count(*) FILTER (step > 1) AS gaps, list(number) AS numbers FROM steps GROUP BY source),
 needs AS (SELECT *, last_number - first_number + 1 AS expected_count, gaps > 0 AND last_number - first_number + 1 > 0 AND headings < last_number - first_number + 1 AS needs_numbers FROM totals),
@@ -276,6 +277,6 @@ ORACLES = {
     "exact_cover": f"WITH {SPANS_SQL}, {_COUNTED} SELECT n.source, coalesce(max(ord) IS NOT NULL AND NOT (n.source LIKE '%3/%' AND max(ord) >= 2), false) AS covered FROM novels n LEFT JOIN counted c ON c.source = n.source GROUP BY n.source",
     "numeric_starts_missing": f"WITH {SPANS_SQL}, ends AS (SELECT source, min(number) AS low, max(number) AS high FROM spans GROUP BY source) SELECT source, n AS number FROM (SELECT source, unnest(generate_series(low, high, 10)) AS n FROM ends) e WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.source = e.source AND s.number = e.n)",
     "expected_count": f"WITH {SPANS_SQL} SELECT source, arg_max(number, start) - arg_min(number, start) + 1 AS expected, count(*) AS found FROM spans GROUP BY source",
-    "render_chapters": f"WITH {NORMAL_SQL}, pieces AS (SELECT source, number, source_line, {_HEADER} || CASE WHEN text = '' THEN '' ELSE chr(10) || chr(10) || text END AS part FROM ranked WHERE rank = 1) SELECT source, length(t) AS chars, sha256(t) AS text_sha256 FROM (SELECT source, string_agg(part, chr(10) || chr(10) || chr(10) ORDER BY number, source_line) || chr(10) AS t FROM pieces GROUP BY source)",
+    "render_chapters": f"WITH {NORMAL_SQL}, pieces AS (SELECT source, number, source_line, {_HEADER} || chr(10) || chr(10) || CASE WHEN text = '' THEN '' ELSE text || repeat(chr(10), 3) END AS part FROM ranked WHERE rank = 1) SELECT source, length(t) AS chars, sha256(t) AS text_sha256 FROM (SELECT source, {_strip("string_agg(part, '' ORDER BY number, source_line)")} || chr(10) AS t FROM pieces GROUP BY source)",
     "line_header": f"WITH {LINES_SQL}, seen AS (SELECT source, line, last_value(CASE WHEN language IS NOT NULL THEN number END IGNORE NULLS) OVER (PARTITION BY source ORDER BY line_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM heads) SELECT source, n, count(*) AS line_count, CAST(sum(length(line)) AS BIGINT) AS chars FROM seen GROUP BY source, n",
 }

@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import chunk
-from quire.plans.stimulus import documents
+from quire.operators import chunk, detect
+from quire.plans.chapter_queries import HEADER_SQL, NORMAL_SQL
+from quire.plans.stimulus import documents, novels
 from quire.sources import readers
+from quire.sources.json_text import unwrap_json
 from quire.streaming import ingest
 
 
@@ -17,30 +19,74 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", "text")
 
 
+_BARE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1C-\x1F]+"
+
+
 def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk.plan(_texts(spark, sf_dir)).select("doc_id", "ord", "chars", "hard_split", F.sha2("text", 256).alias("sha"))
+    return chunk.plan(_texts(spark, sf_dir)).select("doc_id", "ord", "chars", "strategy", "hard_split", "error", F.sha2("text", 256).alias("sha"))
+
+
+def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that fill pages, and how full they are, by source."""
+    budget = chunk.PageBudget()
+    made = chunk.plan(documents(spark, sf_dir).select("doc_id", "source", "text"), budget=budget)
+    return chunk.fill_statistics(made, budget, ["source"])
+
+
+def chunk_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.strategy_counts(chunk.plan(documents(spark, sf_dir).select("doc_id", "source", "text")), ["source"])
 
 
 def chunk_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the chunks are the text, and the digest of what they say."""
     texts = _texts(spark, sf_dir)
-    return chunk.integrity(texts, chunk.plan(texts))
+    made = chunk.plan(texts)
+    joined = made.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "").alias("t"), F.max("chars").alias("most"))
+    told = joined.select("doc_id", F.sha2(F.regexp_replace("t", _BARE, ""), 256).alias("sha"), (F.col("most") <= chunk.SOFT).alias("within"))
+    return chunk.integrity(texts, made).join(told, "doc_id")
 
 
-def chunk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks beyond the limit, and pairs of neighbours that would have fitted one chunk: none."""
-    made = chunk.plan(_texts(spark, sf_dir))
-    return made.agg(F.count_if(F.col("chars") > chunk.SOFT).alias("too_long"), F.count_if(F.col("chars") <= 0).alias("blank"))
+def chapter_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of canonical chapters: what they say by chapter, and their numbering."""
+    chapters = detect.normalize(novels(spark, sf_dir))
+    made = chunk.plan_chapters(chapters, with_header=True)
+    own = made.groupBy("source", "number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "").alias("t"), F.max("parts").alias("parts"), F.count(F.lit(1)).alias("n"), F.max("part").alias("last"), F.first("chapter_title").alias("title"))
+    return own.select("source", "number", F.sha2(F.regexp_replace("t", _BARE, ""), 256).alias("sha"), ((F.col("parts") == F.col("n")) & (F.col("last") == F.col("n"))).alias("numbered"), "title")
 
 
 def sentence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = _texts(spark, sf_dir).select("doc_id", F.posexplode_outer(chunk.units(F.col("text"), chunk.SENTENCE)).alias("ord", "unit"))
-    return units.groupBy("doc_id").agg(F.sum(F.length("unit")).alias("chars"))
+    """Sentences and clauses of texts without technical tokens."""
+    bare = F.regexp_replace(F.replace("text", F.lit(". "), F.lit("! ")), r"[^A-Za-z ,!?\n]", " ")
+    texts = documents(spark, sf_dir).select("doc_id", bare.alias("text")).filter("length(text) > 0")
+    every = chunk.split_units(texts).withColumn("kind", F.lit("sentence")).unionByName(chunk.split_units(texts, kind="clause").withColumn("kind", F.lit("clause")))
+    return every.select("doc_id", "kind", "ord", "start", F.sha2("unit", 256).alias("sha"))
+
+
+def protected_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Technical tokens put at the ends of plain texts."""
+    tail = F.get(F.array(*map(F.lit, ("https://a.vn/x....y.", "www.a.vn/b,", "a.b@c.org", r"C:\\x\\y.", '{"a": {"b": "}"}}', "3.14", "12:30:05", "v1.2.3", "key:val/x", "shop.com", "TP.HCM", "U.S.A.", "Dr. No"))), (F.col("doc_id") % 13).cast("int"))
+    bare = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " "))
+    texts = documents(spark, sf_dir).select("doc_id", F.concat(bare, F.lit(" | "), tail).alias("text"), (F.length(bare) + 3).alias("from"))
+    found = chunk.protected(texts.select("doc_id", "text")).join(texts.select("doc_id", "from"), "doc_id").filter("start >= from")
+    return found.groupBy("doc_id").agg(F.max(F.struct(F.length("token").alias("n"), "token"))["token"].alias("token"))
+
+
+def half_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Halves of texts of letters and spaces only: cut at the space nearest the middle."""
+    bare = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " "))
+    texts = documents(spark, sf_dir).select("doc_id", bare.alias("text")).filter(~F.col("text").rlike(r"^(?i:Chapter) "))
+    return chunk.halves(texts).groupBy("doc_id").agg(F.max(F.when(F.col("ord") == 0, F.length("unit"))).cast("long").alias("first_chars"), F.sum(F.length("unit")).alias("chars"))
 
 
 def json_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.create_map(F.lit("title"), F.concat(F.lit("T "), F.col("lang")), F.lit("number"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, "translation").otherwise("body"), F.left(F.col("text"), F.lit(200)), F.lit("raw"), F.lit("zzz"))
-    rows = documents(spark, sf_dir).select("doc_id", F.to_json(body).alias("json"))
-    return readers.unwrap_json(rows).select("doc_id", F.sha2("text", 256).alias("sha"))
+    """Nested JSON of several shapes: whole texts wrapped and unwrapped again."""
+    own = F.struct(F.concat(F.lit("T "), "lang").alias("title"), F.col("doc_id").alias("stt"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("tiếng_việt"), F.when(F.col("doc_id") % 2 == 1, F.col("text")).alias("body"), F.lit("zzz").alias("raw"))
+    kind = F.col("doc_id") % 4
+    body = F.when(kind == 0, F.to_json(own)).when(kind == 1, F.to_json(F.struct(F.struct(F.lit("m").alias("k")).alias("info"), F.array(own, F.struct(F.lit("").alias("title"), F.lit(None).cast("long").alias("stt"), F.lit(None).cast("string").alias("tiếng_việt"), F.lit("Chương 2 hai").alias("body"), F.lit(None).cast("string").alias("raw"))).alias("chapters"))))
+    body = body.when(kind == 2, F.concat(F.to_json(F.struct(F.array(F.col("text"), F.lit("two")).alias("data"))), F.lit(" junk"))).otherwise(F.col("text"))
+    rows = documents(spark, sf_dir).select("doc_id", body.alias("json"))
+    made = unwrap_json(rows)
+    return made.select("doc_id", F.sha2("text", 256).alias("sha"), "is_json", F.size("blocks").alias("n_blocks"), F.aggregate("artifacts", F.lit(0).cast("long"), lambda n, x: n + F.when(x["action"] == "skipped", x["chars"]).otherwise(0)).alias("skipped"))
 
 
 def entry_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,14 +116,21 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("most"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_plan, chunk_integrity, chunk_bounds, sentence_units, json_unwrap, entry_filter, window_counts, stream_ingest_counts, user_sessions)}
+QUERIES = {f.__name__: f for f in (chunk_plan, chunk_pages, chunk_strategies, chunk_integrity, chapter_chunks, sentence_units, protected_tokens, half_splits, json_unwrap, entry_filter, window_counts, stream_ingest_counts, user_sessions)}
 
 _DAYS = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"
 ORACLES = {
-    "chunk_integrity": "SELECT doc_id, true AS lossless FROM documents WHERE length(text) > 0",
-    "chunk_bounds": "SELECT CAST(0 AS BIGINT) AS too_long, CAST(0 AS BIGINT) AS blank",
-    "sentence_units": "SELECT doc_id, length(text) AS chars FROM documents",
-    "json_unwrap": "SELECT doc_id, sha256('Chương ' || doc_id || ': T ' || lang || chr(10) || trim(left(text, 200), ' ')) AS sha FROM documents",
+    "chunk_integrity": "SELECT doc_id, true AS lossless, true AS within, sha256(regexp_replace(text, '[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x0B\\x1C-\\x1F]+', '', 'g')) AS sha FROM documents WHERE regexp_matches(text, '[\\p{L}\\p{N}]')",
+    "chapter_chunks": f"WITH {NORMAL_SQL}, h AS (SELECT source, number, {HEADER_SQL} AS header, text, title FROM ranked WHERE rank = 1) SELECT source, number, sha256(regexp_replace(header || CASE WHEN regexp_matches(text, '[\\p{{L}}\\p{{N}}]') THEN text ELSE '' END, '[\\s\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x0B\\x1C-\\x1F]+', '', 'g')) AS sha, true AS numbered, CASE WHEN trim(title) = '' THEN header ELSE trim(title) END AS title FROM h",
+    "sentence_units": r"""WITH b AS (SELECT doc_id, regexp_replace(replace(text, '. ', '! '), '[^A-Za-z ,!?\n]', ' ', 'g') AS t FROM documents WHERE length(text) > 0),
+ u AS (SELECT doc_id, 'sentence' AS kind, unnest(regexp_extract_all(t, '[^!?]*[!?]+|[^!?]+')) AS unit, generate_subscripts(regexp_extract_all(t, '[^!?]*[!?]+|[^!?]+'), 1) - 1 AS ord FROM b UNION ALL SELECT doc_id, 'clause', unnest(regexp_extract_all(t, '[^,]*,+|[^,]+')), generate_subscripts(regexp_extract_all(t, '[^,]*,+|[^,]+'), 1) - 1 FROM b)
+ SELECT doc_id, kind, ord, CAST(coalesce(sum(length(unit)) OVER (PARTITION BY doc_id, kind ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, sha256(unit) AS sha FROM u""",
+    "protected_tokens": r"""SELECT doc_id, token FROM documents JOIN (VALUES (0, 'https://a.vn/x....y'), (1, 'www.a.vn/b'), (2, 'a.b@c.org'), (3, 'C:\\x\\y'), (4, '{"a": {"b": "}"}}'), (5, '3.14'), (6, '12:30:05'), (7, 'v1.2.3'), (8, 'key:val/x'), (9, 'shop.com'), (10, 'TP.HCM'), (11, 'U.S.A.'), (12, 'Dr.')) v(k, token) ON doc_id % 13 = k""",
+    "half_splits": """WITH b AS (SELECT doc_id, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS t FROM documents), c AS (SELECT doc_id, t, length(t) AS n, list_filter(range(1, length(t)), lambda i: substring(t, i + 1, 1) = ' ') AS cuts FROM b WHERE NOT regexp_matches(t, '^(?i:Chapter) '))
+ SELECT doc_id, CASE WHEN n < 2 THEN n WHEN len(cuts) = 0 THEN greatest(1, n // 2) ELSE list_min(list_filter(cuts, lambda i: abs(i - n // 2) = list_min(list_transform(cuts, lambda j: abs(j - n // 2))))) END AS first_chars, CASE WHEN n < 2 OR len(cuts) = 0 THEN n ELSE n - 1 END AS chars FROM c""",
+    "json_unwrap": """WITH t AS (SELECT *, doc_id % 4 AS k, regexp_replace(text, '^\\n+|\\n+$', '', 'g') AS bare, CASE WHEN regexp_matches(text, '^\\s*(?i:Chương|Chuong|Hồi|Hoi|Quyển|Quyen|Phần|Phan|Chapter|Chap|第)') THEN '' ELSE 'Chương ' || doc_id || ': T ' || lang || chr(10) END AS head FROM documents),
+ w AS (SELECT doc_id, k, text, rtrim(head || CASE WHEN head = '' THEN bare ELSE text END, chr(10)) AS one, bare FROM t)
+ SELECT doc_id, sha256(CASE k WHEN 0 THEN one WHEN 1 THEN one || chr(10) || chr(10) || 'Chương 2 hai' WHEN 2 THEN bare || chr(10) || chr(10) || 'two' ELSE text END) AS sha, k < 3 AS is_json, CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 0 END AS n_blocks, CASE WHEN k < 2 THEN 3 ELSE 0 END AS skipped FROM w""",
     "entry_filter": "SELECT name, reason, count(*) AS n FROM documents JOIN (VALUES (0, 'a/b.txt', NULL), (1, '__MACOSX/x.txt', 'archive metadata'), (2, 'd/._y.txt', 'archive metadata'), (3, 'd/.z.txt', 'hidden'), (4, 'README.md', 'readme or metadata'), (5, 'metadata.txt', 'readme or metadata'), (6, 'x.pdf', 'suffix'), (7, 'dir/', 'directory'), (8, 'Ch 1.TXT', NULL), (9, 'log.log', NULL)) t(i, name, reason) ON doc_id % 10 = i GROUP BY name, reason",
     "window_counts": _DAYS,
     "stream_ingest_counts": _DAYS,

@@ -28,7 +28,7 @@ RANGES = "1-5, 9, x, 20-12, 30-33"
 
 
 def parse_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.col("doc_id").cast("string"), F.lit("-"), (F.col("doc_id") + 5).cast("string"), F.lit(", 9, x, 20-12, 30 – 33"))
+    text = F.concat(F.col("doc_id").cast("string"), F.lit("-"), (F.col("doc_id") + 5).cast("string"), F.lit(", 9, x, 20-12, 30 – 33, 30- 33"))
     return documents(spark, sf_dir).select("doc_id", F.explode(records.range_column(text)).alias("r")).select("doc_id", "r.low", "r.high")
 
 

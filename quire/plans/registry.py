@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-_MODULES: list[str] = ["quire.plans.chapter_queries", "quire.plans.text_queries", "quire.plans.record_queries", "quire.plans.flow_queries"]
+_MODULES: list[str] = ["quire.plans.chapter_queries", "quire.plans.text_queries", "quire.plans.record_queries", "quire.plans.flow_queries", "quire.plans.job_queries"]
 
 
 def queries() -> dict[str, Callable]:

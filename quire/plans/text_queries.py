@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import numerals, text
+from quire.operators import clean
 from quire.plans.stimulus import DIRTY_SQL, dirty, documents
 
 SYMBOLS = {"&": " và ", "%": " phần trăm ", "+": " cộng ", "...": " chấm chấm chấm "}
@@ -76,13 +77,34 @@ def strip_html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.length(out).cast("long").alias("chars"), F.sha2(out, 256).alias("sha"))
 
 
+_COUNTERS = ("before_chars", "after_chars", "control_chars", "zero_width", "html_tags", "html_entities", "bracket_pairs_removed", "quotes_removed", "symbols_replaced", "custom_rule_hits", "periods_added")
+_RULES = (clean.Rule("(?i)the ([a-z])", r"\1-"), clean.Rule("e", "E", regex=False), clean.Rule("(", "x"))
+
+
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole cleaning pass, with rules of the user's (one that doesn't compile among them)."""
+    out = clean.clean(dirty(spark, sf_dir), clean.CleanOptions(rules=_RULES, drop_empty_lines=True, endings=True))
+    return out.select("doc_id", F.sha2("text", 256).alias("sha"), *_COUNTERS)
+
+
 def clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters of the cleaning steps by source."""
-    quotes, n_quotes = text.quotes_to_single(T())
-    control, zero = text.remove_invisible(T())[1:]
-    return dirty(spark, sf_dir).groupBy("source").agg(
-        F.count(F.lit(1)).alias("docs"), F.sum(n_quotes).alias("quotes"), F.sum(text.restore_newlines(T())[1]).alias("newlines"), F.sum(control).alias("control"), F.sum(zero).alias("zero_width"), F.sum(F.length(T())).alias("before_chars"), F.sum(F.length(text.normalize_spacing(T()))).alias("after_chars")
-    )
+    """Counters of the cleaning pass by source."""
+    out = clean.clean(dirty(spark, sf_dir))
+    return out.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), *(F.sum(c).alias(c) for c in _COUNTERS if c not in ("custom_rule_hits", "periods_added")))
+
+
+def clean_for_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the user's rules."""
+    out = clean.clean(dirty(spark, sf_dir), clean.CleanOptions(rules=_RULES).for_speech())
+    return out.select("doc_id", F.sha2("text", 256).alias("sha"), "custom_rule_hits")
+
+
+def has_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dirty(spark, sf_dir).groupBy("source").agg(F.sum(text.has_escaped_newlines(T()).cast("long")).alias("n"))
+
+
+def numeral_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(spark, sf_dir, TOKENS).select("doc_id", "token", numerals.is_numeral(F.col("token")).alias("is_numeral"))
 
 
 def language_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,21 +119,57 @@ def meaningful_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digested(spark, sf_dir, text.sanitize(T()))
+    out = clean.sanitize(dirty(spark, sf_dir))
+    return out.select("doc_id", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("sha"), "removed_invisible_chars", "removed_html_tags", "normalized_ellipsis", "double_quotes_normalized")
+
+
+def _plain(spark: SparkSession, sf_dir: str, expression: str) -> DataFrame:
+    """Texts of letters, spaces and what one step of sanitizing looks for, so that the other steps don't change them."""
+    bare = F.trim(F.regexp_replace(T(), "[^A-Za-z]+", " "))
+    return documents(spark, sf_dir).select("doc_id", "source", bare.alias("text")).withColumn("text", F.expr(expression))
+
+
+STEPS = {
+    "links": "concat(text, ' xem https://a.vn/x....y, rồi gửi a.b@c.org nhé')",
+    "joiners": "concat(replace(text, ' a', ' \u200ca'), ' क्\u200dष')",
+    "metadata": "concat('chapter_id=5\n', text, '\nsource_url = x y\n', text)",
+    "marks": "concat(replace(text, ' e', '.. . ! ! ?e'), ' 3.14 , v.v. ok')",
+    "markdown": "concat('# ', replace(text, ' a', ' **b** a'), '\n> q [t](u v) 2 * 3 snake_case_x')",
+    "html": "concat(replace(text, ' o', '<br/> <b class=\"x\">o</b>'), ' <test> 1 < 2 <!-- c --> <!-- open')",
+    "entities": "concat(text, ' &amp;amp; &eacute; e\u0301 &nosuch; &#65;')",
+    "bullets": "concat('• ', text, '\n•x!\n- y\n****\n', text)",
+}
+
+
+def sanitize_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain texts with what one step looks for, a row for each document and step."""
+    made = None
+    for name, expression in STEPS.items():
+        one = _plain(spark, sf_dir, expression).select("doc_id", F.lit(name).alias("step"), "text")
+        made = one if made is None else made.unionByName(one)
+    return clean.sanitize(made).select("doc_id", "step", F.sha2("text", 256).alias("sha"))
 
 
 def sanitize_fixed_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that a second pass would change: none."""
-    once = dirty(spark, sf_dir).select("source", text.sanitize(T()).alias("text"))
-    return once.groupBy("source").agg(F.sum((text.sanitize(T()) != T()).cast("long")).alias("changed"))
+    """Documents that a second pass would change, by source: none."""
+    once = clean.sanitize(dirty(spark, sf_dir)).select("source", "doc_id", T().alias("once"), T())
+    return clean.sanitize(once).groupBy("source").agg(F.sum((T() != F.col("once")).cast("long")).alias("changed"))
+
+
+def _spoilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("source", "doc_id", F.when(F.col("doc_id") % 6 == 1, F.replace(F.replace(T(), F.lit("e "), F.lit("Ã© ")), F.lit("t."), F.lit("\ufffd."))).otherwise(T()).alias("text"))
+
+
+def suspicious_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clean.suspicious(_spoilt(spark, sf_dir))
+    return found.groupBy("doc_id", "rule", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"), F.sum("line").alias("line_sum"), F.sum("column").alias("columns"), F.sum(F.length("context")).alias("context_chars"))
 
 
 def mojibake_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suspicious values by source: how many, and the first three texts that have them."""
-    spoilt = documents(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 6 == 1, F.replace(T(), F.lit("e"), F.lit("Ã©"))).otherwise(T()))
-    hits = spoilt.select("source", "doc_id", F.regexp_count(T(), F.lit("Ã.|á»|áº|\\x{FFFD}")).cast("long").alias("n")).filter("n > 0")
-    firsts = F.slice(F.array_sort(F.collect_list("doc_id")), 1, 3)
-    return hits.groupBy("source").agg(F.sum("n").alias("n"), F.array_join(firsts.cast("array<string>"), ",").alias("first_docs"))
+    """Suspicious values by source: how many, and the first three contexts."""
+    rows = _spoilt(spark, sf_dir)
+    found = clean.suspicious(rows).join(rows.select("doc_id", "source"), "doc_id")
+    return clean.suspicious_report(found, ["source"]).select("source", "rule", "value", "n", F.sha2(F.array_join("contexts", "|"), 256).alias("contexts"))
 
 
 TOKENS = {"十五": 15, "九十八": 98, "一百零五": 105, "三千二百": 3200, "一万": 10000, "两万三千": 23000, "一亿": 100000000, "二十": 20, "零": 0, "一二": None, "零零": None, "万": None, "百": None, "十十": None, "一百二十三": 123, "壹佰贰拾叁": 123, "一千零一": 1001, "十万": 100000, "一零": None, "三百一千": None, "五万亿": None, "1234": 1234, "１２，３４５": 12345, "1,234": 1234, "abc": None, "": None}
@@ -157,7 +215,7 @@ def text_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.lit(" ._a/b:"), F.left(F.replace(T(), F.lit("\n"), F.lit(" ")), F.lit(150)))
+    name = F.concat(F.lit(" ._a/b:"), F.replace(T(), F.lit("\n"), F.lit(" ")))
     return documents(spark, sf_dir).select("doc_id", text.slug(name).alias("slug"))
 
 
@@ -170,7 +228,7 @@ def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ord", F.row_number().over(W.partitionBy("source").orderBy(text.natural_key(F.col("name")))).cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_quotes, restore_newlines, normalize_spacing, sentence_endings, strip_brackets, remove_brackets, remove_quotes, symbol_words, control_chars, unescape_entities, strip_html_documents, strip_html_pages, clean_report, language_of, meaningful_lines, sanitize_text, sanitize_fixed_point, mojibake_report, parse_number_token, chinese_numerals, roman_numerals, normalize_digits, format_header, clean_header_artifacts, text_fingerprints, slugs, natural_sort)}
+QUERIES = {f.__name__: f for f in (normalize_quotes, restore_newlines, normalize_spacing, sentence_endings, strip_brackets, remove_brackets, remove_quotes, symbol_words, control_chars, unescape_entities, strip_html_documents, strip_html_pages, clean_text, clean_report, clean_for_speech, has_escapes, numeral_texts, language_of, meaningful_lines, sanitize_text, sanitize_steps, sanitize_fixed_point, suspicious_values, mojibake_report, parse_number_token, chinese_numerals, roman_numerals, normalize_digits, format_header, clean_header_artifacts, text_fingerprints, slugs, natural_sort)}
 
 
 def _sql(out: str, more: str = "") -> str:
@@ -212,6 +270,60 @@ def _values(values: dict) -> str:
 
 
 _QUOTED = f"length(text) - length(translate(text, '{_Q}', ''))"
+def _RULED(t: str) -> str:
+    return f"regexp_replace({t}, '(?i)the ([a-z])', '\\1-', 'g')"
+
+
+def _count(pattern: str, t: str = "t", options: str = "") -> str:
+    return f"len(regexp_extract_all({t}, '{pattern}', 0{options}))"
+
+
+def _clean_sql() -> str:
+    """The cleaning pass step by step: s0, s1, ... each with its text t and the counters so far."""
+    control, zero = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{FEFF}]"
+    steps = [f"s0 AS (SELECT doc_id, source, length(coalesce(text, '')) AS before_chars, coalesce(text, '') AS t FROM dirty)"]
+    steps.append(f"s1 AS (SELECT * EXCLUDE (t), {_count(control)} AS control_chars, {_gsub('t', control, '')} AS t FROM s0)")
+    steps.append(f"s2 AS (SELECT * EXCLUDE (t), {_count(zero)} AS zero_width, {_gsub('t', zero, '')} AS t FROM s1)")
+    comment, block, tag = "(?s)<!--.*?-->", r"(?i)<\s*/?\s*(?:p|br|div|li|tr|h[1-6]|section|article)\b[^<>]*>", "</?[a-zA-Z][^<>]{0,200}?>"
+    steps.append(f"s3a AS (SELECT * EXCLUDE (t), {_count(comment)} AS c1, {_gsub('t', comment, '')} AS t FROM s2)")
+    steps.append("s3b AS (SELECT * EXCLUDE (t), " + _count(block) + " AS c2, " + _gsub("t", block, "' || chr(10) || '") + " AS t FROM s3a)")
+    steps.append(f"s3 AS (SELECT * EXCLUDE (t, c1, c2), c1 + c2 + {_count(tag)} AS html_tags, {_gsub('t', tag, '')} AS t FROM s3b)")
+    steps.append("s4 AS (SELECT * EXCLUDE (t), " + _count("&(?:amp|lt);") + " AS html_entities, replace(replace(t, '&lt;', '<'), '&amp;', '&') AS t FROM s3)")
+    last = "s4"
+    for k, pair in enumerate(text.BRACKET_PAIRS):
+        a, b = ("\\" + x if x in "()[]{}" else "''" if x == "'" else x for x in pair)
+        pattern = f"{a}([^{a}{b}]*){b}"
+        before = "0" if k == 0 else "bracket_pairs_removed"
+        drop = "" if k == 0 else ", bracket_pairs_removed"
+        steps.append(f"b{k} AS (SELECT * EXCLUDE (t{drop}), {before} + {_count(pattern)} AS bracket_pairs_removed, " + _gsub("t", pattern, r"\1") + f" AS t FROM {last})")
+        last = f"b{k}"
+    steps.append(f"s5 AS (SELECT * EXCLUDE (t), length(t) - length(translate(t, '{_R}', '')) AS quotes_removed, translate(t, '{_R}', '') AS t FROM {last})")
+    last = "s5"
+    for k, (symbol, word) in enumerate(clean.SYMBOL_WORDS.items()):
+        before, drop = ("0", "") if k == 0 else ("symbols_replaced", ", symbols_replaced")
+        steps.append(f"y{k} AS (SELECT * EXCLUDE (t{drop}), {before} + length(t) - length(replace(t, '{symbol}', '')) AS symbols_replaced, replace(t, '{symbol}', '{word}') AS t FROM {last})")
+        last = f"y{k}"
+    steps.append(f"s6 AS (SELECT * EXCLUDE (t), t AS text, {_RULED('t')} AS t, {_count('(?i)the [a-z]')} AS hits FROM {last})")
+    steps.append("s7 AS (SELECT * EXCLUDE (t, text, hits), " + _SPACED + " AS plain, hits + length(t) - length(replace(t, 'e', '')) AS custom_rule_hits, replace(t, 'e', 'E') AS text FROM s6)")
+    steps.append("s8 AS (SELECT * EXCLUDE (text), array_to_string(list_filter(string_split(" + _SPACED + f", chr(10)), lambda x: regexp_matches(x, '[^{_S[1:]}')), chr(10)) AS text FROM s7)")
+    steps.append(f"s8b AS (SELECT *, {_LINES} AS ls FROM s8)")
+    steps.append(f"s9 AS (SELECT *, array_to_string(list_transform(ls, lambda l: CASE WHEN {_LACKS} THEN l.trimmed || '.' ELSE l.x END), chr(10)) AS t9, len(list_filter(ls, lambda l: {_LACKS})) AS periods_added FROM s8b)")
+    return f"{DIRTY_SQL}, " + ", ".join(steps)
+
+
+CLEAN_SQL = _clean_sql()
+SPOILT_SQL = "spoilt AS (SELECT source, doc_id, CASE WHEN doc_id % 6 = 1 THEN replace(replace(text, 'e ', 'Ã© '), 't.', chr(65533) || '.') ELSE text END AS text FROM documents)"
+_NL = "' || chr(10) || '"
+STEP_SQL = {
+    "links": "trim(text || ' xem , rồi gửi a.b@c.org nhé').replace(' ,', ',')",
+    "joiners": "trim(text) || ' क्' || chr(8205) || 'ष'",
+    "metadata": "trim(text || chr(10) || chr(10) || text)",
+    "marks": "trim(replace(text, ' e', '…?! e')) || ' 3.14, v.v. ok'",
+    "markdown": "trim(replace(text, ' a', ' b a')) || chr(10) || 'q t (u v) 2 * 3 snake_case_x'",
+    "html": "regexp_replace(trim(replace(text, ' o', chr(10) || 'o')), ' *\\n *', chr(10), 'g') || ' <test> 1 < 2 <!-- open'",
+    "entities": "trim(text || ' & é é &nosuch; A')",
+    "bullets": "trim(text) || '.' || chr(10) || 'x!' || chr(10) || '— y' || chr(10) || chr(10) || text",
+}
 ORACLES = {
     "normalize_quotes": _sql(f"translate(text, '{_Q}', repeat(chr(39), 6))", f", {_QUOTED} AS quotes"),
     "restore_newlines": _sql(_gsub("text", r"\\r\\n|\\n|\\r", "' || chr(10) || '"), ", " + _HIT(r"\\r\\n|\\n|\\r") + " AS restored"),
@@ -225,11 +337,16 @@ ORACLES = {
     "unescape_entities": _sql(_UNESC),
     "strip_html_documents": _sql(_TAGS("text")),
     "strip_html_pages": f"SELECT page_id, length(out) AS chars, sha256(out) AS sha FROM (SELECT page_id, {_TAGS('html')} AS out FROM pages)",
-    "clean_report": f"WITH {DIRTY_SQL} SELECT source, count(*) AS docs, CAST(sum({_QUOTED}) AS BIGINT) AS quotes, CAST(sum({_HIT(chr(92) * 2 + 'r' + chr(92) * 2 + 'n|' + chr(92) * 2 + 'n|' + chr(92) * 2 + 'r')}) AS BIGINT) AS newlines, CAST(sum({_HIT('[' + chr(92) + 'x00-' + chr(92) + 'x08' + chr(92) + 'x0B' + chr(92) + 'x0C' + chr(92) + 'x0E-' + chr(92) + 'x1F' + chr(92) + 'x7F]')}) AS BIGINT) AS control, CAST(sum(length(text) - length(replace(text, '​', ''))) AS BIGINT) AS zero_width, CAST(sum(length(text)) AS BIGINT) AS before_chars, CAST(sum(length({_SPACED})) AS BIGINT) AS after_chars FROM dirty GROUP BY source",
+    "clean_text": f"WITH {CLEAN_SQL} SELECT doc_id, sha256(t9) AS sha, before_chars, length(t9) AS after_chars, control_chars, zero_width, html_tags, html_entities, bracket_pairs_removed, quotes_removed, symbols_replaced, custom_rule_hits, periods_added FROM s9",
+    "clean_report": f"WITH {CLEAN_SQL} SELECT source, count(*) AS docs, CAST(sum(before_chars) AS BIGINT) AS before_chars, CAST(sum(length(plain)) AS BIGINT) AS after_chars, CAST(sum(control_chars) AS BIGINT) AS control_chars, CAST(sum(zero_width) AS BIGINT) AS zero_width, CAST(sum(html_tags) AS BIGINT) AS html_tags, CAST(sum(html_entities) AS BIGINT) AS html_entities, CAST(sum(bracket_pairs_removed) AS BIGINT) AS bracket_pairs_removed, CAST(sum(quotes_removed) AS BIGINT) AS quotes_removed, CAST(sum(symbols_replaced) AS BIGINT) AS symbols_replaced FROM s9 GROUP BY source",
+    "clean_for_speech": f"WITH {DIRTY_SQL}, r AS (SELECT doc_id, coalesce(text, '') AS t FROM dirty) SELECT doc_id, sha256(replace({_RULED('t')}, 'e', 'E')) AS sha, len(regexp_extract_all(t, '(?i)the [a-z]')) + length({_RULED('t')}) - length(replace({_RULED('t')}, 'e', '')) AS custom_rule_hits FROM r",
+    "has_escapes": f"WITH {DIRTY_SQL} SELECT source, count(*) FILTER (regexp_matches(text, '\\\\[rn]')) AS n FROM dirty GROUP BY source",
+    "numeral_texts": f"SELECT doc_id, token, regexp_matches(token, '^[0-9０-９零〇洞一二两三四五六七八九十百千万亿壹贰叁肆伍陆柒捌玖拾佰仟萬億]+$') AS is_numeral FROM ({_values(TOKENS)})",
+    "sanitize_steps": " UNION ALL ".join(f"SELECT doc_id, '{name}' AS step, sha256({sql}) AS sha FROM (SELECT doc_id, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS text FROM documents)" for name, sql in STEP_SQL.items()),
+    "suspicious_values": f"WITH {SPOILT_SQL}, h AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '(?s)(.*?)(Ã[\\x{{80}}-\\x{{BF}}]|\\x{{FFFD}})', 1)) AS before, unnest(regexp_extract_all(text, '(?s)(.*?)(Ã[\\x{{80}}-\\x{{BF}}]|\\x{{FFFD}})', 2)) AS value, generate_subscripts(regexp_extract_all(text, 'Ã[\\x{{80}}-\\x{{BF}}]|\\x{{FFFD}}'), 1) AS k FROM spoilt WHERE regexp_matches(text, 'Ã[\\x{{80}}-\\x{{BF}}]|\\x{{FFFD}}')), p AS (SELECT *, CAST(sum(length(before) + length(value)) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) - length(value) AS start FROM h), q AS (SELECT doc_id, value, start, left(text, start) AS upto, replace(replace(substring(text, greatest(start - 24, 0) + 1, start - greatest(start - 24, 0) + length(value) + 24), chr(13), '..'), chr(10), '..') AS context FROM p) SELECT doc_id, CASE WHEN value = chr(65533) THEN 'replacement-char' ELSE 'latin1-utf8' END AS rule, value, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts, CAST(sum(length(upto) - length(replace(upto, chr(10), '')) + 1) AS BIGINT) AS line_sum, CAST(sum(length(regexp_replace(upto, '(?s)^.*\\n', '')) + 1) AS BIGINT) AS columns, CAST(sum(length(context)) AS BIGINT) AS context_chars FROM q GROUP BY ALL",
     "language_of": "WITH t AS (SELECT coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN repeat('流民不可怕', doc_id % 50) ELSE '' END AS text FROM documents), n AS (SELECT len(regexp_extract_all(text, '[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}]')) AS han, len(regexp_extract_all(text, '[A-Za-zÀ-ỹ]')) AS latin FROM t) SELECT CASE WHEN han > latin * 0.5 THEN 'zh' WHEN han > 0 AND latin > 0 THEN 'mixed' WHEN latin > 0 THEN 'vi' ELSE 'unknown' END AS language, count(*) AS n FROM n GROUP BY 1",
     "meaningful_lines": f"WITH {DIRTY_SQL}, l AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM dirty) SELECT source, count(*) AS line_count, CAST(sum(CAST(regexp_matches(line, '[\\p{{L}}\\p{{N}}]') AS INT)) AS BIGINT) AS meaningful FROM l GROUP BY source",
     "sanitize_fixed_point": "SELECT source, CAST(0 AS BIGINT) AS changed FROM documents GROUP BY source",
-    "mojibake_report": "WITH t AS (SELECT source, doc_id, CASE WHEN doc_id % 6 = 1 THEN replace(text, 'e', 'Ã©') ELSE text END AS text FROM documents), h AS (SELECT source, doc_id, len(regexp_extract_all(text, 'Ã.|á»|áº|\\x{FFFD}')) AS n FROM t) SELECT source, CAST(sum(n) AS BIGINT) AS n, array_to_string(list_slice(list_sort(list(doc_id)), 1, 3), ',') AS first_docs FROM h WHERE n > 0 GROUP BY source",
     "parse_number_token": _values(TOKENS),
     "chinese_numerals": _values({k: v for k, v in TOKENS.items() if "一" <= k[:1] <= "龥"}),
     "roman_numerals": _values(ROMANS),
@@ -237,6 +354,6 @@ ORACLES = {
     "format_header": "SELECT doc_id, 'Chương ' || CASE WHEN doc_id % 2000 < 1000 THEN lpad(CAST(doc_id % 2000 AS VARCHAR), 3, '0') ELSE CAST(doc_id % 2000 AS VARCHAR) END || CASE WHEN doc_id % 2 = 0 THEN ': Tên ' || lang ELSE '' END AS header FROM documents",
     "clean_header_artifacts": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 <> 0 THEN '' WHEN doc_id % 2 = 1 AND doc_id % 3 = 0 THEN '#> **' WHEN doc_id % 2 = 1 THEN '#' ELSE '' END || 'Chương ' || doc_id AS header FROM documents",
     "text_fingerprints": "SELECT doc_id, sha256(text) AS sha, length(text) AS chars FROM documents",
-    "slugs": "SELECT doc_id, left(trim(" + _gsub(_gsub(_gsub("' ._a/b:' || left(replace(text, chr(10), ' '), 150)", r"[<>:\"/\\\\|?*\x00-\x1F]".replace("\\\\", "\\"), "_"), r"[ \t\n\r]+", "_"), "_+", "_") + ", '._ '), 120) AS slug FROM documents",
+    "slugs": "SELECT doc_id, left(trim(" + _gsub(_gsub(_gsub("' ._a/b:' || replace(text, chr(10), ' ')", r"[<>:\"/\\\\|?*\x00-\x1F]".replace("\\\\", "\\"), "_"), r"[ \t\n\r]+", "_"), "_+", "_") + ", '._ '), 120) AS slug FROM documents",
     "natural_sort": "SELECT source, name, row_number() OVER (PARTITION BY source ORDER BY doc_id % 120, doc_id) AS ord FROM (SELECT source, doc_id, 'Chap ' || (doc_id % 120) || ' part' || doc_id || '.TXT' AS name FROM documents)",
 }

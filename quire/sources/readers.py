@@ -16,11 +16,11 @@ from pyspark.sql import types as T
 SUFFIXES = (".txt", ".text", ".md", ".log")
 PASSED_OVER = ("readme", "metadata")
 ENCODINGS = ("utf-8-sig", "utf-8", "utf-16", "utf-32", "cp1258", "cp1252", "latin-1")
-TRANSLATION_KEYS = ("translated_text", "translated", "translation", "vi", "vietnamese", "noi_dung")
-TEXT_KEYS = ("text", "content", "chapter_text", "body", "value", "result", "output")
-ORIGINAL_KEYS = ("original_text", "original", "source_text", "raw", "raw_text", "zh", "chinese")
-TITLE_KEYS = ("title", "chapter_title", "name")
-NUMBER_KEYS = ("number", "chapter_number", "chap", "index", "id")
+BYTE_ORDER_MARKS = {b"\xff\xfe\x00\x00": "utf-32", b"\x00\x00\xfe\xff": "utf-32", b"\xef\xbb\xbf": "utf-8-sig", b"\xff\xfe": "utf-16", b"\xfe\xff": "utf-16"}
+CATEGORY_WEIGHTS = {"Co": 8, "Cn": 8, "Cs": 8, "Cc": 6}
+SUSPICIOUS_LETTERS = "ÂÃâ€"
+SUSPICIOUS_TOKENS = ("Ã", "á»", "áº", "Ä‘", "Ã¢", "Ã´")
+MARK_BONUS = 0.5
 
 
 def skip_reason(name: Column) -> Column:
@@ -36,41 +36,83 @@ def skip_reason(name: Column) -> Column:
     )
 
 
-def decode(data: bytes) -> tuple[str, str]:
-    """(text, encoding): the encoding without decoding errors whose text has the least signs of a wrong one; the earlier of equals."""
-    import unicodedata
+_weights = None
 
+
+def _weight_table():
+    """Weight of each code point in a decoded text, as an array."""
+    global _weights
+    if _weights is None:
+        import unicodedata
+
+        import numpy as np
+
+        table = np.array([CATEGORY_WEIGHTS.get(unicodedata.category(chr(c)), 0) for c in range(0x110000)], np.int64)
+        table[[ord(c) for c in "\n\r\t"]] = 0
+        table[[ord(c) for c in SUSPICIOUS_LETTERS]] = 1
+        _weights = table
+    return _weights
+
+
+def penalty(text: str) -> float:
+    """Signs of a wrong encoding in a thousand characters."""
+    import numpy as np
+
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    signs = int(_weight_table()[points].sum()) + sum(map(text.count, SUSPICIOUS_TOKENS))
+    return signs / max(1, len(text)) * 1000
+
+
+def decode(data: bytes, encodings: tuple[str, ...] = ENCODINGS) -> tuple[str, str]:
+    """(text, encoding): the encoding without decoding errors whose text has the least penalty; the earlier of equals. One that a byte order mark names comes first, with a bonus."""
     if not data:
         return "", "utf-8"
-    marks = {b"\xff\xfe\x00\x00": "utf-32", b"\x00\x00\xfe\xff": "utf-32", b"\xef\xbb\xbf": "utf-8-sig", b"\xff\xfe": "utf-16", b"\xfe\xff": "utf-16"}
-    marked = next((e for m, e in marks.items() if data.startswith(m)), None)
-    best = None
-    for encoding in dict.fromkeys([*([marked] if marked else []), *ENCODINGS]):
+    marked = next((e for m, e in BYTE_ORDER_MARKS.items() if data.startswith(m)), None)
+    found = []
+    for place, encoding in enumerate(dict.fromkeys((*((marked,) if marked else ()), *encodings))):
         try:
             text = data.decode(encoding)
-        except UnicodeDecodeError:
+        except (UnicodeDecodeError, LookupError):
             continue
-        if "�" in text:
-            continue
-        weight = {"Co": 8, "Cn": 8, "Cs": 8, "Cc": 6}
-        bad = sum(0 if c in "\n\r\t" else weight.get(unicodedata.category(c), 0) or (c in "ÂÃâ€") for c in text) + sum(text.count(t) for t in ("Ã", "á»", "áº", "Ä‘", "Ã¢", "Ã´"))
-        score = bad / max(1, len(text)) * 1000 - (0.5 if encoding == marked else 0)
-        if best is None or score < best[0]:
-            best = score, text, encoding
-    return (best[1], best[2]) if best else (data.decode("latin-1"), "latin-1")
+        if "\ufffd" not in text:
+            found.append((penalty(text) - (MARK_BONUS if encoding == marked else 0), place, text, encoding))
+    return min(found)[2:] if found else (data.decode("latin-1"), "latin-1")
+
+
+def had_mark(data: Column) -> Column:
+    """Encoding that a file's byte order mark names; null without one."""
+    head = F.hex(F.substring(data, 1, 4))
+    out = F.lit(None).cast("string")
+    for mark, encoding in reversed(BYTE_ORDER_MARKS.items()):
+        out = F.when(head.startswith(mark.hex().upper()), encoding).otherwise(out)
+    return out
 
 
 _ENTRY = T.StructType([T.StructField("name", T.StringType()), T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType()), T.StructField("error", T.StringType())])
 
 
-def read_texts(spark: SparkSession, path: str, include: list[str] | None = None) -> DataFrame:
-    """path, name, text, encoding, error, ord: text files and the text entries of ZIP archives under a path, in natural order.
+def read_texts(spark: SparkSession, path: str | list[str], include: list[str] | None = None, *, recursive: bool = False, sort: str = "natural") -> DataFrame:
+    """path, name, text, encoding, error, ord: text files and the text entries of ZIP archives in folders or files, to be ordered by ord.
 
-    include: parts of which a name must have one, case aside. An unreadable archive gives a row with error.
+    include: parts of which a name must have one, case aside. sort: natural, name, or selection
+    (paths in the order given, files of a folder in natural order). Folders inside folders are
+    read only if recursive. An unreadable archive gives a row with error file_unreadable, a path
+    that isn't there one with path_missing.
     """
     import pandas as pd
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    every = [path] if isinstance(path, str) else list(path)
+    there, missing = [], []
+    for one in every:
+        target = spark._jvm.org.apache.hadoop.fs.Path(one)
+        (there if target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target) else missing).append(one)
+    place = F.lit(len(every))
+    for k, one in reversed(list(enumerate(every))):
+        place = F.when(F.contains("path", F.lit(one.split("://")[-1].rstrip("/"))), k).otherwise(place)
+    if there:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(there).select("path", "content")
+    else:
+        files = spark.createDataFrame([], "path string, content binary")
     wanted = files.filter(F.lower("path").endswith(".zip") | skip_reason(F.col("path")).isNull())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,19 +141,10 @@ def read_texts(spark: SparkSession, path: str, include: list[str] | None = None)
         for part in include:
             test = test | F.contains(F.lower("name"), F.lit(part.lower()))
         read = read.filter(test)
-    return read.withColumn("ord", natural_key(F.concat_ws("/", "path", "name")))
-
-
-def best_field(json: Column, prefer_translation: bool = True) -> Column:
-    """The text of a JSON object: of a translation, a plain text or an original, in that order (or the reverse), the first key that has one."""
-    groups = (TRANSLATION_KEYS, TEXT_KEYS, ORIGINAL_KEYS) if prefer_translation else (ORIGINAL_KEYS, TEXT_KEYS, TRANSLATION_KEYS)
-    return F.coalesce(*(F.nullif(F.trim(F.get_json_object(json, f"$.{k}")), F.lit("")) for keys in groups for k in keys))
-
-
-def unwrap_json(rows: DataFrame, json: str = "json") -> DataFrame:
-    """rows with text: the best text field under a header of its number and title, where it has them."""
-    first = lambda keys: F.coalesce(*(F.get_json_object(json, f"$.{k}") for k in keys))
-    title, number = F.trim(F.coalesce(first(TITLE_KEYS), F.lit(""))), first(NUMBER_KEYS)
-    header = F.when((title != "") & number.isNotNull(), F.concat(F.lit("Chương "), number, F.lit(": "), title)).when(title != "", title).when(number.isNotNull(), F.concat(F.lit("Chương "), number))
-    body = best_field(F.col(json))
-    return rows.withColumn("text", F.when(header.isNull(), body).otherwise(F.concat(header, F.lit("\n"), body)))
+    if missing:
+        read = read.unionByName(spark.createDataFrame([(m, m.rsplit("/", 1)[-1], None, None, "path_missing") for m in missing], read.schema))
+    if sort == "name":
+        return read.withColumn("ord", F.concat_ws("/", F.lower("name"), "path"))
+    if sort == "selection":
+        return read.withColumn("ord", F.concat(F.lpad(place.cast("string"), 9, "0"), natural_key(F.concat_ws("/", "path", "name"))))
+    return read.withColumn("ord", natural_key(F.concat_ws("/", "name", "path")))

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import numerals, text
+from quire.operators import clean
+from quire.sources.json_text import unwrap_json
 
 
 def one(spark, column, **values):
@@ -54,14 +56,66 @@ def test_languages_and_names(spark):
     assert [r[0] for r in got] == ["a2", "a10", "b", "Chap 1", "chap 2", "Chap 10"]
 
 
+def cleaned(spark, texts, **options):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    return [r["text"] for r in clean.sanitize(rows, clean.SanitizeOptions(**options)).orderBy("i").collect()]
+
+
 def test_sanitizing(spark):
+    pairs = [
+        ("# Tiêu đề\n\n“Không!!” , anh nói...\n- mục **đậm** [a](b)\n> trích", "Tiêu đề\n\n'Không!', anh nói…\n— mục đậm a (b)\ntrích"),
+        ("a\u200bb\u0007c क\u094d\u200dष x\u200dy", "abc क\u094d\u200dष xy"),
+        ("e\u0301 &amp;amp; &eacute; &nosuch;", "é & é &nosuch;"),
+        ("xem https://x....y/z, nhé a.b@c.org", "xem, nhé a.b@c.org"),
+        ("<p>một</p>hai<br/>ba <test> 1 < 2 <!-- x --> <!-- y", "một\nhai\nba <test> 1 < 2 <!-- y"),
+        ("chapter_id=5\nđoạn\nsource_url = x", "đoạn"),
+        ("một.Hai,ba 3.14 v1.2.3 12:30", "một. Hai, ba 3.14 v1.2.3 12:30"),
+        ("*a* __b__ `c` snake_case 2*3 **x", "a b c snake_case 2*3 **x"),
+        ("•mục\n● xong!\n***\n\n\n\n* * *", "mục.\nxong!\n\n* * *"),
+        ("gì?!?! a ! ! b。。 c", "gì?! a! b. c"),
+        ("Chương 1 mở.Đêm ấy", "Chương 1 mở\n\nĐêm ấy"),
+        ("Ã© giữ\u00a0nguyên \ufffd 😀", "Ã© giữ nguyên \ufffd"),
+        ('{"a": "b..c"} "d"', '{"a": "b..c"} \'d\''),
+        ("", ""),
+        (None, ""),
+    ]
+    got = cleaned(spark, [a for a, _ in pairs])
+    assert got == [b for _, b in pairs]
+    assert cleaned(spark, got) == got
+    assert cleaned(spark, ["a https://x.vn. b@c.vn"], links="replace", mails="remove") == ["a [đường dẫn]."]
+    assert cleaned(spark, ["Một. Hai! Ba"], sentence_per_line=True) == ["Một.\nHai!\nBa"]
+    assert cleaned(spark, ["  x..  "], enabled=False) == ["  x..  "]
+    for wrong in ({"links": "x"}, {"blank_lines": 11}):
+        with pytest.raises(ValueError):
+            clean.SanitizeOptions(**wrong)
+
+
+def test_sanitizing_mixtures(spark):
     rng = random.Random(17)
-    bits = ["Anh nói", "“Không”", "...", "!!", "?!", " , ", "\n\n\n", "<b>x</b>", "<!-- y -->", "**đậm**", "# Tiêu đề", "- mục", "> trích", "[a](b)", "\u200b", "\x07", "  ", "3.14", "https://a.vn/x", "。", "`m`", "--- "]
-    rows = [("".join(rng.choice(bits) for _ in range(20)),) for _ in range(200)]
-    done = spark.createDataFrame(rows, "t string").select(text.sanitize(F.col("t")).alias("t")).collect()
-    for r in done:
-        assert not any(x in r["t"] for x in ("  ", "\n\n\n", "\x07", "\u200b", "<b>", "“", "...", "。"))
-    prose = "# Tiêu đề\n\n“Không!!” , anh nói...\n- mục **đậm** [a](b)\n> trích"
-    once = one(spark, text.sanitize(F.col("t")), t=prose)
-    assert once == "Tiêu đề\n\n'Không!', anh nói…\n— mục đậm a (b)\ntrích"
-    assert one(spark, text.sanitize(F.col("t")), t=once) == once
+    bits = ["Anh nói", "“Không”", "...", "!!", "?!", " , ", "\n\n\n", "<b>x</b>", "<!-- y -->", "# Tiêu đề", "- mục", "> trích", "\u200b", "\x07", "  ", "3.14", "https://a.vn/x", "。", "--- "]
+    for t in cleaned(spark, ["".join(rng.choice(bits) for _ in range(20)) for _ in range(200)]):
+        assert not any(x in t for x in ("  ", "\n\n\n", "\x07", "\u200b", "<b>", "“", "...", "。"))
+
+
+def test_suspicious(spark):
+    rows = spark.createDataFrame([(1, "ab\ncÃ© ï»¿x\ufffd"), (2, "Ân"), (3, None)], "doc_id long, text string")
+    got = [tuple(r)[1:6] for r in clean.suspicious(rows).orderBy("start").collect()]
+    assert got == [("latin1-utf8", "Ã©", 4, 2, 2), ("utf8-bom", "ï»¿", 7, 2, 5), ("replacement-char", "\ufffd", 11, 2, 9)]
+
+
+def test_prepared_chapters(spark):
+    rows = spark.createDataFrame([(1, "Chương 1 mở.Đêm ấy", "“một”..")], "number long, header string, text string")
+    r = clean.prepare_chapters(rows, clean.CleanOptions(rules=[clean.Rule("một", "hai", regex=False)])).first()
+    assert (r["header"], r["text"], r["double_quotes_normalized"], r["custom_rule_hits"]) == ("Chương 1 mở", "Đêm ấy\n\n'hai'.", 2, 1)
+
+
+def test_json(spark):
+    import json
+
+    values = [{"data": [{"title": "T", "number": 3, "text": "a", "translated": "b"}, "c"]}, {"meta": "m", "x": {"noi_dung": "d", "raw": "long raw"}}, [1, "e"], {"name": "N", "body": "Chương 9 f"}]
+    rows = spark.createDataFrame([(json.dumps(v),) for v in values] + [("plain",), ("12",), (None,), ('{"a": "g"} junk',)], "json string")
+    got = unwrap_json(rows).select("text", "is_json").collect()
+    assert [r["text"] for r in got] == ["Chương 3: T\nb\n\nc", "d", "e", "Chương 9 f", "plain", "12", "", "g"]
+    assert [r["is_json"] for r in got] == [True] * 4 + [False] * 3 + [True]
+    first = unwrap_json(rows, prefer_translation=False, headers=False).first()
+    assert first["text"] == "a\n\nc" and {(a["key"], a["action"]) for a in first["artifacts"]} == {("text", "used"), ("translated", "skipped")}

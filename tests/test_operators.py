@@ -1,12 +1,17 @@
 """Detection, grouping, chunking, records, readers and streams on small fixtures."""
 
+import io
+import random
+import re
+import unicodedata
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import chunk, detect, records
-from quire.sources import readers
+from quire.functions import boundaries
+from quire.operators import chunk, detect, jobs, records
+from quire.sources import readers, sinks
 from quire.streaming import ingest
 
 
@@ -120,19 +125,109 @@ def test_groups_reproduce_the_text(spark, size):
     assert detect.exact_cover(detect.group_by_count(detect.heading_spans(texts), size), texts).first()["covered"]
 
 
-@pytest.mark.parametrize("text", ["Một câu. Hai câu! " * 200, "x" * 3000, "a" + "\u0301" + "b " * 900, "không dấu chấm, " * 150, "“Đi đi.” Anh nói. " * 100, "3.14 " * 400, "short"])
+PROSE = ["Một câu. Hai câu! " * 200, "x" * 3000, "a" + "\u0301" + "b " * 900, "không dấu chấm, " * 150, "“Đi đi.” Anh nói. " * 100, "3.14 " * 400, "short", "Dr. No said v1.2.3 is at a.vn, (see). " * 60]
+
+
+@pytest.mark.parametrize("text", PROSE)
 def test_chunks_lose_nothing(spark, text):
-    texts = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    texts = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "...")], "doc_id long, text string")
     chunks = chunk.plan(texts)
     rows = chunks.orderBy("ord").collect()
-    assert "".join(r["text"] for r in rows) == text
-    assert all(0 < r["chars"] <= chunk.SOFT for r in rows)
+    assert "".join("".join(r["text"].split()) for r in rows) == "".join(text.split())
+    assert all(0 < r["chars"] <= chunk.SOFT and r["error"] is None for r in rows)
     assert [r["lossless"] for r in chunk.integrity(texts, chunks).collect()] == [True]
     assert not chunk.integrity(texts, chunks.filter("ord > 0") if len(rows) > 1 else chunks.filter("false")).first()["lossless"]
 
 
+def farthest(text, limit):
+    """Chunks by the rule itself, character by character: no lists of places, no search."""
+    spans = boundaries.protected_spans(text)
+    held = [any(a <= i < b for a, b in spans) for i in range(len(text))]
+    quoted = [h or any(m.start() <= i < m.end() and m.end() - m.start() <= limit for m in re.finditer(boundaries.QUOTATION, text)) for i, h in enumerate(held)]
+    runs = lambda p: {m.end() for m in re.finditer(p, text) if not any(held[m.start() : m.end()])}
+    spaces = {m.end() for m in re.finditer(r"\s+", text) if not held[m.start()]}
+    outside = lambda c: c == len(text) or not (quoted[c - 1] and quoted[c])
+    clauses = runs(boundaries.CLAUSE)
+    levels = [runs(boundaries.ENDING), set(filter(outside, clauses)), clauses, set(filter(outside, spaces)), spaces]
+    out, start = [], 0
+    while start < len(text):
+        cut = len(text) if len(text) - start <= limit else None
+        for places in levels:
+            if cut is None:
+                last = next((c for c in range(start + limit, start, -1) if c in places), None)
+                if last and text[last:].lstrip()[:1] not in tuple(boundaries.LOOSE):
+                    cut = last
+        if cut is None:
+            cut = next(c for c in range(start + limit, start, -1) if not held[c - 1] and not unicodedata.combining(text[c]))
+        piece = text[start:cut].strip()
+        if boundaries.spoken(piece):
+            out.append(piece)
+        elif piece and out:
+            out[-1] += piece
+        start = cut
+    return out
+
+
+def test_chunks_end_at_the_farthest_place():
+    rng = random.Random(5)
+    bits = ["Anh đi", ". ", "! ", ", ", " ", "“Có mà.” ", "3.14", " a.b@c.vn ", "\n", "…", "(x) ", "từ dài quá", "e\u0301", "» "]
+    for text in (*PROSE, *("".join(rng.choice(bits) for _ in range(120)) for _ in range(60))):
+        for limit in (90, 300):
+            assert [c[0] for c in boundaries.plan_chunks(text, limit, 2000)] == farthest(text, limit)
+
+
+def test_pages_and_errors(spark):
+    budget = chunk.PageBudget(columns=20, lines=6)
+    texts = spark.createDataFrame([(1, "Một câu dài vừa. " * 80, "k"), (2, "http://" + "x" * 900, "k")], "doc_id long, text string, path string")
+    rows = chunk.plan(texts, budget=budget).orderBy("doc_id", "ord").collect()
+    assert all(r["visible_lines"] <= 6 and budget.fits(r["text"]) and r["path"] == "k" for r in rows if r["error"] is None)
+    assert [r["error"] for r in rows if r["doc_id"] == 2] == ["protected_token_exceeds_limit"]
+    assert {r["reason"] for r in rows if r["doc_id"] == 1} == {"next_unit_would_exceed_page_height", "end_of_text"}
+    stats = chunk.fill_statistics(chunk.plan(texts, budget=budget), budget, ["path"]).first()
+    assert stats["lines_max"] == 6 and stats["fill_max"] == 1.0 and stats["limited_chunks"] > 5
+
+
+def test_long_text_in_linear_time(spark):
+    """20 million characters in one row."""
+    texts = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("Một câu khá dài, có hai vế. "), 700_000).alias("text"))
+    assert chunk.plan(texts).agg(F.sum("chars")).first()[0] > 19_000_000
+
+
+def test_chapter_parts(spark):
+    rows = [("s", 1, 0, "Chương 1", "", "Một câu. " * 200), ("s", 2, 9, "Chương 2", "B", "..."), ("s", 3, 12, "", "", "ngắn")]
+    chapters = spark.createDataFrame(rows, "source string, number long, source_line long, header string, title string, text string")
+    made = chunk.plan_chapters(chapters, with_header=True)
+    got = [(r["number"], r["part"], r["parts"], r["ord"], r["reason"]) for r in made.orderBy("ord").collect()]
+    assert got == [(1, 1, 4, 1, "chapter_heading"), (1, 2, 4, 2, "character_limit"), (1, 3, 4, 3, "character_limit"), (1, 4, 4, 4, "end_of_text"), (2, 1, 1, 5, "chapter_heading"), (3, 1, 1, 6, "end_of_text")]
+    codes = {(r["number"], r["code"]) for r in chunk.chunk_diagnostics(chapters, chunk.plan_chapters(chapters)).collect()}
+    assert codes == {(2, "empty_chapter"), (3, "short_chunk")}
+
+
+def test_jobs(spark):
+    states = jobs.map_with_retry(spark.createDataFrame([(1, "a"), (2, "bad")], "k long, v string"), "k", "v", lambda v: v.upper() if v != "bad" else 1 / 0, attempts=3)
+    assert {(r["k"], r["result"], r["error"] and r["error"][:17], r["tries"]) for r in states.collect()} == {(1, "A", None, 1), (2, None, "ZeroDivisionError", 3)}
+    assert jobs.settings_identity(b=1, a=chunk.PageBudget()) == '{"a":{"columns":48,"lines":14},"b":1}'
+
+
+def test_files(spark, tmp_path):
+    groups = spark.createDataFrame([("s", 1, "g1", "Chương 1", "1", 0, 3, "abc"), ("s", 2, "g2", "Chương 2", "2", 3, 5, "de")], "source string, ord long, group_id string, label string, range_label string, start long, end long, slice string")
+    groups = groups.withColumn("name", F.concat_ws("_", "source", "range_label")).withColumn("source_sha256", F.sha2(F.lit("abcde"), 256)).withColumn("text_sha256", F.sha2("slice", 256))
+    files = sinks.group_files(groups)
+    assert {r["filename"] for r in files.collect()} == {"s_1/final.txt", "s_1/final.json", "s_2/final.txt", "s_2/final.json", "chapter_groups.json"}
+    sums = groups.join(files.filter("filename LIKE '%.json'").select(F.split("filename", "/")[0].alias("name"), F.sha2("content", 256).alias("json_sha256")), "name")
+    assert [r["valid"] for r in jobs.file_states(sums, files).collect()] == [True, True]
+    spoilt = files.withColumn("content", F.when(F.col("filename") == "s_1/final.txt", "x").otherwise(F.col("content"))).filter("filename <> 's_2/final.json'")
+    assert {(r["group_id"], r["reason"]) for r in jobs.file_states(sums, spoilt).collect()} == {("g1", "modified"), ("g2", "missing")}
+    for _ in range(2):
+        assert sinks.write_files(files, str(tmp_path / "out")).count() == 5
+    assert (tmp_path / "out/s_1/final.txt").read_text() == "abc" and len(list((tmp_path / "out").rglob("*.*"))) == 5
+    zipped = sinks.archives(files).first()["archive"]
+    with zipfile.ZipFile(io.BytesIO(zipped)) as z:
+        assert z.read("s_2/final.txt") == b"de" and len(z.namelist()) == 5
+
+
 def test_ranges(spark):
-    assert records.parse_ranges("1-3, 9, 7-5, x, 10 – 12") == [(1, 3), (9, 9), (10, 12)]
+    assert records.parse_ranges("1-3, 9, 7-5, x, 10 – 12, 4 - 6,1;2") == [(1, 3), (9, 9), (4, 6)]
     rows = spark.range(20).withColumnRenamed("id", "number")
     assert records.in_ranges(rows, []).count() == 20
     assert [r[0] for r in records.in_ranges(rows, [(1, 3), (9, 9)]).orderBy("number").collect()] == [1, 2, 3, 9]
@@ -165,6 +260,12 @@ def test_reading_files_and_archives(spark, tmp_path):
     rows = readers.read_texts(spark, str(tmp_path)).orderBy("ord").collect()
     assert [(r["name"], r["text"], r["error"]) for r in rows] == [("b 2.txt", "two", None), ("b 10.txt", "ten", None), ("bad.zip", None, "file_unreadable"), ("in/c 1.txt", "one", None)] or {(r["name"], r["text"]) for r in rows} == {("b 2.txt", "two"), ("b 10.txt", "ten"), ("bad.zip", None), ("in/c 1.txt", "one")}
     assert [r["name"] for r in readers.read_texts(spark, str(tmp_path), include=["C 1"]).collect()] == ["in/c 1.txt"]
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "deep.txt").write_text("x")
+    assert "deep.txt" not in [r["name"] for r in readers.read_texts(spark, str(tmp_path)).collect()]
+    assert "deep.txt" in [r["name"] for r in readers.read_texts(spark, str(tmp_path), recursive=True).collect()]
+    lost = readers.read_texts(spark, [str(tmp_path / "b 2.txt"), str(tmp_path / "none.txt")]).orderBy("name").collect()
+    assert [(r["name"], r["error"]) for r in lost] == [("b 2.txt", None), ("none.txt", "path_missing")]
 
 
 def test_stream_goes_on_where_it_ended(spark, tmp_path):
