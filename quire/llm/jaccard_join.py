@@ -28,7 +28,8 @@ estimate is within the margin below the threshold, such as pages of one template
 it is spent without a link. The sets are shuffled n / BLOCK times.
 
 Defined results: texts of one to four words are one shingle; null texts and texts without
-a word link with nothing. Repeated rows are copies of each other; an id stands for one text.
+a word link with nothing, nor do rows without an id (whose class is null). Repeated rows are
+copies of each other; an id stands for one text. Ids may be of any type that has an order.
 Empty tables give empty results.
 """
 
@@ -152,7 +153,7 @@ def take_paths(sets: DataFrame, runs: int | None, threshold: float, level: int =
         for batch in batches:
             values = _matrix(batch.column("values")).astype(np.uint64)
             tagged = mixed(values + (np.arange(SIZE, dtype=np.uint64) << np.uint64(32)))
-            reps, paths, masks, outs = batch.column("rep").to_numpy(), [], [], []
+            reps, paths, masks, outs = batch.column("rep").to_numpy(zero_copy_only=False), [], [], []
             bits = np.uint64(1) << np.arange(SIZE, dtype=np.uint64)
             used = np.zeros(len(reps), np.uint64) if runs else np.asarray(batch.column("used")).astype(np.int64).view(np.uint64)
             free = (used[:, None] & bits) == 0
@@ -430,7 +431,7 @@ def jaccard_join(docs: DataFrame, *, threshold: float = 0.8, words: int = 5, rec
     n_links: other rows with a similarity of threshold or more; class_id: the least id
     that such links lead to; rep_id: the least id with the same set of shingles.
     """
-    rows = persist_table(embedded(docs, id_col=id_col, text_col=text_col, words=words), "embedded")
+    rows = persist_table(embedded(docs.filter(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col, words=words), "embedded")
     reps = persist_table(rows.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.first("values").alias("values")), "reps")
     groups = components(candidate_links(reps, threshold, recall))
     members = persist_table(groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")).join(reps.select("rep", "copies"), "rep"), "members")

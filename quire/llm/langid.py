@@ -167,11 +167,12 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return df, rows
 
 
-def train(docs: DataFrame, training: Column, *, per_label: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
+def train(docs: DataFrame, training: Column, *, per_label: int = 1500, most: int = 48_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
     """Fit on the rows for which training holds and text and label aren't null.
 
     Document frequencies come from all of them; weights and temperature from about
-    per_label rows of each label, chosen by a hash of the id.
+    per_label rows of each label, fewer if labels are so many that it would be more than most
+    rows in all, chosen by a hash of the id.
     """
     rows = docs.filter(training).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).dropna(subset=["text", "label"])
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
@@ -180,7 +181,8 @@ def train(docs: DataFrame, training: Column, *, per_label: int = 1500, id_col: s
         return Model([], np.ones(BUCKETS, np.float32), np.zeros((BUCKETS, 1), np.float32))
     df, total = document_frequencies(rows.select("text"))
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
-    share = F.lit(0.0)
+    share, per_label = F.lit(0.0), min(per_label, max(1, most // len(labels)))
+    kind = rows.schema["doc_id"].dataType.simpleString()
     for label, n in counts.items():
         share = F.when(F.col("label") == label, min(1.0, per_label / n)).otherwise(share)
     sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_003)) < share * 1_000_003)
@@ -197,9 +199,9 @@ def train(docs: DataFrame, training: Column, *, per_label: int = 1500, id_col: s
                     own.append(label)
                     used.append(got[0])
                     tf.append(got[1])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.string()), pa.array(used, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.float32()))], ["doc_id", "label", "used", "tf"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(own, pa.string()), pa.array(used, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.float32()))], ["doc_id", "label", "used", "tf"])
 
-    picked = sample.mapInArrow(run, "doc_id long, label string, used array<int>, tf array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    picked = in_batches(sample).mapInArrow(run, f"doc_id {kind}, label string, used array<int>, tf array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     lists = [picked[c].combine_chunks() for c in ("used", "tf")]  # as flat arrays: lists of Python numbers would take the driver's memory
     flat, edge = [x.values.to_numpy() for x in lists], lists[0].offsets.to_numpy()
     data = [(flat[0][a:b], flat[1][a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]

@@ -217,3 +217,24 @@ def test_em_tells_labelers_apart():
     posterior = pii.estimate(counts)
     assert posterior[1, 1, -1] > 0.9 and posterior[-1, -1, 1] < 0.1
     assert pii.estimate({}) == {}
+
+
+def test_any_ids_repeated_rows_and_clashing_columns(spark, texts):
+    """String ids, a repeated row, nulls and columns with the operators' own names."""
+    from quire.llm import decontam, jaccard_join, langid, toxicity
+
+    rows = [(f"d{i}", t, "xx" if i % 2 else "yy", i, t, t) for i, t in texts.items()]
+    rows += [rows[3], (None, texts[3], None, None, None, None), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, label long, used string, tf string").repartition(3)
+    model = langid.train(docs, F.lit(True))
+    assert langid.predict(docs, model).count() == len(rows)
+    assert langid.train(docs.filter("false"), F.lit(True)).labels == []
+    labels = docs.select("doc_id", (F.col("label") % 2).cast("int").alias("toxic"))
+    scored = toxicity.score(docs, toxicity.train(docs, labels, F.lit(True)))
+    assert scored.count() == len(rows) and scored.filter("score < 0 or score > 1").count() == 0
+    items = spark.createDataFrame([("q", texts[4]), (None, "x"), ("e", None)], "item_id string, text string")
+    assert {r["doc_id"] for r in decontam.find_items(docs, items).collect()} >= {"d4"}
+    joined = jaccard_join.jaccard_join(docs).collect()
+    assert len(joined) == len(rows)
+    assert {r["n_links"] for r in joined if r["doc_id"] is None} == {0}
+    assert next(r for r in joined if r["doc_id"] == "d3")["n_links"] >= 1
