@@ -149,7 +149,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         total, rows = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
             for t in batch.column(0):
-                found = grams(t.as_py())
+                found = grams(t.as_py() or "")
                 if found is not None:
                     total[np.unique(found) if len(found) < 2000 else np.flatnonzero(np.bincount(found, minlength=BUCKETS))] += 1
                     rows += 1

@@ -238,3 +238,50 @@ def test_any_ids_repeated_rows_and_clashing_columns(spark, texts):
     assert len(joined) == len(rows)
     assert {r["n_links"] for r in joined if r["doc_id"] is None} == {0}
     assert next(r for r in joined if r["doc_id"] == "d3")["n_links"] >= 1
+
+
+def test_language_model_by_hand(spark, languages):
+    """Document frequencies, TF-IDF, the FTRL step and its penalties, number by number."""
+    from math import exp, log, log1p, sqrt
+
+    from quire.llm import langid
+
+    texts = ["der die das", "the of and", "le la les", "die die nicht", "to in is the", "et des une la", None, "123"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    df, total = langid.document_frequencies(docs)
+    sets = [set(langid.grams(t).tolist()) for t in texts if t and t != "123"]
+    assert total == len(sets) and {b: int(df[b]) for b in np.flatnonzero(df)} == {b: sum(b in s for s in sets) for b in set().union(*sets)}
+    idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
+    rows = [langid.features(t) for t in texts[:6]]
+    for t, (used, tf) in zip(texts, rows, strict=False):
+        got = langid.grams(t).tolist()
+        assert {int(b): round(float(v), 5) for b, v in zip(used, tf, strict=True)} == {b: round(log1p(got.count(b)), 5) for b in set(got)}
+    y, l1, l2 = np.array([0, 1, 2, 0, 1, 2]), 0.01, 0.1
+    model = langid.train_ftrl(rows, y, ["x", "y", "z"], idf, l1=l1, l2=l2, epochs=2, seed=3)
+    z, n, order = {}, {}, np.random.default_rng(3)
+
+    def weight(b, k):
+        v = z.get((b, k), 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - (l1 if v > 0 else -l1)) / (1 + sqrt(n.get((b, k), 0.0)) + l2)
+
+    for _ in range(2):
+        for i in order.permutation(6):
+            x = {int(b): float(v) * float(idf[b]) for b, v in zip(*rows[i], strict=True)}
+            size = sqrt(sum(v * v for v in x.values()))
+            x = {b: v / size for b, v in x.items()}
+            w = {(b, k): weight(b, k) for b in x for k in range(3)}
+            e = [exp(sum(v * w[b, k] for b, v in x.items())) for k in range(3)]
+            for (b, k), old in w.items():
+                g = x[b] * (e[k] / sum(e) - (k == y[i]))
+                more = n.get((b, k), 0.0) + g * g
+                z[b, k] = z.get((b, k), 0.0) + g - (sqrt(more) - sqrt(n.get((b, k), 0.0))) * old
+                n[b, k] = more
+    wanted = np.zeros_like(model.weights)
+    for b, k in z:
+        wanted[b, k] = weight(b, k)
+    assert np.abs(model.weights - wanted).max() < 1e-4
+    assert (model.weights == 0).sum() > (model.weights != 0).sum()
+    used, tf = rows[0]
+    x = [float(v) * (log((1 + total) / (1 + int(df[b]))) + 1) for b, v in zip(used, tf, strict=True)]
+    by_hand = sum(v / sqrt(sum(a * a for a in x)) * model.weights[b] for b, v in zip(used, x, strict=True))
+    assert np.abs(model.logits(used, tf) - by_hand).max() < 1e-4
