@@ -94,3 +94,12 @@ def with_texts(docs: DataFrame, ids: DataFrame, *, id_col: str, text_col: str, w
     if not wide:
         return texts.join(F.broadcast(ids), "doc_id")
     return texts.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").join(ids, "doc_id")
+
+
+def ascii_table(kept: str) -> bytes:
+    """For bytes.translate: A-Z become small, ASCII characters outside kept become blanks, bytes of other characters stay.
+
+    Of UTF-8 so translated, split() gives the maximal runs of kept and non-ASCII characters.
+    """
+    fold = bytes(range(256)).lower()
+    return bytes(c if c >= 128 or chr(c) in kept else 32 for c in fold)
