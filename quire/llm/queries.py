@@ -92,12 +92,24 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(_documents(spark, sf_dir))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.ranked_search import search
+
+    return search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=20)
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.divergence import audit
 
     return audit(_documents(spark, sf_dir))
 
 
+def op13_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.signature_join import near_copies
+
+    return near_copies(_documents(spark, sf_dir))
+
+
 OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
@@ -107,6 +119,34 @@ WINDOW same AS (PARTITION BY norm)
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+s AS (SELECT count(*)::BIGINT AS texts, sum(len(w))::BIGINT AS length FROM d WHERE len(w) > 0),
+m AS (SELECT r, 100 - 25 + (25 * len(w) * texts) // length AS m FROM d, s WHERE len(w) > 0),
+i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+      FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+t AS (SELECT r, doc_id, term, count(*) AS tf FROM (SELECT r, doc_id, unnest(w) AS term FROM d) SEMI JOIN i USING (term) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * texts + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t, s GROUP BY term, texts),
+e AS (SELECT item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM i JOIN t USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY ALL),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM e WHERE score > 0)
+SELECT * FROM k WHERE rank <= 20
+"""
+
+OP13_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+h AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS s FROM w),
+c AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM h GROUP BY s),
+e AS (SELECT rep, n, unnest(s) AS x FROM c),
+l AS (SELECT a.rep AS a, b.rep AS b FROM e AS a JOIN e AS b ON a.x = b.x AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n
+      HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+q AS (SELECT rep AS a, rep AS b FROM c UNION SELECT q.a, l.b FROM q JOIN l ON l.a = q.b),
+g AS (SELECT a AS rep, min(b) AS component FROM q GROUP BY a)
+SELECT doc_id, c.n AS n_shingles, CASE WHEN c.n = 0 THEN doc_id ELSE component END AS component_id, c.n = 0 OR doc_id = component AS kept
+FROM h JOIN c USING (s) JOIN g USING (rep)
+"""
+
 OP12_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                   regexp_extract_all({_LOWER}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
@@ -135,4 +175,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL, "op12_source_divergence": OP12_SQL}
+    return {"op9_exact_dedup": OP9_SQL, "op11_ranked_search": OP11_SQL, "op12_source_divergence": OP12_SQL, "op13_near_copies": OP13_SQL}
