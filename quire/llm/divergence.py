@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from quire.llm.words import BROADCAST_ROWS, ascii_table
 from quire.session import in_batches, persist_table
 
-#: Entries and bytes of terms that a task holds before it sends them on; rows of a batch that it sends.
-HELD, HELD_BYTES, SENT = 250_000, 16 << 20, 50_000
+#: Entries that a task holds, and bytes of texts that it reads, before it sends its counts on; rows of a batch that it sends.
+HELD, HELD_BYTES, SENT = 400_000, 64 << 20, 50_000
 #: Scale of the shares.
 SCALE = 1_000_000_000
 
@@ -49,26 +49,24 @@ def term_counts(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "s
 
         def flush() -> Iterator:
             for (lang, source), (n, has) in held.items():
-                terms = list(n)
+                terms, counts, of = list(n), list(n.values()), list(map(has.__getitem__, n))
                 for at in range(0, len(terms), SENT):
-                    some = terms[at : at + SENT]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(some), pa.string()), pa.array([source] * len(some), pa.string()), pa.array(some, pa.binary()).cast(pa.string()), pa.array([n[t] for t in some], pa.int64()), pa.array([has[t] for t in some], pa.int64())],
-                        ["lang", "source", "term", "n", "docs"],
-                    )
+                    some = pa.array(terms[at : at + SENT], pa.binary()).cast(pa.string())
+                    ends = (at, at + SENT)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(some)), pa.repeat(source, len(some)), some, pa.array(counts[slice(*ends)], pa.int64()), pa.array(of[slice(*ends)], pa.int64())], ["lang", "source", "term", "n", "docs"])
             held.clear()
 
         entries = size = 0
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
-                words = text.as_py().translate(table).split()
+                text = text.as_py()
+                words = text.translate(table).split()
                 n, has = held.setdefault((lang, source), (Counter(), Counter()))
-                own = set(words)
-                fresh = [t for t in own if t not in n]
+                before = len(n)
                 n.update(words)
-                has.update(own)
-                entries += len(fresh)
-                size += sum(map(len, fresh))
+                has.update(set(words))
+                entries += len(n) - before
+                size += len(text)
                 if entries > HELD or size > HELD_BYTES or len(held) > HELD:
                     yield from flush()
                     entries = size = 0
@@ -77,20 +75,30 @@ def term_counts(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "s
     return in_batches(rows).mapInArrow(run, "lang string, source string, term string, n long, docs long")
 
 
-def term_vectors(counts: DataFrame, least_docs: int) -> DataFrame:
-    """lang, term, total, cells (source -> count, of the sources that have it) of the terms that least_docs documents of the language hold."""
-    each = counts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+def _sources(docs: DataFrame, lang_col: str, source_col: str) -> DataFrame:
+    """lang, sources (its sources in order)."""
+    groups = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source")))).distinct()
+    return groups.groupBy("lang").agg(F.sort_array(F.collect_list("source")).alias("sources"))
+
+
+def term_vectors(counts: DataFrame, sources: DataFrame, least_docs: int) -> DataFrame:
+    """lang, term, total, counts (an array along sources) of the terms that least_docs documents of the language hold.
+
+    The counts are dealt by language and term once: what comes of one term is summed as it is
+    read, a row a source.
+    """
+    each = counts.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     wide = each.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("cells"))
-    return wide.filter(F.col("docs") >= least_docs).select("lang", "term", "total", "cells")
+    wide = wide.filter(F.col("docs") >= least_docs).join(sources, "lang")
+    return wide.select("lang", "term", "total", F.expr("transform(sources, s -> coalesce(try_element_at(cells, s), 0L))").alias("counts"))
 
 
-def _heads(docs: DataFrame, vectors: DataFrame, lang_col: str, source_col: str) -> DataFrame:
-    """lang, cols (its sources in order, with the number n of kept terms' occurrences), v (kept terms), l (their occurrences)."""
-    groups = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")).distinct()
-    sums = vectors.select("lang", F.explode("cells").alias("source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("n"))
+def _sizes(vectors: DataFrame, sources: DataFrame) -> DataFrame:
+    """lang, sources, ns (occurrences of kept terms in each), v (kept terms), l (their occurrences)."""
+    ns = vectors.select("lang", F.posexplode("counts").alias("at", "n")).groupBy("lang", "at").agg(F.sum("n").alias("n"))
+    ns = ns.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("ns"))
     of_lang = vectors.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("l"))
-    cols = groups.join(sums, ["lang", "source"], "left").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", F.coalesce("n", F.lit(0)).alias("n")))).alias("cols"))
-    return cols.join(of_lang, "lang", "left").select("lang", "cols", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("l", F.lit(0)).alias("l"))
+    return sources.join(ns, "lang").join(of_lang, "lang").select("lang", "sources", F.col("ns.n").alias("ns"), "v", "l")
 
 
 def _share(count: str, of: str) -> str:
@@ -99,22 +107,21 @@ def _share(count: str, of: str) -> str:
 
 def audit(docs: DataFrame, *, least_docs: int = 10, top: int = 10, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """lang, source, part, item, value, rank: divergence of a source from each other one ('pair'), and the terms by which it exceeds its language ('term', ranks to top)."""
-    vectors = persist_table(term_vectors(term_counts(docs, lang_col=lang_col, source_col=source_col, text_col=text_col), least_docs), "vectors")
-    heads = persist_table(_heads(docs, vectors, lang_col, source_col), "sources")
-    cells = heads.agg(F.sum(F.size("cols"))).first()[0] or 0
-    wide = vectors.join(F.broadcast(heads) if cells <= BROADCAST_ROWS else heads, "lang")
-    shares = f"transform(cols, c -> named_struct('source', c.source, 'n', coalesce(try_element_at(cells, c.source), 0L), 'p', {_share('coalesce(try_element_at(cells, c.source), 0L)', 'c.n')}))"
-    wide = wide.select("lang", "term", F.expr(shares).alias("each"), F.expr(_share("total", "l")).alias("q"))
-
-    ones = wide.select("lang", "each", F.posexplode("each.p").alias("i", "own"))
-    ones = ones.select("lang", "i", F.posexplode(F.expr("transform(slice(each.p, i + 2, size(each)), x -> ((own - x) * (own - x)) div (own + x))")).alias("k", "f"))
-    sums = ones.groupBy("lang", "i", (F.col("i") + 1 + F.col("k")).alias("j")).agg(F.sum("f").alias("f"))
-    both = heads.select("lang", "cols", F.posexplode("cols").alias("a", "own")).select("lang", "a", "own", F.posexplode("cols").alias("b", "other")).filter("a <> b")
-    both = both.select("lang", F.col("own.source").alias("source"), F.col("other.source").alias("item"), F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
+    sources = persist_table(_sources(docs, lang_col, source_col), "sources")
+    few = (sources.agg(F.sum(F.size("sources"))).first()[0] or 0) <= BROADCAST_ROWS
+    vectors = persist_table(term_vectors(term_counts(docs, lang_col=lang_col, source_col=source_col, text_col=text_col), F.broadcast(sources) if few else sources, least_docs), "vectors")
+    sizes = persist_table(_sizes(vectors, sources), "sizes")
+    wide = vectors.join(F.broadcast(sizes) if few else sizes, "lang").withColumn("p", F.expr(f"zip_with(counts, ns, (c, n) -> {_share('c', 'n')})"))
+
+    ones = wide.select("lang", "p", F.posexplode("p").alias("i", "own"))
+    ones = ones.select("lang", "i", F.posexplode(F.expr("transform(slice(p, i + 2, size(p)), x -> ((own - x) * (own - x)) div (own + x))")).alias("k", "f"))
+    sums = ones.groupBy("lang", "i", "k").agg(F.sum("f").alias("f")).select("lang", "i", (F.col("i") + 1 + F.col("k")).alias("j"), "f")
+    both = sources.select("lang", "sources", F.posexplode("sources").alias("a", "source")).select("lang", "a", "source", F.posexplode("sources").alias("b", "item")).filter("a <> b")
+    both = both.select("lang", "source", "item", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
     pairs = both.join(sums, ["lang", "i", "j"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("f", F.lit(0)).alias("value"))
 
-    terms = wide.select("lang", "term", "q", F.explode(F.expr("filter(each, c -> c.n > 0 and c.p > q)")).alias("c"))
-    terms = terms.select("lang", F.col("c.source").alias("source"), F.lit("term").alias("part"), F.col("term").alias("item"), F.expr("((c.p - q) * (c.p - q)) div (c.p + q)").alias("value"))
+    terms = wide.select("lang", "term", F.expr(_share("total", "l")).alias("q"), F.explode(F.arrays_zip("sources", "counts", "p")).alias("c")).filter("c.counts > 0 and c.p > q")
+    terms = terms.select("lang", F.col("c.sources").alias("source"), F.lit("term").alias("part"), F.col("term").alias("item"), F.expr("((c.p - q) * (c.p - q)) div (c.p + q)").alias("value"))
 
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
     best = terms.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
