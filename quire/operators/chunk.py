@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from quire.functions.boundaries import ABBREVIATIONS, CannotCut, half_split, plan_chunks, protected_spans, units
+from quire.session import in_batches
 
 LEAST, SOFT, MOST = 600, 700, 2000
 #: Share of a page below which it counts as not filled.
@@ -61,7 +62,8 @@ class PageBudget:
 def plan(texts: DataFrame, key: str = "doc_id", limit: int = SOFT, *, text_col: str = "text", budget: PageBudget | None = None, abbreviations: tuple[str, ...] = ABBREVIATIONS) -> DataFrame:
     """The columns of texts but for the text, with ord, text, chars, strategy, hard_split, reason, visible_lines and error of each chunk.
 
-    visible_lines is null without a budget. key is only named for symmetry: every column is kept.
+    visible_lines is null without a budget. key is only named for symmetry: every column is kept, but
+    those of the names above, which are replaced.
     """
     kept = [f for f in texts.schema if f.name not in (text_col, *_MADE)]
     if key not in [f.name for f in kept]:
@@ -87,7 +89,7 @@ def plan(texts: DataFrame, key: str = "doc_id", limit: int = SOFT, *, text_col:
             yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, k) for c, k in zip(made, _ARROW(pa), strict=True))], [*own.schema.names, *_MADE])
 
     schema = T.StructType([*kept, *(T.StructField(n, k) for n, k in _MADE.items())])
-    return texts.select(*(f.name for f in kept), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return in_batches(texts.select(*(f.name for f in kept), F.col(text_col).alias("text"))).mapInArrow(run, schema)
 
 
 _MADE = {"ord": T.LongType(), "text": T.StringType(), "chars": T.LongType(), "strategy": T.StringType(), "hard_split": T.BooleanType(), "reason": T.StringType(), "visible_lines": T.LongType(), "error": T.StringType()}
@@ -170,7 +172,7 @@ def _pieces(texts: DataFrame, key: str, text_col: str, cut) -> DataFrame:
             ids = batch.column(0).take(pa.array(source, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(order, pa.int64()), pa.array(begin, pa.int64()), pa.array(part, pa.string())], [key, "ord", "start", "unit"])
 
-    return texts.select(key, text_col).mapInArrow(run, T.StructType([T.StructField(key, kind), T.StructField("ord", T.LongType()), T.StructField("start", T.LongType()), T.StructField("unit", T.StringType())]))
+    return in_batches(texts.select(key, text_col)).mapInArrow(run, T.StructType([T.StructField(key, kind), T.StructField("ord", T.LongType()), T.StructField("start", T.LongType()), T.StructField("unit", T.StringType())]))
 
 
 def split_units(texts: DataFrame, key: str = "doc_id", kind: str = "sentence", *, text_col: str = "text", abbreviations: tuple[str, ...] = ABBREVIATIONS) -> DataFrame:
@@ -190,7 +192,7 @@ def protected(texts: DataFrame, key: str = "doc_id", *, text_col: str = "text",
             rows, a, b, token = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(token, pa.string())], [key, "start", "end", "token"])
 
-    return texts.select(key, text_col).mapInArrow(run, T.StructType([T.StructField(key, kind), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("token", T.StringType())]))
+    return in_batches(texts.select(key, text_col)).mapInArrow(run, T.StructType([T.StructField(key, kind), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("token", T.StringType())]))
 
 
 def halves(texts: DataFrame, key: str = "doc_id", *, text_col: str = "text") -> DataFrame:

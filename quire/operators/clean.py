@@ -1,24 +1,29 @@
-"""Cleaning and sanitizing of texts as a chain of projections, with a counter for every step.
+"""Cleaning and sanitizing of texts, with a counter for every step.
 
-Each step is one expression on the column that the step before made, so the work is done
-once and stays in the JVM. Only what has no built-in expression goes through Arrow, and
-only for rows that need it: entities and Unicode composition (rows with an ampersand or
-characters that composition may change), and paired Markdown marks (rows with such marks).
+Cleaning is a chain of projections: each step is one expression on the column that the step
+before made, so the work is done once and stays in the JVM; only entities go through Arrow, for
+rows with an ampersand. Sanitizing needs spans of a text that its steps pass by, a stack of marks
+and composition, which no built-in expression has: it is one pass over each text in Python, in
+Arrow batches of bounded size, in the task that reads it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import boundaries as B
+from quire.functions import expressions as X
 from quire.functions.text import BRACKET_PAIRS, CONTROL, DOUBLE_QUOTES, HTML_BLOCK_TAG, HTML_COMMENT, HTML_TAG, REMOVED_QUOTES, ZERO_WIDTH, bracket_pairs, char_count, count_of, end_sentences, normalize_spacing, pair_pattern
+from quire.session import in_batches
 
 # Words for symbols.
 SYMBOL_WORDS = {"&": " và ", "<": " nhỏ hơn ", ">": " lớn hơn ", "%": " phần trăm ", "+": " cộng ", "=": " bằng ", "*": " sao ", "@": " a còng ", "#": " thăng ", "$": " đô la ", "~": " xấp xỉ ", "^": " mũ "}
@@ -26,12 +31,21 @@ SYMBOL_WORDS = {"&": " và ", "<": " nhỏ hơn ", ">": " lớn hơn ", "%": " p
 
 @dataclass(frozen=True)
 class Rule:
-    """A user's replacement: a literal, or a regular expression in Java's dialect; \\1 in the replacement is group 1."""
+    """A user's replacement: a literal, or a regular expression in Python's dialect; \\1 and \\g<name> in the replacement are groups."""
 
     pattern: str
     replacement: str = ""
     regex: bool = True
 
+    def problem(self) -> str | None:
+        """Why the rule can't be used; None if it can."""
+        return X.problem(self.pattern, self.replacement) if self.regex else None
+
+
+def rule_problems(rules: Sequence[Rule]) -> list[tuple[int, str]]:
+    """(place, reason) of the rules that clean passes over, to be shown to their author."""
+    return [(i, reason) for i, rule in enumerate(rules) if (reason := rule.problem())]
+
 
 @dataclass(frozen=True)
 class CleanOptions:
@@ -67,7 +81,7 @@ class _Chain:
     """The text column of a table, step by step, and its counters."""
 
     def __init__(self, rows: DataFrame, text_col: str) -> None:
-        self.rows, self.text = rows.withColumn(text_col, F.coalesce(F.col(text_col), F.lit(""))), text_col
+        self.rows, self.text = in_batches(rows).withColumn(text_col, F.coalesce(F.col(text_col), F.lit(""))), text_col
         self.counters: list[str] = []
 
     def col(self) -> Column:
@@ -100,14 +114,10 @@ class _Chain:
         self.step(new, name, count)
 
 
-def _java_replacement(replacement: str) -> str:
-    return re.sub(r"\\(\d)", r"$\1", replacement.replace("$", "\\$"))
-
-
 def clean(rows: DataFrame, options: CleanOptions = CleanOptions(), *, text_col: str = "text") -> DataFrame:
     """rows with the text cleaned, and counters: before_chars, after_chars, lost_chars, control_chars, zero_width, html_tags,
     html_entities, bracket_pairs_removed, brackets_removed, quotes_removed, symbols_replaced, custom_rule_hits,
-    blank_lines_collapsed, periods_added. Null counts as an empty text. Rules whose expression doesn't compile are passed over.
+    blank_lines_collapsed, periods_added. Null counts as an empty text. Rules that can't be used are passed over (rule_problems names them). Columns of the counters' names are replaced.
     """
     c = _Chain(rows, text_col)
     every = ("control_chars", "zero_width", "html_tags", "html_entities", "bracket_pairs_removed", "quotes_removed", "symbols_replaced", "custom_rule_hits", "blank_lines_collapsed", "periods_added")
@@ -142,17 +152,14 @@ def clean(rows: DataFrame, options: CleanOptions = CleanOptions(), *, text_col:
     for symbol, word in sorted((SYMBOL_WORDS if options.symbols is None else options.symbols).items(), key=lambda kv: -len(kv[0])):
         if symbol:
             c.step(F.replace(c.col(), F.lit(symbol), F.lit(word)), "symbols_replaced", count_of(c.col(), symbol))
-    for rule in options.rules:
-        if not rule.pattern:
+    for regex, run in groupby((r for r in options.rules if r.pattern and not r.problem()), key=lambda r: r.regex):
+        if regex:
+            c.rows = c.rows.withColumn("_ruled", X.replaced(c.col(), [(r.pattern, r.replacement) for r in run]))
+            c.step(F.coalesce("_ruled.text", c.col()), "custom_rule_hits", F.coalesce("_ruled.n", F.lit(0)))
+            c.rows = c.rows.drop("_ruled")
             continue
-        if not rule.regex:
+        for rule in run:
             c.step(F.replace(c.col(), F.lit(rule.pattern), F.lit(rule.replacement)), "custom_rule_hits", count_of(c.col(), rule.pattern))
-            continue
-        try:
-            re.compile(rule.pattern)
-        except re.error:
-            continue
-        c.sub(rule.pattern, _java_replacement(rule.replacement), "custom_rule_hits")
     if options.spacing:
         blank = "\n\n\n"
         c.rows = c.rows.withColumn("_before", count_of(c.col(), blank))
@@ -202,62 +209,6 @@ HORIZONTAL = r"[^\S\n]{2,}|[^\S\n ]"
 METADATA_LINE = r"(?m)^[ \t]*(?:chapter_id|source_url)\s*=.*$"
 LABELS = {"link": "[đường dẫn]", "mail": "[email]"}
 
-#: Characters that composition may change, or that combine with what stands before.
-_COMPOSES = r"[\p{M}\x{340}\x{341}\x{374}\x{37E}\x{387}\x{958}-\x{95F}\x{9DC}-\x{9DF}\x{A33}-\x{A5E}\x{B5C}\x{B5D}\x{F43}-\x{FB9}\x{1100}-\x{11FF}\x{1F00}-\x{2001}\x{2126}\x{212A}\x{212B}\x{2329}\x{232A}\x{2ADC}\x{F900}-\x{FAFF}\x{FB1D}-\x{FB4E}\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1F}]"
-
-
-@F.pandas_udf(T.StringType())
-def _composed(texts: pd.Series) -> pd.Series:
-    """Composed texts with entities decoded, an entity that decodes to another one, too."""
-    import html
-    import unicodedata
-
-    entity = re.compile(ENTITY)
-
-    def decoded(m: re.Match) -> str:
-        before, now = "", m.group()
-        while now != before:
-            before, now = now, html.unescape(now)
-        return now
-
-    def one(text: str) -> str:
-        text = unicodedata.normalize("NFC", text)
-        return entity.sub(decoded, text) if "&" in text else text
-
-    return texts.map(one, na_action="ignore")
-
-
-@F.pandas_udf(T.StringType())
-def _unmarked(texts: pd.Series) -> pd.Series:
-    """Texts without paired runs of asterisks, underscores and backticks; runs between letters or digits and unpaired ones stay."""
-
-    def pairs(text: str, mark: str) -> list[tuple[int, int]]:
-        gone, opened = [], []
-        for m in re.finditer(re.escape(mark) + "+", text):
-            left, right = text[m.start() - 1 : m.start()] or " ", text[m.end() : m.end() + 1] or " "
-            if left.isalnum() and right.isalnum():
-                continue
-            at = m.start()
-            if not left.isspace() and not right.isalnum():  # may close what is open, as far as it is long enough
-                while opened and opened[-1][1] - opened[-1][0] <= m.end() - at:
-                    begin, end = opened.pop()
-                    gone += [(begin, end), (at, at + end - begin)]
-                    at += end - begin
-            if at == m.start() and not right.isspace() and not left.isalnum():
-                opened.append(m.span())
-        return gone
-
-    def one(text: str) -> str:
-        gone = sorted(span for mark in "*_`" for span in pairs(text, mark))
-        kept, at = [], 0
-        for begin, end in gone:
-            kept.append(text[at:begin])
-            at = end
-        return "".join([*kept, text[at:]])
-
-    return texts.map(one, na_action="ignore")
-
-
 @dataclass(frozen=True)
 class SanitizeOptions:
     """How prose is made ready for reading aloud; links and mails: keep, remove or replace (by a label)."""
@@ -283,128 +234,91 @@ class SanitizeOptions:
             re.compile(pattern)
 
 
-_HOLD, _PART = "\ue004", "\ue005"
-
-
-def token_pattern(abbreviations: Sequence[str] = B.ABBREVIATIONS) -> str:
-    """Technical tokens as one expression in Java's dialect: those of boundaries, JSON objects nested up to three deep."""
-    string, deep = r'"(?:[^"\\]++|\\.)*+"', ""
-    for _ in range(4):
-        deep = rf'(?:[^{{}}"]++|{string}{rf"|\{{{deep}\}}" if deep else ""})*+'
-    nested = rf'\{{\s*+(?="){deep}\}}'
-    trimmed = rf"(?:{B.LINK}|{B.WINDOWS_PATH})(?<![{re.escape(B.TRAILING)}])"
-    short = "|".join(rf"\Q{a}\E" for a in sorted(abbreviations, key=len, reverse=True))
-    return "(?U)" + "|".join((nested, trimmed, B.MAIL, B.FLAT_JSON, B.DOTTED_NUMBER, B.KEY_VALUE, B.DOMAIN, *((rf"(?<!\w)(?iu:{short})(?!\w)",) if short else ()), B.INITIALS))
-
-
-def _outside(text: Column, pattern: str, change) -> Column:
-    """Text with a change of the parts that don't match a pattern."""
-    kept = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(_PART)), _PART, -1)
-    return F.array_join(F.zip_with(parts, kept, lambda p, k: F.concat(change(p), F.coalesce(k, F.lit("")))), "")
+# The steps' expressions, in the dialect that both engines share but for names of characters.
+FIXED = {
+    "line_end": r"\r\n|[\r\x{2028}\x{85}]",
+    "entity": ENTITY,
+    "damage": "|".join(p for _, p in MOJIBAKE),
+    "invisible": INVISIBLE,
+    "control": CONTROLS,
+    "emoji": EMOJI,
+    "picture": f"[{PICTURE}]",
+    "joiner": r"[\x{200C}\x{200D}]",
+    "spaces": HORIZONTAL,
+    "comment": r"(?s)<!--.*?-->",
+    "tag": rf"(?is)</?({HTML_NAMES}){HTML_ATTRIBUTES}/?>",
+    "blocks": BLOCK_NAMES,
+    "decoration": DECORATIVE_LINE,
+    "fence": r"(?m)^[ \t]*```[^\n]*\n",
+    "fence_end": r"(?m)^[ \t]*```[ \t]*$",
+    "heading_mark": r"(?m)^[ \t]*(?:#{1,6}[ \t]+|>[ \t]?)",
+    "link": r"\[([^\]\n]+)\]\(([^)\n]+)\)",
+    "metadata": METADATA_LINE,
+    "bullet": r"(?m)^[ \t]*[•●▪][ \t]*(.+)$",
+    "wide": WIDE_PUNCTUATION,
+    "ellipsis": ELLIPSIS,
+    "two_periods": r"(?<!\.)\.[ \t]*\.(?!\.)",
+    "repeated": r"[?!](?:[ \t]*[?!])+",
+    "space_before": r"[ \t]+([,.;:!?…%\)\]\}”’»])",
+    "no_space_after": r"[.,!?…:;]+[\"'”’»\)\]\}」』】》〉]*(?=[^\W_]|[“«(\[])",
+    "dash": r"(?m)^ *[-–—] *(?=[^\W\d_]|[\"“])",
+    "line_space": r"(?m)^ +| +$",
+    "spoken": "(?im)" + B.SPOKEN_HEADING.replace(r"\s", r"[^\S\n]") + ".*$",
+    "sentence": rf"({B.ENDING})[ ]*(?=[^ \n])",
+    "detected_cjk_chars": CJK,
+    "detected_other_script_chars": OTHER_SCRIPT,
+    "detected_cjk_punctuation": CJK_PUNCTUATION,
+    "detected_replacement_chars": r"\x{FFFD}",
+}
+
+
+def sanitize_counters(options: SanitizeOptions = SanitizeOptions()) -> list[str]:
+    """Names of the counters that sanitize adds with these options, in order."""
+    if not options.enabled:
+        return ["input_chars", "output_chars"]
+    steps = {
+        "removed_emoji": options.emoji, "preserved_script_joiners": True, "normalized_spaces": True, "removed_html_comments": options.html, "removed_html_tags": options.html,
+        "removed_decorative_lines": True, "removed_urls": options.links == "remove", "replaced_urls": options.links == "replace", "removed_emails": options.mails == "remove", "replaced_emails": options.mails == "replace",
+        "removed_metadata_lines": True, "removed_boilerplate_lines": bool(options.boilerplate), "removed_footnotes": bool(options.footnotes),
+    }
+    first = ["input_chars", "detected_mojibake_patterns", "double_quotes_normalized", "removed_invisible_chars", "removed_control_chars"]
+    marks = ["normalized_ellipsis", "normalized_double_period", "collapsed_punctuation", "fixed_missing_spaces", "spacing_char_delta", "repaired_heading_boundaries"]
+    return [*first, *(s for s, on in steps.items() if on), *marks, "detected_cjk_chars", "detected_other_script_chars", "detected_cjk_punctuation", "detected_replacement_chars", "output_chars"]
 
 
 def sanitize(rows: DataFrame, options: SanitizeOptions = SanitizeOptions(), *, text_col: str = "text") -> DataFrame:
-    """rows with the text made ready for reading aloud, and counters of what was done.
-
-    Technical tokens (token_pattern) and sequences of wrongly decoded text pass the steps on
-    punctuation unchanged: they are taken out, a placeholder in their stead, and put back.
-    Counters: input_chars, output_chars, double_quotes_normalized, removed_* and normalized_*
-    of the steps, detected_* of the result. Null counts as an empty text; with enabled off the
-    text is returned as it is.
+    """rows with the text made ready for reading aloud, and counters of what was done (sanitize_counters; columns of these names are replaced).
+
+    Technical tokens (boundaries.protected_spans: links, addresses, paths, JSON objects of any
+    depth, numbers and the like) and sequences of wrongly decoded text pass the steps on
+    punctuation unchanged: they are held by their spans, nothing stands in for them. Each text is
+    read and written by Python once, in small batches. removed_* and normalized_* count what the
+    steps did, detected_* what the result still has. Null counts as an empty text; with enabled
+    off the text is returned as it is. User expressions are in Python's dialect.
     """
-    c = _Chain(rows, text_col)
-    c.add("input_chars", F.length(c.col()))
+    names = sanitize_counters(options)
     if not options.enabled:
-        c.add("output_chars", F.length(c.col()))
-        return c.rows
-    text = c.col()
-    text = F.replace(F.regexp_replace(text, r"\r\n|[\r\x{2028}\x{85}]", "\n"), F.lit("\u2029"), F.lit("\n\n"))
-    c.step(text)
-    needs = F.contains(c.col(), F.lit("&")) | c.col().rlike(_COMPOSES)
-    c.step(F.coalesce(_composed(F.when(needs, c.col())), c.col()))
-    spoilt = "|".join(p for _, p in MOJIBAKE)
-    hurt = F.regexp_extract_all(c.col(), F.lit(spoilt), F.lit(0))
-    c.rows = c.rows.withColumn("_hurt", hurt)
-    c.add("detected_mojibake_patterns", F.size("_hurt"))
-    c.step(F.when(F.size("_hurt") > 0, F.regexp_replace(c.col(), spoilt, _HOLD)).otherwise(c.col()))
-    tokens = token_pattern(options.abbreviations)
-    quotes = char_count(c.col(), DOUBLE_QUOTES)
-    single = _outside(c.col(), tokens, lambda p: F.translate(p, DOUBLE_QUOTES, "'" * len(DOUBLE_QUOTES)))
-    c.rows = c.rows.withColumn("_single", F.when(quotes > 0, single).otherwise(c.col()))
-    c.step(F.col("_single"), "double_quotes_normalized", quotes - char_count(F.col("_single"), DOUBLE_QUOTES))
-    c.rows = c.rows.drop("_single")
-    c.sub(INVISIBLE, "", "removed_invisible_chars")
-    c.sub(CONTROLS, "", "removed_control_chars")
-    if options.emoji:
-        c.sub(EMOJI, "", "removed_emoji")
-    letter = r"[\p{L}&&[^\p{IsLatin}]]"
-    beside = letter if options.emoji else rf"(?:{letter}|[{PICTURE}])"
-    joiner = rf"(?<!{beside})[\x{{200C}}\x{{200D}}](?!{beside})"
-    c.add("preserved_script_joiners", F.regexp_count(c.col(), F.lit(r"[\x{200C}\x{200D}]")) - F.regexp_count(c.col(), F.lit(joiner)))
-    c.sub(joiner, "", "removed_invisible_chars")
-    c.sub("(?U)" + HORIZONTAL, " ", "normalized_spaces")
-    if options.html:
-        c.sub(r"(?s)<!--.*?-->", "", "removed_html_comments", "<!--")
-        c.sub(rf"(?isU)</?(?:{BLOCK_NAMES}){HTML_ATTRIBUTES}/?>", "\n", "removed_html_tags", "<")
-        c.sub(rf"(?isU)</?(?:{HTML_NAMES}){HTML_ATTRIBUTES}/?>", "", "removed_html_tags", "<")
-    c.sub(DECORATIVE_LINE, "", "removed_decorative_lines")
-    if options.markdown:
-        c.sub(r"(?m)^[ \t]*```[^\n]*\n", "", needs="```")
-        c.sub(r"(?m)^[ \t]*```[ \t]*$", "", needs="```")
-        c.sub(r"(?m)^[ \t]*(?:#{1,6}[ \t]+|>[ \t]?)", "")
-        c.sub(r"\[([^\]\n]+)\]\(([^)\n]+)\)", "$1 ($2)", needs="](")
-        c.step(F.coalesce(_unmarked(F.when(c.col().rlike("[*_`]"), c.col())), c.col()))
-    for name, pattern, policy, label in (("urls", "(?U)" + B.LINK, options.links, LABELS["link"]), ("emails", "(?U)" + B.MAIL, options.mails, LABELS["mail"])):
-        if policy != "keep":
-            c.sub(rf"{pattern}(?<![{re.escape(B.TRAILING)}])", label if policy == "replace" else " ", ("replaced_" if policy == "replace" else "removed_") + name)
-    c.sub(METADATA_LINE, "", "removed_metadata_lines", "=")
-    for pattern in options.boilerplate:
-        c.sub("(?m)" + pattern, "", "removed_boilerplate_lines")
-    for pattern in options.footnotes:
-        c.sub(pattern, "", "removed_footnotes")
-    c.sub(r"(?m)^[ \t]*[•●▪][ \t]*(.*[^.!?…\n])$", "$1.")
-    c.sub(r"(?m)^[ \t]*[•●▪][ \t]*(.+)$", "$1")
-    c.step(F.translate(c.col(), *WIDE_PUNCTUATION))
-    c.sub("(?U)" + HORIZONTAL, " ", "normalized_spaces")
-
-    has = c.col().rlike(tokens)
-    c.rows = c.rows.withColumn("_tokens", F.when(has, F.regexp_extract_all(c.col(), F.lit(tokens), F.lit(0))))
-    c.step(F.when(has, F.regexp_replace(c.col(), F.lit(tokens), F.lit(_PART))).otherwise(c.col()))
-    c.add("normalized_ellipsis", F.regexp_count(c.col(), F.lit(ELLIPSIS)) - F.regexp_count(c.col(), F.lit(r"(?<![.…])(?<![.…][ \t])…(?![ \t]*[.…])")))
-    c.sub(ELLIPSIS, "…")
-    c.sub(r"(?<!\.)\.[ \t]*\.(?!\.)", ".", "normalized_double_period", ".")
-    run = r"[?!](?:[ \t]*[?!])+"
-    c.add("collapsed_punctuation", F.regexp_count(c.col(), F.lit(run)) - F.regexp_count(c.col(), F.lit(r"(?<![?!])(?<![?!][ \t])\?!(?![ \t]*[?!])")))
-    mixed = r"(?:\?(?:[ \t]*\?)*[ \t]*!|!(?:[ \t]*!)*[ \t]*\?)(?:[ \t]*[?!])*"
-    c.sub(mixed, "?!")
-    c.sub(r"([?!])(?:[ \t]*\1)+", "$1")
-    c.rows = c.rows.withColumn("_chars", F.length(c.col()))
-    c.sub(r"[ \t]+([,.;:!?…%\)\]\}”’»])", "$1")
-    after = rf"[.,!?…:;]+[\"'”’»\)\]\}}」』】》〉]*(?=[\p{{L}}\p{{N}}“«(\[{_PART}{_HOLD}])"
-    c.sub(rf"({after})", "$1 ", "fixed_missing_spaces")
-    c.add("spacing_char_delta", F.length(c.col()) - F.col("_chars"))
-    c.rows = c.rows.drop("_chars")
-    c.sub(r"(?m)^ *[-–—] *(?=[\p{L}\"“])", "— ")
-    c.sub(r"(?m)^ +| +$", "")
-    heading = rf"(?m)^((?iu:Chương|Chuong|Chapter|Hồi|Quyển)[ \t]+\d+\b[^\n]*?)[.!?…]+([\"'”’»\)\]\}}」』】》〉]*)[ ]*(?=\p{{Lu}})"
-    c.sub(rf"{heading}", "$1$2\n\n", "repaired_heading_boundaries")
-    if options.sentence_per_line:
-        c.sub(rf"({B.ENDING})[ ]*(?=[^ \n])", "$1\n")
-    parts = F.zip_with(F.split(c.col(), _PART, -1), "_tokens", lambda p, k: F.concat(p, F.coalesce(k, F.lit(""))))
-    c.step(F.when(F.size("_tokens") > 0, F.array_join(parts, "")).otherwise(c.col()))
-    c.sub("(?U)" + HORIZONTAL, " ")
-    c.sub(r"(?m)^ +| +$", "")
-    c.sub(rf"\n{{{options.blank_lines + 2},}}", "\n" * (options.blank_lines + 1), needs="\n\n")
-    c.sub(r"(?U)\A\s+|\s+\z", "")
-    c.step(F.coalesce(_composed(F.when(c.col().rlike(_COMPOSES) & ~F.contains(c.col(), F.lit("&")), c.col())), c.col()))
-    parts = F.zip_with(F.split(c.col(), _HOLD, -1), "_hurt", lambda p, k: F.concat(p, F.coalesce(k, F.lit(""))))
-    c.step(F.when(F.size("_hurt") > 0, F.array_join(parts, "")).otherwise(c.col()))
-    c.rows = c.rows.drop("_tokens", "_hurt")
-    for name, pattern in (("detected_cjk_chars", CJK), ("detected_other_script_chars", OTHER_SCRIPT), ("detected_cjk_punctuation", CJK_PUNCTUATION), ("detected_replacement_chars", r"\x{FFFD}")):
-        c.add(name, F.regexp_count(c.col(), F.lit(pattern)))
-    c.add("output_chars", F.length(c.col()))
-    return c.rows
+        out = rows.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
+        return out.withColumns({c: F.length(text_col).cast("long") for c in names})
+    kind = T.StructType([T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in names)])
+
+    @F.arrow_udf(kind)
+    def once(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from quire.functions.sanitizing import Sanitizer
+
+        one = Sanitizer(options, FIXED, {"urls": LABELS["link"], "emails": LABELS["mail"]}, names)
+        for batch in batches:
+            texts, counts = [], []
+            for text in batch:
+                made, n = one(text.as_py())
+                texts.append(made)
+                counts.append(n)
+            columns = zip(*counts, strict=True) if counts else [[]] * len(names)
+            yield pa.StructArray.from_arrays([pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in columns)], ["text", *names])
+
+    kept = [c for c in rows.columns if c not in names]
+    told = in_batches(rows).withColumn("_sane", once(F.col(text_col)))
+    return told.select(*(F.col("_sane.text").alias(c) if c == text_col else F.col(c) for c in kept), *(F.col(f"_sane.{c}").alias(c) for c in names))
 
 
 def suspicious(rows: DataFrame, key: str = "doc_id", *, text_col: str = "text", radius: int = 24) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quire.functions import expressions as X
 from quire.functions.numerals import NUMBER_TOKEN, clean_header, clean_header_count, format_header, parse_number
 from quire.functions.text import HAN, LATIN, char_count, end_sentences, language_of, normalize_spacing, quotes_to_single, restore_newlines, strip
 
@@ -62,21 +63,27 @@ PREFIXED = rf"(?iu)^{DECORATION}*(?:第|{VIETNAMESE}|{ENGLISH})"
 
 
 def custom_pattern(regex: str) -> HeaderPattern:
-    """A user's header rule in Java's dialect, with the chapter number in a group (?<number>...) and perhaps a (?<title>...).
+    """A user's header rule in Python's dialect, with the chapter number in a group (?P<number>...) and perhaps a (?P<title>...).
 
     Raises a ValueError if it is empty, doesn't compile or has no such group.
     """
-    regex = regex.strip().replace("(?P<", "(?<")
+    regex = regex.strip()
     if not regex:
         raise ValueError("the custom expression is empty")
-    try:
-        order = list(re.compile(regex.replace("(?<number>", "(?P<number>").replace("(?<title>", "(?P<title>")).groupindex.items())
-    except re.error as error:
-        raise ValueError(f"the custom expression doesn't compile: {error}") from error
-    groups = dict(order)
-    if "number" not in groups:
-        raise ValueError("the custom expression needs a group (?<number>...)")
-    return HeaderPattern("custom", "custom", regex, groups["number"], groups.get("title", 0), "")
+    if reason := X.problem(regex):
+        raise ValueError(f"the custom expression doesn't compile: {reason}")
+    own = re.compile(regex).groupindex
+    if "number" not in own:
+        raise ValueError("the custom expression needs a group (?P<number>...)")
+    return HeaderPattern("custom", "custom", regex, own["number"], own.get("title", 0), "")
+
+
+def _match(body: Column, p: HeaderPattern) -> tuple[Column, Column, Column]:
+    """Whether a line fits a rule, and the texts of its number and its title: a user's rule by Python's engine, others by the JVM's."""
+    if p.name == "custom":
+        found = X.groups(body, p.regex, ("number", "title"))
+        return found.isNotNull(), F.coalesce(found["number"], F.lit("")), F.coalesce(found["title"], F.lit(""))
+    return body.rlike(p.regex), F.regexp_extract(body, p.regex, p.number), F.regexp_extract(body, p.regex, p.title) if p.title else F.lit("")
 
 
 def build_patterns(*, vietnamese: bool = True, english: bool = True, chinese: bool = True, plain: bool = False, custom: str = "") -> tuple[HeaderPattern, ...]:
@@ -110,8 +117,8 @@ def split_glued_title(title: Column) -> tuple[Column, Column]:
 
 
 def _line_header(body: Column, p: HeaderPattern) -> Column:
-    number = parse_number(F.regexp_extract(body, p.regex, p.number))
-    raw = F.regexp_extract(body, p.regex, p.title) if p.title else F.lit("")
+    _, found, raw = _match(body, p)
+    number = parse_number(found)
     title = strip(F.regexp_replace(strip(raw), r"^[:：\-–—]+|[:：\-–—]+$", ""))
     if p.name == "chinese":
         at = F.regexp_replace(F.substring(body, F.lit(1), F.length(body) - F.length(raw)), rf"\s*[{SEPARATORS}]*\s*$", "")
@@ -151,7 +158,7 @@ def header_of(line: Column, patterns: tuple[HeaderPattern, ...] = PATTERNS, glue
     for p in reversed(patterns):
         own = _line_header(body, p)
         timed = body.rlike(rf"^{DECORATION}*#?\s*[0-9]{{1,3}}:[0-9]{{2}}") if p.name == "plain" else F.lit(False)
-        whole = F.when(body.rlike(p.regex) & ~timed & own["number"].isNotNull(), own).otherwise(whole)
+        whole = F.when(_match(body, p)[0] & ~timed & own["number"].isNotNull(), own).otherwise(whole)
     out = F.when(F.length(body) <= LONGEST_HEADER, whole)
     if glued:
         part = F.lit(None)
@@ -185,6 +192,21 @@ def headers(texts: DataFrame, key: str = "source", patterns: tuple[HeaderPattern
     return told.select(key, "line_index", "line", "h.*")
 
 
+def largest_numbers(texts: DataFrame, keys: list[str], patterns: tuple[HeaderPattern, ...] = PATTERNS) -> DataFrame:
+    """keys, number: the largest number of a header in each text that has one. Lines leave their task only as one number a text and task."""
+    found = headers(texts.select(F.struct(*keys).alias("_id"), "text"), "_id", patterns).groupBy("_id").agg(F.max("number").alias("number"))
+    return found.select(*(F.col(f"_id.{k}").alias(k) for k in keys), "number")
+
+
+def auto_headers(sources: DataFrame, key: str = "grp", *, prefix: str = "Chương {n}", continuous: bool = True, patterns: tuple[HeaderPattern, ...] = PATTERNS) -> DataFrame:
+    """Sources (key, ord, text) with number (the largest of their headers), assigned, injected, and a header put before the texts that have none: numbered on from the last headed one, or (continuous off) 1, 2, 3 ..."""
+    from quire.operators import records
+
+    numbers = largest_numbers(sources, [key, "ord"], patterns)
+    known = sources.join(numbers, [key, "ord"], "left")
+    return records.put_headers(records.insert_headers(known, key, continuous=continuous), prefix)
+
+
 def chapters(texts: DataFrame, key: str = "source", patterns: tuple[HeaderPattern, ...] = PATTERNS) -> DataFrame:
     """key, section, number, header_line, title, language, source_line, text, chars, glued; section 0 is what stands before the first header.
 
@@ -349,10 +371,36 @@ def script_language(found: DataFrame) -> DataFrame:
 
 
 def sequence_gaps(found: DataFrame, key: str = "source") -> DataFrame:
-    """key, number: numbers missing between the least and the largest of a key."""
-    ends = found.groupBy(key).agg(F.min("number").alias("low"), F.max("number").alias("high"))
-    every = ends.select(key, F.explode(F.sequence("low", "high")).alias("number"))
-    return every.join(found.select(key, "number").distinct(), [key, "number"], "left_anti")
+    """key, low, high, missing: the ranges of numbers that are missing between the least and the largest of a key, and how many each holds.
+
+    Found from neighbours among the numbers that are there, so a number far off costs one row.
+    """
+    there = found.select(key, "number").distinct()
+    told = there.withColumn("next", F.lead("number").over(W.partitionBy(key).orderBy("number"))).filter("next > number + 1")
+    return told.select(key, (F.col("number") + 1).alias("low"), (F.col("next") - 1).alias("high"), (F.col("next") - F.col("number") - 1).alias("missing"))
+
+
+def first_missing(gaps: DataFrame, most: int = 40, key: str = "source") -> DataFrame:
+    """key, number: the least numbers, at most so many a key, of ranges (low, high) that don't overlap."""
+    own = gaps.select(key, F.explode(F.sequence("low", F.least(F.col("high"), F.col("low") + (most - 1)))).alias("number"))
+    return own.withColumn("_nth", F.row_number().over(W.partitionBy(key).orderBy("number"))).filter(F.col("_nth") <= most).drop("_nth")
+
+
+def sequence_report(found: DataFrame, key: str = "source", *, missing: int = 40, breaks: int = 10) -> DataFrame:
+    """key, missing, first_missing, breaks, first_breaks of keys with gaps or neighbours out of order.
+
+    How many numbers are missing and the least of them, how many neighbours aren't consecutive
+    and the first of these (source_line, previous, number, kind), at most so many of each.
+    """
+    gaps = sequence_gaps(found, key)
+    least = first_missing(gaps, missing, key).groupBy(key).agg(F.array_sort(F.collect_list("number")).alias("first_missing"))
+    holes = gaps.groupBy(key).agg(F.sum("missing").alias("missing")).join(least, key)
+    wrong = order_breaks(found, key)
+    early = wrong.withColumn("_nth", F.row_number().over(W.partitionBy(key).orderBy("source_line"))).filter(F.col("_nth") <= breaks)
+    early = early.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("source_line", "previous", "number", "kind"))).alias("first_breaks"))
+    steps = wrong.groupBy(key).agg(F.count(F.lit(1)).alias("breaks")).join(early, key)
+    none = F.coalesce
+    return holes.join(steps, key, "full").select(key, none("missing", F.lit(0)).alias("missing"), none("first_missing", F.array().cast("array<bigint>")).alias("first_missing"), none("breaks", F.lit(0)).alias("breaks"), "first_breaks")
 
 
 def order_breaks(found: DataFrame, key: str = "source") -> DataFrame:
@@ -378,8 +426,8 @@ def heading_number(line: Column, patterns: tuple[HeaderPattern, ...] = PATTERNS)
     body = strip(line)
     out = F.lit(None).cast("long")
     for p in reversed(patterns):
-        number = parse_number(F.regexp_extract(body, p.regex, p.number))
-        fits = body.rlike(p.regex)
+        fits, found, _ = _match(body, p)
+        number = parse_number(found)
         if p.name in ("vietnamese", "english"):
             spaced = p.head.replace(f"({NUMBER_TOKEN})", f"((?>{NUMBER_TOKEN}))") + r"(?=$|[\s:：.\-–—])"
             number = parse_number(F.coalesce(F.nullif(F.regexp_extract(body, p.regex, p.number), F.lit("")), F.regexp_extract(body, spaced, 1)))
@@ -420,6 +468,7 @@ def analyze_grouping(spans: DataFrame, size: int, key: str = "source") -> DataFr
     """A row per text with headings: first_number, last_number, headings, expected_count, repeats, resets, gaps, needs_numbers, missing_starts, refusal.
 
     needs_numbers: numbers are missing, so that counting headings would give wrong ranges.
+    missing_starts: ranges (low, high, n) of missing first numbers, size apart (listed_starts names them).
     refusal: why boundaries by number can't be had either (ambiguous: a number is repeated or
     numbering starts again; missing_starts: a group would begin at a heading that isn't there),
     or not_needed.
@@ -439,12 +488,23 @@ def analyze_grouping(spans: DataFrame, size: int, key: str = "source") -> DataFr
     )
     out = out.withColumn("expected_count", F.col("last_number") - F.col("first_number") + 1)
     needs = (F.col("gaps") > 0) & (F.col("expected_count") > 0) & (F.col("headings") < F.col("expected_count"))
-    starts = F.sequence("first_number", F.greatest("last_number", "first_number"), F.lit(size).cast("long"))
-    out = out.withColumn("needs_numbers", needs).withColumn("missing_starts", F.when(needs, F.array_sort(F.array_except(starts, "numbers"))))
+    # groups whose first heading is there, in order; what lies between two of them has no start
+    own = F.filter("numbers", lambda x: (x >= F.col("first_number")) & (x <= F.col("last_number")) & ((x - F.col("first_number")) % size == 0))
+    at = F.array_sort(F.transform(own, lambda x: F.floor((x - F.col("first_number")) / size)))
+    after = F.floor((F.col("last_number") - F.col("first_number")) / size) + 1
+    number = lambda group: F.col("first_number") + group * size
+    holes = F.zip_with(at, F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(after)), lambda a, b: F.struct(number(a + 1).alias("low"), number(b - 1).alias("high"), (b - a - 1).alias("n")))
+    out = out.withColumn("needs_numbers", needs).withColumn("missing_starts", F.when(needs, F.filter(holes, lambda h: h["n"] > 0)))
     refusal = F.when(~F.col("needs_numbers"), "not_needed").when((F.col("repeats") > 0) | (F.col("resets") > 0), "ambiguous").when(F.size("missing_starts") > 0, "missing_starts")
     return out.withColumn("refusal", refusal).drop("numbers")
 
 
+def listed_starts(missing_starts: Column, size: int, most: int = 1000) -> Column:
+    """The first of the numbers in ranges (low, high, n) of missing_starts."""
+    each = F.transform(missing_starts, lambda r: F.sequence(r["low"], F.least(r["high"], r["low"] + (most - 1) * size), F.lit(size).cast("long")))
+    return F.slice(F.flatten(each), 1, most)
+
+
 def group_by_number(spans: DataFrame, size: int, key: str = "source") -> DataFrame:
     """key, ord, label, range_label, start, end, chapters: headings by ranges of their numbers from the text's first.
 

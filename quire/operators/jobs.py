@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quire.operators.scan import Ranges
 
 def latest(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The last row of each key by order."""
@@ -21,8 +22,8 @@ def latest(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 def changes(states: DataFrame, key: str, order: str, revision: str = "revision") -> DataFrame:
     """States as a reader sees them: the first of each key in full, then only those whose revision differs from the one before."""
-    before = F.lag(revision).over(W.partitionBy(key).orderBy(order))
-    return states.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("_before") != F.col(revision))).drop("_before")
+    told = Ranges(states, [key], [order]).before("_before", F.col(revision)).rows()
+    return told.filter(F.col("_before").isNull() | (F.col("_before") != F.col(revision))).drop("_before")
 
 
 # ---------------------------------------------------------------- groups
@@ -71,8 +72,9 @@ def restorable(checked: DataFrame, key: str = "source") -> DataFrame:
 
 def delete_groups(manifest: DataFrame, seen: DataFrame, chosen: DataFrame, key: str = "source") -> DataFrame:
     """Tombstones (key, group_id) of the chosen groups, only of keys whose manifest still is what the user has seen (key, ord, group_id)."""
-    digest = lambda rows, name: rows.groupBy(key).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("ord", "group_id")))), 256).alias(name))
-    same = digest(manifest, "now").join(digest(seen, "then"), key).filter("now = then").select(key)
+    sides = (rows.select(key, "ord", "group_id", F.lit(n).alias("n")) for rows, n in ((manifest, 1), (seen, -1)))
+    rows = next(sides).unionByName(next(sides)).groupBy(key, "ord", "group_id").agg(F.sum("n").alias("n"))
+    same = rows.groupBy(key).agg(F.bool_and(F.col("n") == 0).alias("same")).filter("same").select(key)
     return chosen.select(key, "group_id").join(manifest.select(key, "group_id"), [key, "group_id"], "left_semi").join(same, key, "left_semi").distinct()
 
 

@@ -1,6 +1,7 @@
 """Operators on chapter and chunk rows: ranges, renumbering, statistics, merges, incremental work.
 
-Rows carry their key and order; every window is partitioned by a key.
+Rows carry their key and order. What runs along a key that may hold a large part of all rows goes
+through the prefix scan of scan.py; windows are for keys of bounded size.
 """
 
 from __future__ import annotations
@@ -11,25 +12,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from quire.operators.parts import digests, ordered_parts
+from quire.operators.scan import Ranges
 
 # ---------------------------------------------------------------- ranges
 
 
 def parse_ranges(text: str) -> list[tuple[int, int]]:
-    """Ranges such as "1-5, 8, 10-12"; parts that aren't ranges and reversed ones are passed over."""
+    """Ranges such as "1-5, 8, 10-12"; parts that aren't ranges, reversed ones and numbers beyond 18 digits, leading zeros aside, are passed over."""
     import re
 
     out = []
     for part in (text or "").split(","):
-        found = re.fullmatch(r"\s*([0-9]+)\s*(?:-\s*([0-9]+)\s*)?", part)
+        found = re.fullmatch(r"\s*0*([0-9]{1,18})\s*(?:-\s*0*([0-9]{1,18})\s*)?", part)
         if found and int(found[1]) <= int(found[2] or found[1]):
             out.append((int(found[1]), int(found[2] or found[1])))
     return out
 
 
 def range_column(text: Column) -> Column:
-    """The same of a column: an array of (low, high). Numbers beyond 18 digits are passed over."""
-    parts = F.filter(F.split(text, ","), lambda p: p.rlike(r"^\s*[0-9]{1,18}\s*(?:-\s*[0-9]{1,18}\s*)?$"))
+    """The same of a column: an array of (low, high). Numbers beyond 18 digits, leading zeros aside, are passed over."""
+    parts = F.filter(F.split(text, ","), lambda p: p.rlike(r"^\s*0*[0-9]{1,18}\s*(?:-\s*0*[0-9]{1,18}\s*)?$"))
     pairs = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, "([0-9]+)", 1).cast("long").alias("low"), F.coalesce(F.nullif(F.regexp_extract(p, r"-\s*([0-9]+)", 1), F.lit("")), F.regexp_extract(p, "([0-9]+)", 1)).cast("long").alias("high")))
     return F.filter(pairs, lambda p: p["low"] <= p["high"])
 
@@ -49,11 +52,24 @@ def range_count(low: Column, high: Column) -> Column:
     return F.greatest(high - low + 1, F.lit(0)).cast("long")
 
 
-def expand_ranges(rows: DataFrame, ranges: str = "ranges", keys: list[str] | None = None) -> DataFrame:
-    """keys, number: the distinct numbers of arrays of ranges (low, high)."""
+def merged_ranges(rows: DataFrame, ranges: str = "ranges", keys: list[str] | None = None) -> DataFrame:
+    """keys, low, high: the union of arrays of ranges (low, high) as ranges that neither overlap nor touch.
+
+    A sweep over their lower ends: a range begins a new one where it lies beyond all before it by
+    more than one. Nothing depends on how many numbers a range holds.
+    """
+    keys = keys or []
+    each = rows.select(*keys, F.explode(ranges).alias("r")).select(*keys, "r.low", "r.high").filter("low <= high").distinct()
+    scan = Ranges(each, keys, ["low", "high"]).greatest("_top", F.col("high")).before("_before", F.col("_top"))
+    told = scan.running("_nr", (F.col("_before").isNull() | (F.col("low") - 1 > F.col("_before"))).cast("long")).rows()
+    return told.groupBy(*keys, "_nr").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("_nr")
+
+
+def expand_ranges(rows: DataFrame, ranges: str = "ranges", keys: list[str] | None = None, most: int = 100_000) -> DataFrame:
+    """keys, number: the distinct numbers of arrays of ranges (low, high), of each range of their union the first so many; merged_ranges has all of them, as ranges."""
     keys = keys or []
-    one = rows.select(*keys, F.explode(ranges).alias("r"))
-    return one.select(*keys, F.explode(F.sequence("r.low", "r.high")).alias("number")).distinct()
+    one = merged_ranges(rows, ranges, keys)
+    return one.select(*keys, F.explode(F.sequence("low", F.least(F.col("high"), F.col("low") + (most - 1)))).alias("number"))
 
 
 def in_ranges(rows: DataFrame, ranges: list[tuple[int, int]], column: str = "number") -> DataFrame:
@@ -68,8 +84,11 @@ def in_ranges(rows: DataFrame, ranges: list[tuple[int, int]], column: str = "num
 
 def blocks(ends: DataFrame, size: int, key: str = "source") -> DataFrame:
     """key, low, high: blocks of size numbers over ends (key, first, last)."""
-    starts = F.explode(F.sequence("first", "last", F.lit(size).cast("long")))
-    return ends.select(key, starts.alias("low"), "last").select(key, "low", F.least(F.col("low") + size - 1, "last").alias("high"))
+    many = 1_000_000  # blocks that are made at once
+    outer = ends.filter("first <= last").select(key, "first", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") - F.col("first")) / (size * many)))).alias("_far"))
+    begin = F.col("first") + F.col("_far") * (size * many)
+    starts = F.explode(F.sequence(begin, F.least(F.col("last"), begin + (size * many - size)), F.lit(size).cast("long")))
+    return outer.select(key, starts.alias("low"), "last").select(key, "low", F.least(F.col("low") + size - 1, "last").alias("high"))
 
 
 # ---------------------------------------------------------------- numbering
@@ -77,8 +96,8 @@ def blocks(ends: DataFrame, size: int, key: str = "source") -> DataFrame:
 
 def renumber(rows: DataFrame, order: list[str], key: str, column: str = "number") -> DataFrame:
     """Rows with renumbered (1, 2, ... by key in the given order) and changed."""
-    now = F.row_number().over(W.partitionBy(key).orderBy(*order)).cast("long")
-    return rows.withColumn("renumbered", now).withColumn("changed", (F.col(column) != F.col("renumbered")).cast("long"))
+    out = Ranges(rows, [key], order).number("renumbered").rows()
+    return out.withColumn("changed", (F.col(column) != F.col("renumbered")).cast("long"))
 
 
 def with_parts(chunks: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,16 +111,14 @@ def insert_headers(sources: DataFrame, key: str = "grp", *, continuous: bool = T
     number is the largest header number of a source. A source with a text column that is blank
     gets no number and uses none up.
     """
-    order = W.partitionBy(key).orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
     blank = F.length(F.trim("text")) == 0 if "text" in sources.columns else F.lit(False)
-    wants = (F.col("number").isNull() & ~blank).cast("long")
+    wants = F.col("number").isNull() & ~blank
+    scan = Ranges(sources, [key], ["ord"]).running("_wanted", wants.cast("long"))
     if not continuous:
-        return sources.withColumn("assigned", F.when(F.col("number").isNotNull(), F.col("number")).when(wants == 1, F.sum(wants).over(order)))
-    base = F.last("number", ignorenulls=True).over(order)
-    told = sources.withColumn("base", base).withColumn("run", F.count("number").over(order))
-    since = F.sum(wants).over(W.partitionBy(key, "run").orderBy("ord").rowsBetween(W.unboundedPreceding, 0))
-    told = told.withColumn("since", since)
-    return told.withColumn("assigned", F.when(F.col("number").isNotNull(), F.col("number")).when(wants == 1, F.coalesce("base", F.lit(0)) + F.col("since"))).drop("base", "run", "since")
+        return scan.rows().withColumn("assigned", F.when(F.col("number").isNotNull(), F.col("number")).when(wants, F.col("_wanted"))).drop("_wanted")
+    told = scan.last("_base", F.when(F.col("number").isNotNull(), F.struct("number", "_wanted"))).rows()
+    since = F.coalesce(F.col("_base.number"), F.lit(0)) + F.col("_wanted") - F.coalesce(F.col("_base._wanted"), F.lit(0))
+    return told.withColumn("assigned", F.when(F.col("number").isNotNull(), F.col("number")).when(wants, since)).drop("_wanted", "_base")
 
 
 def put_headers(sources: DataFrame, prefix: str = "Chương {n}") -> DataFrame:
@@ -113,10 +130,9 @@ def put_headers(sources: DataFrame, prefix: str = "Chương {n}") -> DataFrame:
 
 
 def merge_texts(rows: DataFrame, order: str, key: str = "source") -> DataFrame:
-    """key, text: texts that aren't blank, without line ends at both ends, joined by a blank line."""
+    """key, part, text: texts that aren't blank, without line ends at both ends, joined by a blank line; in parts of bounded size whose texts make up the whole."""
     trimmed = F.regexp_replace("text", r"\A\n+|\n+\z", "")
-    parts = F.array_sort(F.collect_list(F.when(F.length(F.trim(trimmed)) > 0, F.struct(order, trimmed.alias("t")))))
-    return rows.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n").alias("text"))
+    return ordered_parts(rows, [key], [order], F.when(F.length(F.trim(trimmed)) > 0, trimmed), between="\n\n")
 
 
 def explicit_order(sources: DataFrame, wanted: DataFrame, key: str = "grp") -> DataFrame:
@@ -130,7 +146,8 @@ def explicit_order(sources: DataFrame, wanted: DataFrame, key: str = "grp") -> D
     if "path" in sources.columns:
         by_path = first.select(key, F.col("name").alias("path"), F.col("pos").alias("path_pos"))
         joined = joined.join(by_path, [key, "path"], "left").withColumn("pos", F.least("pos", "path_pos")).drop("path_pos")
-    return joined.withColumn("position", F.row_number().over(W.partitionBy(key).orderBy(F.col("pos").asc_nulls_last(), "ord")).cast("long")).drop("last")
+    scan = Ranges(joined.withColumn("_unnamed", F.col("pos").isNull()), [key], ["_unnamed", "pos", "ord"])
+    return scan.number("position").rows().drop("last", "_unnamed")
 
 
 def first_of(rows: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -224,9 +241,9 @@ def counter_merge(rows: DataFrame, counters: str, keys: list[str]) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, order: str, key: str = "source") -> DataFrame:
-    """key, fingerprint: SHA-256 over the digests of the texts in order."""
-    parts = F.array_sort(F.collect_list(F.struct(order, F.sha2("text", 256).alias("h"))))
-    return rows.groupBy(key).agg(F.sha2(F.array_join(F.transform(parts, lambda p: p["h"]), "\n"), 256).alias("fingerprint"))
+    """key, fingerprint: SHA-256 over the digests of the texts in order, read as a stream; of the texts only digests are shuffled."""
+    own = rows.select(key, order, F.sha2("text", 256).alias("text"))
+    return digests(own, [key], [order, "text"], between="\n").select(key, F.col("sha256").alias("fingerprint"))
 
 
 # ---------------------------------------------------------------- incremental work
@@ -257,9 +274,7 @@ def validate_manifest(manifest: DataFrame, actual: DataFrame, keys: list[str], d
 
 def aligned(left: DataFrame, right: DataFrame, order: str, fields: list[str], key: str) -> DataFrame:
     """key, n_left, n_right, same: whether two ordered lists of a key agree in all fields, position by position."""
-    nth = F.row_number().over(W.partitionBy(key).orderBy(order))
-    a = left.select(key, nth.alias("nth"), F.struct(*fields).alias("l"))
-    b = right.select(key, nth.alias("nth"), F.struct(*fields).alias("r"))
+    a, b = (Ranges(side.select(key, order, F.struct(*fields).alias(name)), [key], [order]).number("nth").rows().select(key, "nth", name) for side, name in ((left, "l"), (right, "r")))
     both = a.join(b, [key, "nth"], "full")
     equal = F.col("l").isNotNull() & F.col("r").isNotNull() & F.to_json("l").eqNullSafe(F.to_json("r"))
     return both.groupBy(key).agg(F.count("l").alias("n_left"), F.count("r").alias("n_right"), F.bool_and(equal).alias("same"))
@@ -351,7 +366,11 @@ def title_tags(titles: DataFrame, saved: DataFrame, title: str = "title") -> Dat
 
 def latest_revision(rows: DataFrame, keys: list[str], revision: str = "revision") -> DataFrame:
     """Rows of the latest revision of each key: what a later stage wrote before a change isn't seen."""
-    return rows.withColumn("_last", F.max(revision).over(W.partitionBy(*keys))).filter(F.col(revision) == F.col("_last")).drop("_last")
+    last = rows.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.max(revision).alias("_last"))
+    same = F.col(revision) == F.col("_last")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(last, same, "left_semi")
 
 
 def without_tombstones(rows: DataFrame, deleted: DataFrame, keys: list[str]) -> DataFrame:
@@ -361,6 +380,7 @@ def without_tombstones(rows: DataFrame, deleted: DataFrame, keys: list[str]) ->
 
 def timeline(chunks: DataFrame, key: str, order: str, seconds: Column) -> DataFrame:
     """Chunks with start and end on a time line, in microseconds rounded as ends are, so that rounding doesn't add up."""
-    upto = F.sum(seconds.cast("decimal(38,9)")).over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    ends = chunks.withColumn("end_us", F.round(upto * 1_000_000).cast("long"))
-    return ends.withColumn("start_us", F.coalesce(F.lag("end_us").over(W.partitionBy(key).orderBy(order)), F.lit(0)))
+    own = chunks.withColumn("_seconds", seconds.cast("decimal(38,9)"))
+    told = Ranges(own, [key], [order]).running("_upto", F.col("_seconds")).rows()
+    ends = told.withColumn("end_us", F.round(F.col("_upto") * 1_000_000).cast("long"))
+    return ends.withColumn("start_us", F.round((F.col("_upto") - F.coalesce("_seconds", F.lit(0))) * 1_000_000).cast("long")).drop("_upto", "_seconds")

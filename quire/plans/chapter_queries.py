@@ -156,7 +156,20 @@ def renumber_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.sequence_gaps(detect.headers(novels(spark, sf_dir)))
+    return detect.first_missing(detect.sequence_gaps(detect.headers(novels(spark, sf_dir))), 1000)
+
+
+def _far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of the volumes, of which some have one number far off."""
+    far = F.when((F.col("line_index") == 0) & F.col("source").rlike("[258]/"), F.lit(99_999_999_999)).otherwise(F.col("number"))
+    return detect.headers(novels(spark, sf_dir)).withColumn("number", far).withColumnRenamed("line_index", "source_line")
+
+
+def sequence_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing numbers and neighbours out of order, with one number of many digits among the others."""
+    told = detect.sequence_report(_far(spark, sf_dir))
+    first = F.array_join(F.transform("first_breaks", lambda b: F.concat_ws(":", b["source_line"], b["previous"], b["number"], b["kind"])), " ")
+    return told.select("source", "missing", F.array_join(F.col("first_missing").cast("array<string>"), ",").alias("first_missing"), "breaks", first.alias("first_breaks"))
 
 
 def heading_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,12 +200,12 @@ def group_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grouping_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = detect.analyze_grouping(_spans(spark, sf_dir), 10)
-    return told.withColumn("missing_starts", F.array_join(F.col("missing_starts").cast("array<string>"), ","))
+    return told.withColumn("missing_starts", F.array_join(detect.listed_starts(F.col("missing_starts"), 10).cast("array<string>"), ","))
 
 
 def sparse_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = detect.analyze_grouping(_sparse(spark, sf_dir), 10)
-    return told.select("source", "expected_count", "headings", "needs_numbers", F.array_join(F.col("missing_starts").cast("array<string>"), ",").alias("missing_starts"), "refusal")
+    return told.select("source", "expected_count", "headings", "needs_numbers", F.array_join(detect.listed_starts(F.col("missing_starts"), 10).cast("array<string>"), ",").alias("missing_starts"), "refusal")
 
 
 def group_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +253,7 @@ def line_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.withColumn("n", last["number"]).groupBy("source", "n").agg(F.count(F.lit(1)).alias("line_count"), F.sum(F.length("line")).alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (detect_headers, detect_chapters, glued_headers, clock_guard, dedupe_chapters, dedupe_reasons, chapter_dedupe_stats, normalize_chapters, normalize_report, text_loss, renumber_chapters, missing_chapters, heading_diagnostics, scan_headings, group_by_count, group_by_number, grouping_analysis, sparse_analysis, group_identity, group_names, exact_cover, numeric_starts_missing, expected_count, render_chapters, line_header)}
+QUERIES = {f.__name__: f for f in (detect_headers, detect_chapters, glued_headers, clock_guard, dedupe_chapters, dedupe_reasons, chapter_dedupe_stats, normalize_chapters, normalize_report, text_loss, renumber_chapters, missing_chapters, sequence_report, heading_diagnostics, scan_headings, group_by_count, group_by_number, grouping_analysis, sparse_analysis, group_identity, group_names, exact_cover, numeric_starts_missing, expected_count, render_chapters, line_header)}
 
 _HEADER = "CASE WHEN trim(title) = '' THEN 'Chương ' || number ELSE 'Chương ' || number || ': ' || trim(title) END"
 HEADER_SQL = _HEADER
@@ -275,6 +288,13 @@ ORACLES = {
     "group_identity": f"""WITH {SPANS_SQL}, {_COUNTED} SELECT c.source, ord, sha256(substring(text, CAST(start AS INT) + 1, CAST("end" - start AS INT))) AS text_sha256, "end" - start AS chars, left(sha256(concat(sha256(text), chr(0), c.source, chr(0), '7', chr(0), ord, chr(0), start, chr(0), "end")), 24) AS group_id FROM counted c JOIN novels n ON c.source = n.source""",
     "group_names": f"""WITH {SPANS_SQL}, {_COUNTED} SELECT source, ord, replace(source, '/', '_') || '_' || range_label || CASE WHEN row_number() OVER (PARTITION BY source, range_label ORDER BY ord) > 1 THEN '_group_' || lpad(CAST(ord AS VARCHAR), 3, '0') ELSE '' END AS name FROM counted""",
     "exact_cover": f"WITH {SPANS_SQL}, {_COUNTED} SELECT n.source, coalesce(max(ord) IS NOT NULL AND NOT (n.source LIKE '%3/%' AND max(ord) >= 2), false) AS covered FROM novels n LEFT JOIN counted c ON c.source = n.source GROUP BY n.source",
+    "sequence_report": f"""WITH {LINES_SQL}, h AS (SELECT source, line_index, CASE WHEN line_index = 0 AND regexp_matches(source, '[258]/') THEN 99999999999 ELSE number END AS number FROM heads WHERE language IS NOT NULL),
+ s AS (SELECT source, number, lead(number) OVER (PARTITION BY source ORDER BY number) AS next FROM (SELECT DISTINCT source, number FROM h)), g AS (SELECT * FROM s WHERE next > number + 1),
+ f AS (SELECT source, n, row_number() OVER (PARTITION BY source ORDER BY n) AS r FROM (SELECT source, unnest(range(number + 1, least(next, number + 41))) AS n FROM g)),
+ m AS (SELECT source, CAST(sum(next - number - 1) AS BIGINT) AS missing FROM g GROUP BY source), l AS (SELECT source, string_agg(n, ',' ORDER BY n) AS first_missing FROM f WHERE r <= 40 GROUP BY source),
+ b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY line_index) AS r FROM (SELECT source, line_index, number, lag(number) OVER (PARTITION BY source ORDER BY line_index) AS previous FROM h) WHERE number <> previous + 1),
+ k AS (SELECT source, count(*) AS breaks, string_agg(line_index || ':' || previous || ':' || number || ':' || CASE WHEN number = previous THEN 'repeat' WHEN number < previous THEN 'reset' ELSE 'gap' END, ' ' ORDER BY line_index) FILTER (r <= 10) AS first_breaks FROM b GROUP BY source)
+ SELECT coalesce(m.source, k.source) AS source, coalesce(missing, 0) AS missing, coalesce(first_missing, '') AS first_missing, coalesce(breaks, 0) AS breaks, first_breaks FROM m JOIN l ON l.source = m.source FULL JOIN k ON k.source = m.source""",
     "numeric_starts_missing": f"WITH {SPANS_SQL}, ends AS (SELECT source, min(number) AS low, max(number) AS high FROM spans GROUP BY source) SELECT source, n AS number FROM (SELECT source, unnest(generate_series(low, high, 10)) AS n FROM ends) e WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.source = e.source AND s.number = e.n)",
     "expected_count": f"WITH {SPANS_SQL} SELECT source, arg_max(number, start) - arg_min(number, start) + 1 AS expected, count(*) AS found FROM spans GROUP BY source",
     "render_chapters": f"WITH {NORMAL_SQL}, pieces AS (SELECT source, number, source_line, {_HEADER} || chr(10) || chr(10) || CASE WHEN text = '' THEN '' ELSE text || repeat(chr(10), 3) END AS part FROM ranked WHERE rank = 1) SELECT source, length(t) AS chars, sha256(t) AS text_sha256 FROM (SELECT source, {_strip("string_agg(part, '' ORDER BY number, source_line)")} || chr(10) AS t FROM pieces GROUP BY source)",

@@ -12,7 +12,7 @@ from quire.plans.chapter_queries import HEADER_SQL, NORMAL_SQL
 from quire.plans.stimulus import documents, novels
 from quire.sources import readers
 from quire.sources.json_text import unwrap_json
-from quire.streaming import ingest
+from quire.streaming import ingest, jobs
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +116,19 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("most"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_plan, chunk_pages, chunk_strategies, chunk_integrity, chapter_chunks, sentence_units, protected_tokens, half_splits, json_unwrap, entry_filter, window_counts, stream_ingest_counts, user_sessions)}
+def revision_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of states: of each user the first in full, then only changes of the revision."""
+    states = jobs.state_stream(ingest.event_stream(spark, sf_dir))
+    return ingest.run_to_memory(jobs.updates(states, "user_id", "at", "revision"), f"updates_{uuid.uuid4().hex}", "append").filter("kind <> 'heartbeat'")
+
+
+def distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each user and type."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return ingest.first_seen(events.select("user_id", "event_type"), ["user_id", "event_type"])
+
+
+QUERIES = {f.__name__: f for f in (chunk_plan, chunk_pages, chunk_strategies, chunk_integrity, chapter_chunks, sentence_units, protected_tokens, half_splits, json_unwrap, entry_filter, window_counts, stream_ingest_counts, user_sessions, revision_updates, distinct_events)}
 
 _DAYS = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"
 ORACLES = {
@@ -134,5 +146,7 @@ ORACLES = {
     "entry_filter": "SELECT name, reason, count(*) AS n FROM documents JOIN (VALUES (0, 'a/b.txt', NULL), (1, '__MACOSX/x.txt', 'archive metadata'), (2, 'd/._y.txt', 'archive metadata'), (3, 'd/.z.txt', 'hidden'), (4, 'README.md', 'readme or metadata'), (5, 'metadata.txt', 'readme or metadata'), (6, 'x.pdf', 'suffix'), (7, 'dir/', 'directory'), (8, 'Ch 1.TXT', NULL), (9, 'log.log', NULL)) t(i, name, reason) ON doc_id % 10 = i GROUP BY name, reason",
     "window_counts": _DAYS,
     "stream_ingest_counts": _DAYS,
+    "revision_updates": "SELECT user_id, CASE WHEN before IS NULL THEN 'full' ELSE 'update' END AS kind, event_id AS at, event_type AS revision FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before IS NULL OR before <> event_type",
+    "distinct_events": "SELECT DISTINCT user_id, event_type FROM events",
     "user_sessions": "WITH b AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM b), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY user_id, k) SELECT user_id, count(*) AS sessions, max(n) AS most FROM c GROUP BY user_id",
 }

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import jobs, records
+from quire.operators import detect, jobs, parts, prepare, records
 from quire.plans.record_queries import CHUNKS_SQL, _chunks
 from quire.plans.stimulus import documents
 from quire.sources import sinks
@@ -71,6 +71,14 @@ def range_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.expand_ranges(rows, keys=["source"])
 
 
+def merged_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of a source as a union, some of many digits."""
+    low = F.col("doc_id") * 7 % 1000
+    text = F.concat(low.cast("string"), F.lit("-"), (low + F.col("doc_id") % 6).cast("string"), F.when(F.col("doc_id") % 50 == 3, F.concat(F.lit(", 5000-"), (99_999_990_000 + F.col("doc_id")).cast("string"))).otherwise(""))
+    rows = documents(spark, sf_dir).select("source", records.range_column(text).alias("ranges"))
+    return records.merged_ranges(rows, keys=["source"]).select("*", records.range_count(F.col("low"), F.col("high")).alias("n"))
+
+
 def insert_headers_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers put into headless texts, numbered on from the last headed one and (plain) from 1; blank texts get none."""
     rows = documents(spark, sf_dir).select(F.col("source").alias("grp"), F.col("doc_id").alias("ord"), F.when(F.col("doc_id") % 7 == 3, F.col("doc_id") % 500).alias("number"), F.when(F.col("doc_id") % 13 == 5, "  ").otherwise(F.col("text")).alias("text"))
@@ -79,6 +87,24 @@ def insert_headers_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.join(plain, "ord").select("ord", "assigned", "plain", "injected", F.sha2("text", 256).alias("sha"))
 
 
+def auto_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers found in the texts themselves, the largest number of each; texts without one get one, blank ones don't."""
+    made = F.expr("""CASE WHEN doc_id % 7 = 3 THEN 'Chương ' || (doc_id % 500) || chr(10) || text || chr(10) || 'Chapter ' || (doc_id % 300) WHEN doc_id % 13 = 5 THEN '  ' ELSE text END""")
+    rows = documents(spark, sf_dir).select(F.col("source").alias("grp"), F.col("doc_id").alias("ord"), made.alias("text"))
+    return detect.auto_headers(rows).select("ord", "number", "assigned", "injected", F.sha2("text", 256).alias("sha"))
+
+
+def plan_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which plans are made again: of groups whose saved plan is missing, has another digest or is of another revision."""
+    id_ = F.col("doc_id").cast("string")
+    groups = documents(spark, sf_dir).select("doc_id", id_.alias("source"), id_.alias("group_id"), F.lit(0).cast("long").alias("start"), F.length("text").cast("long").alias("end"), F.col("text").alias("slice"), F.sha2("text", 256).alias("text_sha256"), (F.col("doc_id") % 3).alias("revision"))
+    spans = detect.heading_spans(groups.select("source", F.col("slice").alias("text")))
+    number = F.col("group_id").cast("long")
+    saved = prepare.prepare(groups, spans).fresh.filter(number % 4 != 0).withColumn("text", F.when((number % 5 == 2) & (F.col("ord") == 1), F.concat("text", F.lit("x"))).otherwise(F.col("text")))
+    now = groups.withColumn("revision", F.when(F.col("doc_id") % 7 == 3, 9).otherwise(F.col("revision")))
+    return prepare.prepare(now, spans, saved).states.select("group_id", "state")
+
+
 def source_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An explicit order that names some sources by name and others by path."""
     rows = documents(spark, sf_dir).select(F.col("source").alias("grp"), F.concat(F.lit("f"), (F.col("doc_id") % 50).cast("string")).alias("name"), F.concat(F.lit("p/"), F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").alias("ord"))
@@ -225,20 +251,20 @@ def render_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters as they are, empty ones too; and each by itself."""
     rows = documents(spark, sf_dir).select("source", (F.col("doc_id") % 40).alias("number"), F.col("doc_id").alias("source_line"), F.when(F.col("doc_id") % 6 == 1, "").otherwise(F.concat(F.lit("Chương "), F.col("doc_id").cast("string"))).alias("header"), F.when(F.col("doc_id") % 4 == 2, "").otherwise(F.substring("text", 1, 90)).alias("text"))
     alone = rows.groupBy("source").agg(F.sum(F.length(sinks.chapter_text(F.col("header"), F.col("text")))).alias("alone_chars"))
-    return sinks.merged(rows).join(alone, "source").select("source", F.sha2("text", 256).alias("sha"), "alone_chars")
+    return parts.digests(sinks.merged(rows), ["source"]).join(alone, "source").select("source", F.col("sha256").alias("sha"), "alone_chars")
 
 
 def range_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text files of ranges of chapters, overlapping and empty ones among them."""
     chunks = _chunks(spark, sf_dir).select("source", "number", (F.col("doc_id") * 1_000_000 + F.col("ord")).alias("ord"), F.col("source").alias("title"), F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
     made = sinks.range_files(chunks, [(1, 5), (90, 99), (4, 4)], form="txt", folders=True, manifest=False)
-    return made.select("source", "filename", F.sha2("content", 256).alias("sha"))
+    return parts.digests(made, ["source", "filename"]).select("source", "filename", F.col("sha256").alias("sha"))
 
 
 def range_file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir).select("source", "number", (F.col("doc_id") * 1_000_000 + F.col("ord")).alias("ord"), F.col("source").alias("title"), "text")
     made = sinks.range_files(chunks, [(1, 5), (90, 99), (4, 4)]).filter("filename = 'manifest.json'")
-    get = lambda p: F.get_json_object("content", p)
+    get = lambda p: F.get_json_object("text", p)
     return made.select("source", get("$.total_ranges").cast("long").alias("total"), get("$.ranges[0].chunks").cast("long").alias("chunks"), get("$.ranges[0].characters").cast("long").alias("characters"), get("$.ranges[1].index").cast("long").alias("index"), get("$.ranges[1].filename").alias("filename"))
 
 
@@ -256,7 +282,7 @@ def timeline_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.timeline_script(pages, "conv_id").select("conv_id", F.sha2("script", 256).alias("sha"))
 
 
-QUERIES = {f.__name__: f for f in (severity_counts, stage_reset, stage_counts, group_status, total_characters, chapter_statistics, range_checks, range_numbers, insert_headers_text, source_order, first_chapters, log_tail, revision_changes, selection_errors, missing_files, map_overlay, upload_metadata, small_values, story_tags, manifest_alignment, narration_records, check_manifest, restorable_groups, delete_groups, reusable_plans, effective_chunks, list_sessions, render_merged, range_files, range_file_manifest, detailed_json, timeline_script)}
+QUERIES = {f.__name__: f for f in (severity_counts, stage_reset, stage_counts, group_status, total_characters, chapter_statistics, range_checks, range_numbers, merged_ranges, insert_headers_text, auto_headers, plan_states, source_order, first_chapters, log_tail, revision_changes, selection_errors, missing_files, map_overlay, upload_metadata, small_values, story_tags, manifest_alignment, narration_records, check_manifest, restorable_groups, delete_groups, reusable_plans, effective_chunks, list_sessions, render_merged, range_files, range_file_manifest, detailed_json, timeline_script)}
 
 _TTS = "CASE WHEN coalesce(tts_status = 'Completed' AND audio_there, false) THEN 'done' WHEN failures > 0 OR coalesce(tts_status IN ('Partial', 'TTS Incomplete', 'Cancelled', 'Completed'), false) THEN 'error' ELSE 'todo' END"
 _STATES = """saved AS (SELECT source, doc_id AS ord, doc_id % 23 AS k FROM documents WHERE doc_id % 41 <> 7), now AS (SELECT source, doc_id AS ord FROM documents WHERE doc_id % 43 <> 9)"""
@@ -274,10 +300,18 @@ ORACLES = {
  SELECT s.* EXCLUDE (own), coalesce(title, own) AS title FROM s LEFT JOIN t ON s.source = t.source AND s.number = t.number""",
     "range_checks": "SELECT doc_id, error, labels FROM documents JOIN (VALUES (0, NULL, '1-5:5 9:1 30-33:4'), (1, 'empty', ''), (2, 'no_range', ''), (3, NULL, '7:1'), (4, 'no_range', '')) v(k, error, labels) ON doc_id % 5 = k",
     "range_numbers": "SELECT DISTINCT source, n AS number FROM (SELECT source, unnest(list_append(range(doc_id % 30, doc_id % 30 + 5), 7)) AS n FROM documents)",
+    "merged_ranges": """WITH r AS (SELECT source, doc_id * 7 % 1000 AS low, doc_id * 7 % 1000 + doc_id % 6 AS high FROM documents UNION SELECT source, 5000, 99999990000 + doc_id FROM documents WHERE doc_id % 50 = 3),
+ s AS (SELECT *, max(high) OVER (PARTITION BY source ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM r), n AS (SELECT *, count(*) FILTER (top IS NULL OR low > top + 1) OVER (PARTITION BY source ORDER BY low, high ROWS UNBOUNDED PRECEDING) AS nr FROM s)
+ SELECT source, min(low) AS low, max(high) AS high, max(high) - min(low) + 1 AS n FROM n GROUP BY source, nr""",
     "insert_headers_text": """WITH s AS (SELECT source AS grp, doc_id AS ord, CASE WHEN doc_id % 7 = 3 THEN doc_id % 500 END AS number, CASE WHEN doc_id % 13 = 5 THEN '  ' ELSE text END AS text FROM documents),
  r AS (SELECT *, count(number) OVER o AS run, last_value(number IGNORE NULLS) OVER o AS base, number IS NULL AND trim(text) <> '' AS wants FROM s WINDOW o AS (PARTITION BY grp ORDER BY ord ROWS UNBOUNDED PRECEDING)),
  a AS (SELECT *, CASE WHEN number IS NOT NULL THEN number WHEN wants THEN coalesce(base, 0) + sum(CAST(wants AS INT)) OVER (PARTITION BY grp, run ORDER BY ord ROWS UNBOUNDED PRECEDING) END AS assigned, CASE WHEN number IS NOT NULL THEN number WHEN wants THEN sum(CAST(wants AS INT)) OVER (PARTITION BY grp ORDER BY ord ROWS UNBOUNDED PRECEDING) END AS plain FROM r)
  SELECT ord, CAST(assigned AS BIGINT) AS assigned, CAST(plain AS BIGINT) AS plain, number IS NULL AND assigned IS NOT NULL AS injected, sha256(CASE WHEN number IS NULL AND assigned IS NOT NULL THEN 'Hồi ' || CAST(assigned AS BIGINT) || chr(10) || regexp_replace(text, '^\\s+', '') ELSE text END) AS sha FROM a""",
+    "auto_headers": """WITH s AS (SELECT source AS grp, doc_id AS ord, CASE WHEN doc_id % 7 = 3 THEN greatest(doc_id % 500, doc_id % 300) END AS number, CASE WHEN doc_id % 7 = 3 THEN 'Chương ' || (doc_id % 500) || chr(10) || text || chr(10) || 'Chapter ' || (doc_id % 300) WHEN doc_id % 13 = 5 THEN '  ' ELSE text END AS text FROM documents),
+ r AS (SELECT *, count(number) OVER o AS run, last_value(number IGNORE NULLS) OVER o AS base, number IS NULL AND trim(text) <> '' AS wants FROM s WINDOW o AS (PARTITION BY grp ORDER BY ord ROWS UNBOUNDED PRECEDING)),
+ a AS (SELECT *, CASE WHEN number IS NOT NULL THEN number WHEN wants THEN coalesce(base, 0) + sum(CAST(wants AS INT)) OVER (PARTITION BY grp, run ORDER BY ord ROWS UNBOUNDED PRECEDING) END AS assigned FROM r)
+ SELECT ord, number, CAST(assigned AS BIGINT) AS assigned, number IS NULL AND assigned IS NOT NULL AS injected, sha256(CASE WHEN number IS NULL AND assigned IS NOT NULL THEN 'Chương ' || CAST(assigned AS BIGINT) || chr(10) || regexp_replace(text, '^\\s+', '') ELSE text END) AS sha FROM a""",
+    "plan_states": "SELECT CAST(doc_id AS VARCHAR) AS group_id, CASE WHEN NOT regexp_matches(text, '[\\p{L}\\p{N}]') THEN 'failed' WHEN doc_id % 4 <> 0 AND doc_id % 5 <> 2 AND doc_id % 7 <> 3 THEN 'reused' ELSE 'fresh' END AS state FROM documents",
     "source_order": """WITH s AS (SELECT source AS grp, 'f' || (doc_id % 50) AS name, 'p/' || doc_id AS path, doc_id AS ord FROM documents), w AS (SELECT grp, name, min(-ord) AS pos FROM s WHERE ord % 5 = 2 GROUP BY grp, name),
  l AS (SELECT *, ord = max(ord) OVER (PARTITION BY grp, name) AS last FROM s), j AS (SELECT l.grp, l.path, l.ord, least(CASE WHEN last THEN w.pos END, CASE WHEN l.ord % 9 = 4 THEN l.ord END) AS pos FROM l LEFT JOIN w ON l.grp = w.grp AND l.name = w.name)
  SELECT grp, path, row_number() OVER (PARTITION BY grp ORDER BY pos ASC NULLS LAST, ord) AS position FROM j""",

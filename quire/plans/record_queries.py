@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quire.operators import records
+from quire.operators import parts, records
 from quire.plans.stimulus import documents
 from quire.sources import sinks
 
@@ -56,8 +56,8 @@ def repair_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = records.merge_texts(documents(spark, sf_dir), "doc_id")
-    return out.select("source", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("sha"))
+    out = parts.digests(records.merge_texts(documents(spark, sf_dir), "doc_id"), ["source"])
+    return out.select("source", "chars", F.col("sha256").alias("sha"))
 
 
 def insert_headers_even(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,11 +221,11 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names in natural order, numbered by source."""
-    from pyspark.sql import Window as W
+    from quire.operators.scan import Ranges
 
     name = F.concat(F.lit("Chap "), (F.col("doc_id") % 120).cast("string"), F.lit(" part"), F.col("doc_id").cast("string"), F.lit(".TXT"))
-    rows = documents(spark, sf_dir).select("source", name.alias("name"))
-    return rows.withColumn("ord", F.row_number().over(W.partitionBy("source").orderBy(text.natural_key(F.col("name")))).cast("long"))
+    rows = documents(spark, sf_dir).select("source", name.alias("name"), text.natural_key(name).alias("key"))
+    return Ranges(rows, ["source"], ["key"]).number("ord").rows().drop("key")
 
 
 QUERIES = {f.__name__: f for f in (normalize_quotes, restore_newlines, normalize_spacing, sentence_endings, strip_brackets, remove_brackets, remove_quotes, symbol_words, control_chars, unescape_entities, strip_html_documents, strip_html_pages, clean_text, clean_report, clean_for_speech, has_escapes, numeral_texts, language_of, meaningful_lines, sanitize_text, sanitize_steps, sanitize_fixed_point, suspicious_values, mojibake_report, parse_number_token, chinese_numerals, roman_numerals, normalize_digits, format_header, clean_header_artifacts, text_fingerprints, slugs, natural_sort)}

@@ -7,10 +7,12 @@ do and hidden files are passed over. Decoding and unzipping are small per-row he
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from quire.session import in_batches
 
 # Suffixes and names that decide what is read, encodings in order, key names.
 SUFFIXES = (".txt", ".text", ".md", ".log")
@@ -63,20 +65,42 @@ def penalty(text: str) -> float:
     return signs / max(1, len(text)) * 1000
 
 
-def decode(data: bytes, encodings: tuple[str, ...] = ENCODINGS) -> tuple[str, str]:
-    """(text, encoding): the encoding without decoding errors whose text has the least penalty; the earlier of equals. One that a byte order mark names comes first, with a bonus."""
+@dataclass(frozen=True)
+class Decoded:
+    """A decoded text; uncertain: no encoding fitted, so characters may be wrong. passed_over: encodings tried in vain, sorted."""
+
+    text: str
+    encoding: str
+    uncertain: bool = False
+    passed_over: tuple[str, ...] = ()
+
+    def note(self) -> str:
+        """What a reader of the text should know."""
+        notes = ["no encoding fits; read as latin-1, accents may be lost"] if self.uncertain else []
+        if self.encoding == "cp1258":
+            notes.append("read as Vietnamese cp1258")
+        if self.passed_over:
+            notes.append("passed over: " + ", ".join(self.passed_over))
+        return "; ".join(notes) if self.text or self.uncertain else "empty file"
+
+
+def decode(data: bytes, encodings: tuple[str, ...] = ENCODINGS) -> Decoded:
+    """The encoding without decoding errors whose text has the least penalty; the earlier of equals. One that a byte order mark names comes first, with a bonus."""
     if not data:
-        return "", "utf-8"
+        return Decoded("", "utf-8")
     marked = next((e for m, e in BYTE_ORDER_MARKS.items() if data.startswith(m)), None)
-    found = []
+    found, over = [], set()
     for place, encoding in enumerate(dict.fromkeys((*((marked,) if marked else ()), *encodings))):
         try:
             text = data.decode(encoding)
         except (UnicodeDecodeError, LookupError):
-            continue
-        if "\ufffd" not in text:
+            text = "\ufffd"
+        if "\ufffd" in text:
+            over.add(encoding)
+        else:
             found.append((penalty(text) - (MARK_BONUS if encoding == marked else 0), place, text, encoding))
-    return min(found)[2:] if found else (data.decode("latin-1"), "latin-1")
+    text, encoding = min(found)[2:] if found else (data.decode("latin-1"), "latin-1")
+    return Decoded(text, encoding, not found, tuple(sorted(over)))
 
 
 def had_mark(data: Column) -> Column:
@@ -88,16 +112,24 @@ def had_mark(data: Column) -> Column:
     return out
 
 
-_ENTRY = T.StructType([T.StructField("name", T.StringType()), T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType()), T.StructField("error", T.StringType())])
+def _below(path: str) -> str:
+    """An expression for the files that a given path names or holds: whole parts of a path, with the wildcards that paths may have."""
+    import re
+
+    place = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "", path).rstrip("/")
+    marks = {"*": "[^/]*", "?": "[^/]", "[": "[", "]": "]", "{": "(?:", "}": ")", ",": "|" if "{" in place else ","}
+    body = "".join(marks.get(c) or ("\\" + c if c in r"\.^$|()+-" else c) for c in place)
+    begin = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?" if place.startswith("/") else "(?:^|/)"
+    return f"{begin}{body}(?:/|$)"
 
 
 def read_texts(spark: SparkSession, path: str | list[str], include: list[str] | None = None, *, recursive: bool = False, sort: str = "natural") -> DataFrame:
-    """path, name, text, encoding, error, ord: text files and the text entries of ZIP archives in folders or files, to be ordered by ord.
+    """path, name, text, encoding, uncertain, note, error, ord: text files and the text entries of ZIP archives in folders or files, to be ordered by ord.
 
     include: parts of which a name must have one, case aside. sort: natural, name, or selection
     (paths in the order given, files of a folder in natural order). Folders inside folders are
     read only if recursive. An unreadable archive gives a row with error file_unreadable, a path
-    that isn't there one with path_missing.
+    that isn't there one with path_missing. A file of no bytes gives no row.
     """
     import pandas as pd
 
@@ -108,7 +140,7 @@ def read_texts(spark: SparkSession, path: str | list[str], include: list[str] |
         (there if target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target) else missing).append(one)
     place = F.lit(len(every))
     for k, one in reversed(list(enumerate(every))):
-        place = F.when(F.contains("path", F.lit(one.split("://")[-1].rstrip("/"))), k).otherwise(place)
+        place = F.when(F.col("path").rlike(_below(one)), k).otherwise(place)
     if there:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(there).select("path", "content")
     else:
@@ -119,22 +151,26 @@ def read_texts(spark: SparkSession, path: str | list[str], include: list[str] |
         import io
         import zipfile
 
+        def told(data: bytes) -> tuple:
+            d = decode(data)
+            return d.text, d.encoding, d.uncertain, d.note()
+
         for batch in batches:
             rows = []
             for at, content in zip(batch["path"], batch["content"], strict=True):
                 if not at.lower().endswith(".zip"):
-                    rows.append((at, at.rsplit("/", 1)[-1], *decode(bytes(content)), None))
+                    rows.append((at, at.rsplit("/", 1)[-1], *told(bytes(content)), None))
                     continue
                 try:
                     with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-                        rows += [(at, info.filename, *decode(z.read(info)), None) for info in z.infolist() if not info.is_dir()]
+                        rows += [(at, info.filename, *told(z.read(info)), None) for info in z.infolist() if not info.is_dir()]
                 except zipfile.BadZipFile:
-                    rows.append((at, at.rsplit("/", 1)[-1], None, None, "file_unreadable"))
-            yield pd.DataFrame(rows, columns=["path", "name", "text", "encoding", "error"])
+                    rows.append((at, at.rsplit("/", 1)[-1], None, None, None, None, "file_unreadable"))
+            yield pd.DataFrame(rows, columns=["path", "name", "text", "encoding", "uncertain", "note", "error"])
 
     from quire.functions.text import natural_key
 
-    read = wanted.mapInPandas(run, "path string, name string, text string, encoding string, error string")
+    read = in_batches(wanted).mapInPandas(run, "path string, name string, text string, encoding string, uncertain boolean, note string, error string")
     read = read.filter(F.col("error").isNotNull() | skip_reason(F.col("name")).isNull())
     if include:
         test = F.lit(False)
@@ -142,7 +178,7 @@ def read_texts(spark: SparkSession, path: str | list[str], include: list[str] |
             test = test | F.contains(F.lower("name"), F.lit(part.lower()))
         read = read.filter(test)
     if missing:
-        read = read.unionByName(spark.createDataFrame([(m, m.rsplit("/", 1)[-1], None, None, "path_missing") for m in missing], read.schema))
+        read = read.unionByName(spark.createDataFrame([(m, m.rsplit("/", 1)[-1], None, None, None, None, "path_missing") for m in missing], read.schema))
     if sort == "name":
         return read.withColumn("ord", F.concat_ws("/", F.lower("name"), "path"))
     if sort == "selection":

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quire.functions.text import SPACE, strip
+from quire.operators.parts import ordered_parts
 from quire.operators.records import range_label
+from quire.operators.scan import Ranges
 
 
 def _joined(rows: DataFrame, part: Column, order: Sequence[str], key: str) -> DataFrame:
@@ -29,16 +31,25 @@ def _head(header: Column) -> Column:
     return F.when(F.length(F.coalesce(header, F.lit(""))) > 0, F.concat(header, F.lit("\n\n"))).otherwise("")
 
 
-def render(chapters: DataFrame, key: str = "source", separator: str = "\n\n\n") -> DataFrame:
-    """key, text: chapters (number, source_line, header, text) as one text: header, blank line, text without white space at its ends, separator; a chapter without a text as its header only."""
+def _rendered(separator: str) -> Column:
     body = strip(F.coalesce("text", F.lit("")))
-    return _joined(chapters, F.concat(_head(F.col("header")), F.when(F.length(body) > 0, F.concat(body, F.lit(separator))).otherwise("")), ["number", "source_line"], key)
+    return F.concat(_head(F.col("header")), F.when(F.length(body) > 0, F.concat(body, F.lit(separator))).otherwise(""))
+
+
+def render(chapters: DataFrame, key: str = "source", separator: str = "\n\n\n") -> DataFrame:
+    """key, text: chapters (number, source_line, header, text) as one text: header, blank line, text without white space at its ends, separator; a chapter without a text as its header only. The text of a key must fit in a row (render_parts has no such limit)."""
+    return _joined(chapters, _rendered(separator), ["number", "source_line"], key)
+
+
+def render_parts(chapters: DataFrame, key: str = "source", separator: str = "\n\n\n") -> DataFrame:
+    """key, part, text: the same in parts of bounded size, for keys of any size."""
+    return ordered_parts(chapters, [key], ["number", "source_line"], _rendered(separator), end="\n")
 
 
 def merged(chapters: DataFrame, key: str = "source", separator: str = "\n\n\n", headers: bool = True) -> DataFrame:
-    """key, text: chapters as they are, each followed by the separator, empty ones too."""
+    """key, part, text: chapters as they are, each followed by the separator, empty ones too; in parts of bounded size."""
     body = F.concat(F.coalesce("text", F.lit("")), F.lit(separator))
-    return _joined(chapters, F.concat(_head(F.col("header")), body) if headers else body, ["number", "source_line"], key)
+    return ordered_parts(chapters, [key], ["number", "source_line"], F.concat(_head(F.col("header")), body) if headers else body, end="\n")
 
 
 def chapter_text(header: Column, text: Column) -> Column:
@@ -93,34 +104,49 @@ def range_manifest(chunks: DataFrame, size: int, key: str = "source") -> DataFra
 
 
 def range_files(chunks: DataFrame, ranges: Sequence[tuple[int, int]], *, form: str = "json", folders: bool = False, manifest: bool = True, key: str = "source") -> DataFrame:
-    """key, filename, content: a file for each range of chapter numbers that has chunks (number, ord, title, text), and manifest.json.
+    """key, filename, part, text: a file for each range of chapter numbers that has chunks (number, ord, title, text), and manifest.json, in parts of bounded size.
 
     Ranges may overlap; index is a range's place in the list, those without chunks leave gaps.
     """
     listed = F.array(*(F.struct(F.lit(i).alias("index"), F.lit(a).cast("long").alias("low"), F.lit(b).cast("long").alias("high")) for i, (a, b) in enumerate(ranges, 1)))
     own = chunks.withColumn("r", F.explode(F.filter(listed, lambda r: F.col("number").between(r["low"], r["high"])))).select(key, "r.index", range_label(F.col("r.low"), F.col("r.high")).alias("range"), "number", "ord", "title", "text")
     name = F.concat(F.when(F.lit(folders), F.concat(F.lit("range_"), F.lpad(F.col("index").cast("string"), 3, "0"), F.lit("/"))).otherwise(""), F.col("range"), F.lit(f".{form}"))
+    own = own.withColumn("filename", name)
     counts = (F.count(F.lit(1)).alias("chunks"), F.countDistinct("number").alias("chapters"), F.sum(F.length("text")).alias("characters"))
+    files = own.groupBy(key, "index", "range", "filename").agg(*counts)
+    place = [key, "index", "range", "filename"]
+    told = Ranges(own, place, ["number", "ord"]).number("_n").before("_number", F.col("number")).rows()
     if form == "json":
-        items = F.array_sort(F.collect_list(F.struct("number", "ord", "title", "text")))
-        made = own.groupBy(key, "index", "range").agg(*counts, items.alias("items"))
-        content = F.to_json(F.struct("range", F.col("items").alias("chunks"), F.col("chunks").alias("chunk_count"), F.col("chapters").alias("chapter_count")))
+        told = told.join(files.select(key, "index", "chunks", "chapters"), [key, "index"])
+        head = F.concat(F.lit('{"range":'), _quoted("range"), F.lit(',"chunks":['))
+        tail = F.concat(F.lit('],"chunk_count":'), "chunks", F.lit(',"chapter_count":'), "chapters", F.lit("}"))
+        one = F.to_json(F.struct("number", "ord", "title", "text"))
+        piece = F.concat(F.when(F.col("_n") == 1, head).otherwise(","), one, F.when(F.col("_n") == F.col("chunks"), tail).otherwise(""))
+        made = ordered_parts(told, place, ["_n"], piece)
     else:
-        first = F.row_number().over(W.partitionBy(key, "index", "number").orderBy("ord")) == 1
+        first = ~F.col("number").eqNullSafe(F.col("_number"))
         head = F.when(first, F.concat(F.lit("=== "), F.coalesce("title", F.concat(F.lit("Chương "), F.col("number").cast("string"))), F.lit(" ===\n\n"))).otherwise("")
-        gap = F.when(first & (F.row_number().over(W.partitionBy(key, "index").orderBy("number", "ord")) > 1), "\n\n").otherwise("")
-        parts = F.transform(F.array_sort(F.collect_list(F.struct("number", "ord", "part"))), lambda p: p["part"])
-        made = own.withColumn("part", F.concat(gap, head, "text", F.lit("\n\n"))).groupBy(key, "index", "range").agg(*counts, F.array_join(parts, "").alias("joined"))
-        content = F.concat(F.regexp_replace("joined", rf"{SPACE}+\z", ""), F.lit("\n"))
-    files = made.select(key, "index", "range", "chunks", "chapters", "characters", name.alias("filename"), content.alias("content"))
-    out = files.select(key, "filename", "content")
+        gap = F.when(first & (F.col("_n") > 1), "\n\n").otherwise("")
+        made = ordered_parts(told, place, ["_n"], F.concat(gap, head, "text", F.lit("\n\n")), end="\n")
+    out = made.select(key, "filename", "part", "text")
     if manifest:
-        rows = F.array_sort(F.collect_list(F.struct("index", "range", "filename", "chunks", "chapters", "characters")))
-        lists = files.groupBy(key).agg(F.to_json(F.struct(rows.alias("ranges"), F.lit(len(ranges)).alias("total_ranges"))).alias("content"))
-        out = out.unionByName(lists.select(key, F.lit("manifest.json").alias("filename"), "content"))
+        rows = F.array_sort(F.collect_list(F.struct("index", "range", "filename", "chunks", "chapters", "characters")))  # a row a range
+        lists = files.groupBy(key).agg(F.to_json(F.struct(rows.alias("ranges"), F.lit(len(ranges)).alias("total_ranges"))).alias("text"))
+        out = out.unionByName(lists.select(key, F.lit("manifest.json").alias("filename"), F.lit(0).cast("long").alias("part"), "text"))
     return out
 
 
+def _quoted(column: str) -> Column:
+    """A string as JSON."""
+    return F.regexp_extract(F.to_json(F.struct(F.col(column).alias("x"))), r"(?s)\A\{\"x\":(.*)\}\z", 1)
+
+
+def whole_files(parts: DataFrame, key: str = "source") -> DataFrame:
+    """key, filename, content of parts (key, filename, part, text) whose files fit in a row each."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"])
+    return parts.groupBy(key, "filename").agg(F.array_join(texts, "").alias("content"))
+
+
 def group_files(groups: DataFrame, key: str = "source") -> DataFrame:
     """key, filename, content: final.txt and final.json of each group (name, ord, group_id, label, range_label, start, end, source_sha256, text_sha256, slice) in a folder of its name, and chapter_groups.json."""
     facts = ("group_id", "ord", "label", "range_label", "start", "end", "source_sha256", "text_sha256")
