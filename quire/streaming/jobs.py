@@ -14,19 +14,22 @@ from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def updates(states: DataFrame, key: str, order: str, revision: str, *, heartbeat_ms: int = 10_000) -> DataFrame:
+def updates(states: DataFrame, key: str, order: str, revision: str, *, heartbeat_ms: int | None = None) -> DataFrame:
     """key, kind, order, revision: what a watcher of a stream of states is told.
 
     Of each key the first state in full (kind full), then only states whose revision differs
-    from the one before (update), and heartbeat where nothing came for so long; that has the
-    last order and revision. Keyed state holds these two, across batches and restarts. A state
-    whose order isn't beyond what was told is passed over. Rows of a batch may come in any order.
+    from the one before (update). With heartbeat_ms also heartbeat where nothing came for so long,
+    with the last order and revision; a query with it goes on until it is stopped, even if it is
+    to process what is available only. Keyed state holds order and revision, across batches and
+    restarts. A state whose order isn't beyond what was told is passed over. Rows of a batch may
+    come in any order.
     """
+    timeout = GroupStateTimeout.NoTimeout if heartbeat_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     kinds = {name: states.schema[name].dataType.simpleString() for name in (key, order, revision)}
     out = f"{key} {kinds[key]}, kind string, {order} {kinds[order]}, {revision} {kinds[revision]}"
 
     def tell(key_: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
+        if heartbeat_ms is not None and held.hasTimedOut:
             told = [(key_[0], "heartbeat", *held.get)]
         else:
             now = held.get if held.exists else None
@@ -40,12 +43,12 @@ def updates(states: DataFrame, key: str, order: str, revision: str, *, heartbeat
                 now = (at, number)
             if now is not None:
                 held.update(now)
-        if held.exists:
+        if heartbeat_ms is not None and held.exists:
             held.setTimeoutDuration(heartbeat_ms)
         yield pd.DataFrame(told, columns=[key, "kind", order, revision])
 
     rows = states.select(key, order, revision)
-    return rows.groupBy(key).applyInPandasWithState(tell, out, f"{order} {kinds[order]}, {revision} {kinds[revision]}", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(key).applyInPandasWithState(tell, out, f"{order} {kinds[order]}, {revision} {kinds[revision]}", "append", timeout)
 
 
 class Progress(StreamingQueryListener):

@@ -242,10 +242,11 @@ def test_worklist_and_headers(spark):
 
 
 def test_decoding():
-    assert readers.decode(b"") == ("", "utf-8")
-    assert readers.decode("chào".encode("utf-16"))[1] == "utf-16"
-    assert readers.decode(b"\xef\xbb\xbfabc") == ("abc", "utf-8-sig")
-    assert readers.decode("plain text".encode())[0] == "plain text"
+    told = lambda data: (readers.decode(data).text, readers.decode(data).encoding)
+    assert told(b"") == ("", "utf-8")
+    assert told("chào".encode("utf-16"))[1] == "utf-16"
+    assert told(b"\xef\xbb\xbfabc") == ("abc", "utf-8-sig")
+    assert told("plain text".encode())[0] == "plain text"
 
 
 def test_reading_files_and_archives(spark, tmp_path):
