@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.words import WordHashes, mixed, shingle_set, with_texts
+from quire.llm.words import WordHashes, hot_from, join_hot, mixed, shingle_set, with_texts
 from quire.session import in_batches, persist_table
 
 SIZE = 64
@@ -316,8 +316,8 @@ def candidate_links(reps: DataFrame, threshold: float, recall: float) -> DataFra
     paths = take_paths(reps, runs_for(recall, threshold), threshold)
     for level in range(DEPTH + 1):
         paths = persist_table(paths, "paths")
-        size = paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        rows = persist_table(paths.join(size, "path").join(reps.select("rep", "values"), "rep"), "nodes")
+        size = persist_table(paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
+        rows = persist_table(join_hot(paths, size, ["path"], "size", hot_from(paths.count())).join(reps.select("rep", "values"), "rep"), "nodes")
         found(leaf_links(rows.filter(F.col("size") <= LEAF).select("path", "rep", "values"), least))
         large = rows.filter(F.col("size") > LEAF).select("path", "used", "rep", "values")
         if large.isEmpty():
