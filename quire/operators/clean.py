@@ -324,37 +324,68 @@ def sanitize(rows: DataFrame, options: SanitizeOptions = SanitizeOptions(), *, t
 def suspicious(rows: DataFrame, key: str = "doc_id", *, text_col: str = "text", radius: int = 24) -> DataFrame:
     """key, rule, value, start, line, column, context: sequences of wrongly decoded text and replacement characters, a row each.
 
-    Offsets are code points from 0, lines and columns count from 1. Of several rules that match
-    at one place the first is named. The text isn't normalized first.
+    Every rule is looked for by itself, so matches of several may overlap; of rules that match the
+    very same place the first is named. Offsets are code points from 0, lines and columns count
+    from 1. The text isn't normalized first. Only texts with a match go to Python.
     """
     rules = (*MOJIBAKE, ("replacement-char", r"\x{FFFD}"))
-    every = "|".join(f"({p})" for _, p in rules)
-    hits = rows.filter(F.col(text_col).rlike(every)).select(key, text_col, F.posexplode(F.regexp_extract_all(text_col, F.lit(every), F.lit(0))).alias("nr", "value"))
-    # what stands before hit k: the parts before it and the hits before it
-    parts = F.split(F.col(text_col), every, -1)
-    lengths = F.aggregate(F.slice(F.transform(parts, F.length), 1, F.col("nr") + 1), F.lit(0), lambda a, x: a + x)
-    earlier = F.aggregate(F.slice(F.transform(F.regexp_extract_all(text_col, F.lit(every), F.lit(0)), F.length), F.lit(1), F.col("nr")), F.lit(0), lambda a, x: a + x)
-    placed = hits.withColumn("start", (lengths + earlier).cast("long"))
-    before = F.substring(F.col(text_col), F.lit(1), F.col("start").cast("int"))
-    rule = F.lit("replacement-char")
-    for name, pattern in reversed(MOJIBAKE):
-        rule = F.when(F.col("value").rlike(rf"\A(?:{pattern})\z"), name).otherwise(rule)
-    begin = F.greatest(F.col("start") - radius, F.lit(0))
-    context = F.substring(F.col(text_col), (begin + 1).cast("int"), (F.col("start") - begin + F.length("value") + radius).cast("int"))
-    return placed.select(
-        key, rule.alias("rule"), "value", "start", (count_of(before, "\n") + 1).alias("line"), (F.length(F.substring_index(before, "\n", -1)) + 1).cast("long").alias("column"),
-        F.replace(F.replace(context, F.lit("\r"), F.lit("\\r")), F.lit("\n"), F.lit("\\n")).alias("context"),
-    )
+    own = rows.filter(F.col(text_col).rlike("|".join(p for _, p in rules))).select(key, F.col(text_col).alias("text"))
+    kind = own.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from bisect import bisect_right
+
+        from quire.functions.sanitizing import python_pattern
+
+        compiled = [(name, re.compile(python_pattern(p))) for name, p in rules]
+        for batch in batches:
+            source, found = [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                breaks = [m.start() for m in re.finditer("\n", text)]
+                spans: dict[tuple[int, int], str] = {}
+                for name, pattern in compiled:
+                    for m in pattern.finditer(text):
+                        spans.setdefault(m.span(), name)
+                for (a, b), name in sorted(spans.items()):
+                    line = bisect_right(breaks, a - 1)
+                    context = text[max(0, a - radius) : b + radius].replace("\r", "\\r").replace("\n", "\\n")
+                    source.append(row)
+                    found.append((name, text[a:b], a, line + 1, a - (breaks[line - 1] + 1 if line else 0) + 1, context))
+            columns = zip(*found, strict=True) if found else [()] * 6
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [key, "rule", "value", "start", "line", "column", "context"])
+
+    return in_batches(own).mapInArrow(run, f"{key} {kind}, rule string, value string, start long, line long, column long, context string")
 
 
 def suspicious_report(found: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, rule, value, n, contexts: how often each value occurs, and its first three contexts that differ (by start, then text)."""
+    """keys, rule, value, n, contexts: how often each value occurs, and its first three contexts that differ (by start, then text).
+
+    Contexts are limited to three before they are shuffled together, so no value gathers more.
+    """
     from pyspark.sql import Window as W
 
-    once = found.groupBy(*keys, "rule", "value", "context").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"))
-    nth = F.row_number().over(W.partitionBy(*keys, "rule", "value").orderBy("start", "context"))
-    first = F.when(F.col("nth") <= 3, F.struct("nth", "context"))
-    return once.withColumn("nth", nth).groupBy(*keys, "rule", "value").agg(F.sum("n").alias("n"), F.transform(F.array_sort(F.collect_list(first)), lambda x: x["context"]).alias("contexts"))
+    of = [*keys, "rule", "value"]
+    once = found.groupBy(*of, "context").agg(F.min("start").alias("start"))
+    first = once.withColumn("nth", F.row_number().over(W.partitionBy(*of).orderBy("start", "context"))).filter("nth <= 3")
+    contexts = first.groupBy(*of).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "context"))), lambda x: x["context"]).alias("contexts"))
+    return found.groupBy(*of).agg(F.count(F.lit(1)).alias("n")).join(contexts, of)
+
+
+def sanitize_warnings(sanitized: DataFrame, found: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """key, code, n, detail: what someone should look at before a sanitized text is read aloud, a row a kind.
+
+    Of sanitize's rows characters of other scripts and joiners that were kept, with how many; of
+    found (suspicious, of the text before) each value with its rule and place of its first occurrence.
+    """
+    kept = ("detected_cjk_chars", "detected_other_script_chars", "detected_cjk_punctuation", "preserved_script_joiners")
+    pairs = F.array(*(F.struct(F.lit(c).alias("code"), F.col(c).alias("n")) for c in kept))
+    out = sanitized.select(key, F.inline(F.filter(pairs, lambda p: p["n"] > 0))).select(key, "code", "n", F.lit("kept").alias("detail"))
+    if found is None:
+        return out
+    at = F.min_by(F.concat(F.lit("line "), F.col("line"), F.lit(", char "), F.col("column")), "start")
+    values = found.groupBy(key, "rule", "value").agg(F.count(F.lit(1)).alias("n"), at.alias("at"))
+    return out.unionByName(values.select(key, F.col("rule").alias("code"), "n", F.concat("value", F.lit(" at "), "at").alias("detail")))
 
 
 def prepare_chapters(chapters: DataFrame, cleaning: CleanOptions = CleanOptions(), sanitizing: SanitizeOptions = SanitizeOptions()) -> DataFrame:

@@ -313,6 +313,7 @@ def _clean_sql() -> str:
 
 CLEAN_SQL = _clean_sql()
 SPOILT_SQL = "spoilt AS (SELECT source, doc_id, CASE WHEN doc_id % 6 = 1 THEN replace(replace(text, 'e ', 'Ã© '), 't.', chr(65533) || '.') ELSE text END AS text FROM documents)"
+_HITS = f"{SPOILT_SQL}, h AS (SELECT source, doc_id, text, unnest(regexp_extract_all(text, '(?s)(.*?)(Ã[\\x{{80}}-\\x{{BF}}]|\\x{{FFFD}})', 1)) AS before, unnest(regexp_extract_all(text, '(?s)(.*?)(Ã[\\x{{80}}-\\x{{BF}}]|\\x{{FFFD}})', 2)) AS value, generate_subscripts(regexp_extract_all(text, 'Ã[\\x{{80}}-\\x{{BF}}]|\\x{{FFFD}}'), 1) AS k FROM spoilt WHERE regexp_matches(text, 'Ã[\\x{{80}}-\\x{{BF}}]|\\x{{FFFD}}')), p AS (SELECT *, CAST(sum(length(before) + length(value)) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) - length(value) AS start FROM h), q AS (SELECT source, doc_id, CASE WHEN value = chr(65533) THEN 'replacement-char' ELSE 'latin1-utf8' END AS rule, value, start, left(text, start) AS upto, replace(replace(substring(text, greatest(start - 24, 0) + 1, start - greatest(start - 24, 0) + length(value) + 24), chr(13), chr(92) || 'r'), chr(10), chr(92) || 'n') AS context FROM p)"
 _NL = "' || chr(10) || '"
 STEP_SQL = {
     "links": "trim(text || ' xem , rồi gửi a.b@c.org nhé').replace(' ,', ',')",
@@ -343,7 +344,8 @@ ORACLES = {
     "has_escapes": f"WITH {DIRTY_SQL} SELECT source, count(*) FILTER (regexp_matches(text, '\\\\[rn]')) AS n FROM dirty GROUP BY source",
     "numeral_texts": f"SELECT doc_id, token, regexp_matches(token, '^[0-9０-９零〇洞一二两三四五六七八九十百千万亿壹贰叁肆伍陆柒捌玖拾佰仟萬億]+$') AS is_numeral FROM ({_values(TOKENS)})",
     "sanitize_steps": " UNION ALL ".join(f"SELECT doc_id, '{name}' AS step, sha256({sql}) AS sha FROM (SELECT doc_id, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS text FROM documents)" for name, sql in STEP_SQL.items()),
-    "suspicious_values": f"WITH {SPOILT_SQL}, h AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '(?s)(.*?)(Ã[\\x{{80}}-\\x{{BF}}]|\\x{{FFFD}})', 1)) AS before, unnest(regexp_extract_all(text, '(?s)(.*?)(Ã[\\x{{80}}-\\x{{BF}}]|\\x{{FFFD}})', 2)) AS value, generate_subscripts(regexp_extract_all(text, 'Ã[\\x{{80}}-\\x{{BF}}]|\\x{{FFFD}}'), 1) AS k FROM spoilt WHERE regexp_matches(text, 'Ã[\\x{{80}}-\\x{{BF}}]|\\x{{FFFD}}')), p AS (SELECT *, CAST(sum(length(before) + length(value)) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) - length(value) AS start FROM h), q AS (SELECT doc_id, value, start, left(text, start) AS upto, replace(replace(substring(text, greatest(start - 24, 0) + 1, start - greatest(start - 24, 0) + length(value) + 24), chr(13), '..'), chr(10), '..') AS context FROM p) SELECT doc_id, CASE WHEN value = chr(65533) THEN 'replacement-char' ELSE 'latin1-utf8' END AS rule, value, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts, CAST(sum(length(upto) - length(replace(upto, chr(10), '')) + 1) AS BIGINT) AS line_sum, CAST(sum(length(regexp_replace(upto, '(?s)^.*\\n', '')) + 1) AS BIGINT) AS columns, CAST(sum(length(context)) AS BIGINT) AS context_chars FROM q GROUP BY ALL",
+    "suspicious_values": f"WITH {_HITS} SELECT doc_id, rule, value, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts, CAST(sum(length(upto) - length(replace(upto, chr(10), '')) + 1) AS BIGINT) AS line_sum, CAST(sum(length(regexp_replace(upto, '(?s)^.*\\n', '')) + 1) AS BIGINT) AS columns, CAST(sum(length(context)) AS BIGINT) AS context_chars FROM q GROUP BY ALL",
+    "mojibake_report": f"WITH {_HITS}, o AS (SELECT source, rule, value, context, count(*) AS n, min(start) AS start FROM q GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source, rule, value ORDER BY start, context) AS nth FROM o) SELECT source, rule, value, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(context, '|' ORDER BY nth) FILTER (nth <= 3)) AS contexts FROM r GROUP BY source, rule, value",
     "language_of": "WITH t AS (SELECT coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN repeat('流民不可怕', doc_id % 50) ELSE '' END AS text FROM documents), n AS (SELECT len(regexp_extract_all(text, '[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}]')) AS han, len(regexp_extract_all(text, '[A-Za-zÀ-ỹ]')) AS latin FROM t) SELECT CASE WHEN han > latin * 0.5 THEN 'zh' WHEN han > 0 AND latin > 0 THEN 'mixed' WHEN latin > 0 THEN 'vi' ELSE 'unknown' END AS language, count(*) AS n FROM n GROUP BY 1",
     "meaningful_lines": f"WITH {DIRTY_SQL}, l AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM dirty) SELECT source, count(*) AS line_count, CAST(sum(CAST(regexp_matches(line, '[\\p{{L}}\\p{{N}}]') AS INT)) AS BIGINT) AS meaningful FROM l GROUP BY source",
     "sanitize_fixed_point": "SELECT source, CAST(0 AS BIGINT) AS changed FROM documents GROUP BY source",
