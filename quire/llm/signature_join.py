@@ -3,7 +3,7 @@
 Each text is the set of its runs of four words; texts with the same set are one class, which
 its least id stands for. A class is posted under each of the SIZE coordinates of its signature
 with the value that it has there. Two sets at the threshold share at least LEAST coordinates
-(but for about 3 pairs in a million, see `missed`), and that number of collisions is what makes
+(but for about 4 pairs in a million, see `missed`), and that number of collisions is what makes
 a pair of classes a candidate.
 
 Prefix: coordinate values that only one class has can't collide; a class with fewer than LEAST
