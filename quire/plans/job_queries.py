@@ -105,6 +105,45 @@ def plan_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.prepare(now, spans, saved).states.select("group_id", "state")
 
 
+def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest state of each group, of those that were saved for the text it has now."""
+    groups = documents(spark, sf_dir).select(F.col("doc_id").alias("group_id"), F.sha2("text", 256).alias("text_sha256"))
+    state = F.when(F.col("group_id") % 5 == 1, "x").otherwise(F.col("text_sha256"))
+    states = groups.filter("group_id % 3 <> 0").select("group_id", state.alias("text_sha256"), F.explode(F.array(*map(F.lit, (2, 7, 4)))).alias("at")).select("group_id", "text_sha256", "at", F.concat(F.lit("s"), F.col("at").cast("string")).alias("state"))
+    return jobs.job_states(groups, states, "at").select("group_id", "state")
+
+
+def newer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of sessions, or the job's own where it was saved after the session."""
+    groups = documents(spark, sf_dir).select(F.col("doc_id").alias("group_id"), F.sha2("text", 256).alias("text_sha256"), (F.col("doc_id") * 10).alias("updated_at"), F.lit("session").alias("state"))
+    states = groups.filter("group_id % 4 <> 1").select("group_id", "text_sha256", (F.col("updated_at") + F.col("group_id") % 3 - 1).alias("saved_at"), F.concat(F.lit("job "), F.col("group_id").cast("string")).alias("state"))
+    return jobs.newer_states(groups, states).select("group_id", "state")
+
+
+def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("doc_id") % 3 == 1, "?!").otherwise(F.col("text"))
+    return documents(spark, sf_dir).select(F.concat(F.lit("p"), (F.col("doc_id") + F.col("doc_id") % 2 * 1_000_000).cast("string")).alias("plan_id"), F.col("doc_id").alias("ord"), text.alias("text"))
+
+
+def stale_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overrides of plans that aren't current."""
+    plan = documents(spark, sf_dir).select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("plan_id"))
+    return jobs.stale_overrides(plan, _edits(spark, sf_dir)).select("plan_id", "ord")
+
+
+def accepted_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of chunks that failed, whose texts can be spoken and aren't too long."""
+    failed = _edits(spark, sf_dir).filter("ord % 4 <> 2").select("plan_id", "ord")
+    return jobs.accept_edits(_edits(spark, sf_dir), failed, 2000).select("plan_id", "ord", F.sha2("text", 256).alias("sha"))
+
+
+def touched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are gone, new or changed since their sizes and times were noted."""
+    files = documents(spark, sf_dir).select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.length("text").cast("long").alias("size"), F.col("doc_id").alias("modified"))
+    now = files.filter("doc_id % 9 <> 4").withColumn("size", F.col("size") + F.when(F.col("doc_id") % 5 == 3, 1).otherwise(0)).withColumn("modified", F.col("modified") + F.when(F.col("doc_id") % 7 == 2, 1).otherwise(0))
+    return jobs.touched(files.filter("doc_id % 8 <> 6"), now)
+
+
 def source_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An explicit order that names some sources by name and others by path."""
     rows = documents(spark, sf_dir).select(F.col("source").alias("grp"), F.concat(F.lit("f"), (F.col("doc_id") % 50).cast("string")).alias("name"), F.concat(F.lit("p/"), F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").alias("ord"))
@@ -282,7 +321,7 @@ def timeline_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.timeline_script(pages, "conv_id").select("conv_id", F.sha2("script", 256).alias("sha"))
 
 
-QUERIES = {f.__name__: f for f in (severity_counts, stage_reset, stage_counts, group_status, total_characters, chapter_statistics, range_checks, range_numbers, merged_ranges, insert_headers_text, auto_headers, plan_states, source_order, first_chapters, log_tail, revision_changes, selection_errors, missing_files, map_overlay, upload_metadata, small_values, story_tags, manifest_alignment, narration_records, check_manifest, restorable_groups, delete_groups, reusable_plans, effective_chunks, list_sessions, render_merged, range_files, range_file_manifest, detailed_json, timeline_script)}
+QUERIES = {f.__name__: f for f in (severity_counts, stage_reset, stage_counts, group_status, total_characters, chapter_statistics, range_checks, range_numbers, merged_ranges, insert_headers_text, auto_headers, plan_states, job_states, newer_states, stale_overrides, accepted_edits, touched_files, source_order, first_chapters, log_tail, revision_changes, selection_errors, missing_files, map_overlay, upload_metadata, small_values, story_tags, manifest_alignment, narration_records, check_manifest, restorable_groups, delete_groups, reusable_plans, effective_chunks, list_sessions, render_merged, range_files, range_file_manifest, detailed_json, timeline_script)}
 
 _TTS = "CASE WHEN coalesce(tts_status = 'Completed' AND audio_there, false) THEN 'done' WHEN failures > 0 OR coalesce(tts_status IN ('Partial', 'TTS Incomplete', 'Cancelled', 'Completed'), false) THEN 'error' ELSE 'todo' END"
 _STATES = """saved AS (SELECT source, doc_id AS ord, doc_id % 23 AS k FROM documents WHERE doc_id % 41 <> 7), now AS (SELECT source, doc_id AS ord FROM documents WHERE doc_id % 43 <> 9)"""
@@ -312,6 +351,11 @@ ORACLES = {
  a AS (SELECT *, CASE WHEN number IS NOT NULL THEN number WHEN wants THEN coalesce(base, 0) + sum(CAST(wants AS INT)) OVER (PARTITION BY grp, run ORDER BY ord ROWS UNBOUNDED PRECEDING) END AS assigned FROM r)
  SELECT ord, number, CAST(assigned AS BIGINT) AS assigned, number IS NULL AND assigned IS NOT NULL AS injected, sha256(CASE WHEN number IS NULL AND assigned IS NOT NULL THEN 'Chương ' || CAST(assigned AS BIGINT) || chr(10) || regexp_replace(text, '^\\s+', '') ELSE text END) AS sha FROM a""",
     "plan_states": "SELECT CAST(doc_id AS VARCHAR) AS group_id, CASE WHEN NOT regexp_matches(text, '[\\p{L}\\p{N}]') THEN 'failed' WHEN doc_id % 4 <> 0 AND doc_id % 5 <> 2 AND doc_id % 7 <> 3 THEN 'reused' ELSE 'fresh' END AS state FROM documents",
+    "job_states": "SELECT doc_id AS group_id, CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 <> 1 THEN 's7' END AS state FROM documents",
+    "newer_states": "SELECT doc_id AS group_id, CASE WHEN doc_id % 4 <> 1 AND doc_id % 3 = 2 THEN 'job ' || doc_id ELSE 'session' END AS state FROM documents",
+    "stale_overrides": "SELECT 'p' || (doc_id + 1000000) AS plan_id, doc_id AS ord FROM documents WHERE doc_id % 2 = 1",
+    "accepted_edits": "SELECT 'p' || (doc_id + doc_id % 2 * 1000000) AS plan_id, doc_id AS ord, sha256(text) AS sha FROM documents WHERE doc_id % 4 <> 2 AND doc_id % 3 <> 1 AND length(text) <= 2000 AND regexp_matches(text, '[\\p{L}\\p{N}]')",
+    "touched_files": """WITH f AS (SELECT *, source || '/' || doc_id AS path, doc_id % 8 <> 6 AS a, doc_id % 9 <> 4 AS b FROM documents) SELECT path, CASE WHEN NOT b THEN 'gone' WHEN NOT a THEN 'new' ELSE 'changed' END AS change FROM f WHERE (a OR b) AND (NOT a OR NOT b OR doc_id % 5 = 3 OR doc_id % 7 = 2)""",
     "source_order": """WITH s AS (SELECT source AS grp, 'f' || (doc_id % 50) AS name, 'p/' || doc_id AS path, doc_id AS ord FROM documents), w AS (SELECT grp, name, min(-ord) AS pos FROM s WHERE ord % 5 = 2 GROUP BY grp, name),
  l AS (SELECT *, ord = max(ord) OVER (PARTITION BY grp, name) AS last FROM s), j AS (SELECT l.grp, l.path, l.ord, least(CASE WHEN last THEN w.pos END, CASE WHEN l.ord % 9 = 4 THEN l.ord END) AS pos FROM l LEFT JOIN w ON l.grp = w.grp AND l.name = w.name)
  SELECT grp, path, row_number() OVER (PARTITION BY grp ORDER BY pos ASC NULLS LAST, ord) AS position FROM j""",
