@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from quire.functions import boundaries as B
 from quire.functions import expressions as X
-from quire.functions.text import BRACKET_PAIRS, CONTROL, DOUBLE_QUOTES, HTML_BLOCK_TAG, HTML_COMMENT, HTML_TAG, REMOVED_QUOTES, ZERO_WIDTH, bracket_pairs, char_count, count_of, end_sentences, normalize_spacing, pair_pattern
+from quire.functions.text import BRACKET_PAIRS, CONTROL, HTML_BLOCK_TAG, HTML_COMMENT, HTML_TAG, REMOVED_QUOTES, ZERO_WIDTH, bracket_pairs, char_count, count_of, end_sentences, normalize_spacing, pair_pattern
 from quire.session import in_batches
 
 # Words for symbols.
