@@ -48,7 +48,7 @@ def group_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def total_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _d(spark, sf_dir, cleaned="CASE WHEN doc_id % 4 = 0 THEN substring(text, 1, 10) END", normalized="CASE WHEN doc_id % 3 = 0 THEN substring(text, 1, 20) END", of_chapters="CASE WHEN doc_id % 2 = 0 THEN 5 END")
+    rows = _d(spark, sf_dir, cleaned="CASE WHEN doc_id % 4 = 0 THEN replace(text, ' ', '') END", normalized="CASE WHEN doc_id % 3 = 0 THEN replace(text, ', ', ' , ') END", of_chapters="CASE WHEN doc_id % 2 = 0 THEN length(text) + 7 END")
     return rows.select("doc_id", records.total_characters(F.col("cleaned"), F.col("normalized"), F.col("of_chapters"), F.col("text")).alias("chars"))
 
 
@@ -271,7 +271,7 @@ def reusable_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def effective_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir).select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("plan_id"), "ord", "text")
-    edits = chunks.filter("ord = 0").withColumn("text", F.expr("CASE WHEN plan_id LIKE '%1' THEN '...' WHEN plan_id LIKE '%2' THEN repeat('long ', 500) WHEN plan_id LIKE '%3' THEN upper(substring(text, 1, 20)) ELSE text END")).withColumn("plan_id", F.expr("CASE WHEN plan_id LIKE '%4' THEN 'old' ELSE plan_id END"))
+    edits = chunks.filter("ord = 0").withColumn("text", F.expr("CASE WHEN plan_id LIKE '%1' THEN '...' WHEN plan_id LIKE '%2' THEN repeat('long ', 500) WHEN plan_id LIKE '%3' THEN replace(text, 'e', 'é') ELSE text END")).withColumn("plan_id", F.expr("CASE WHEN plan_id LIKE '%4' THEN 'old' ELSE plan_id END"))
     out = jobs.effective_chunks(chunks, edits.dropDuplicates(["plan_id", "ord"]), 2000)
     return out.filter("ord = 0").select("plan_id", "edited", "error", F.length("text").cast("long").alias("chars"))
 
@@ -331,7 +331,7 @@ ORACLES = {
     "stage_reset": f"WITH {_DIAGNOSTICS_SQL} SELECT stage, count(*) AS n FROM diagnostics WHERE stage IN ('input', 'normalize', 'chunk') GROUP BY stage",
     "stage_counts": f"WITH {_GROUPS_SQL}, c AS (SELECT source, count(*) AS total, count(*) FILTER (tts_status = 'Completed' AND audio_there) AS audio, count(*) FILTER (video_there) AS video, count(*) FILTER (video_id IS NOT NULL) AS upload FROM groups GROUP BY source) SELECT *, audio = total AS audio_done, video = total AS video_done, upload = total AS upload_done FROM c",
     "group_status": f"WITH {_GROUPS_SQL}, s AS (SELECT {_TTS} AS tts, CASE WHEN video_there THEN 'done' WHEN last_error <> '' AND coalesce(tts_status = 'Completed' AND audio_there, false) THEN 'error' ELSE 'todo' END AS video, CASE WHEN video_id IS NOT NULL THEN 'done' WHEN upload_status IS NOT NULL AND last_error <> '' THEN 'error' ELSE 'todo' END AS upload FROM groups) SELECT tts, video, upload, count(*) AS n FROM s GROUP BY ALL",
-    "total_characters": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN least(length(text), 10) WHEN doc_id % 3 = 0 THEN least(length(text), 20) WHEN doc_id % 2 = 0 THEN 5 ELSE length(text) END AS chars FROM documents",
+    "total_characters": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN length(replace(text, ' ', '')) WHEN doc_id % 3 = 0 THEN length(replace(text, ', ', ' , ')) WHEN doc_id % 2 = 0 THEN length(text) + 7 ELSE length(text) END AS chars FROM documents",
     "chapter_statistics": f"""WITH {CHUNKS_SQL}, c AS (SELECT source, number, doc_id * 1000000 + ord AS o, doc_id, CASE WHEN ord % 5 = 1 THEN 0 ELSE length(text) END AS n, hard_split FROM chunks),
  z AS (SELECT *, max(CASE WHEN n = 0 THEN o END) OVER (PARTITION BY source, number) AS zero FROM c),
  s AS (SELECT source, number, 'own ' || arg_min(doc_id, o) AS own, count(*) AS chunks, CAST(sum(n) AS BIGINT) AS characters, coalesce(min(CASE WHEN zero IS NULL OR o > zero THEN n END), 0) AS min_chars, max(n) AS max_chars, CAST(sum(CAST(hard_split AS INT)) AS BIGINT) AS hard_splits FROM z GROUP BY source, number),
@@ -375,7 +375,7 @@ ORACLES = {
     "restorable_groups": "WITH b AS (SELECT source, doc_id AS ord, doc_id % 23 AS k FROM documents WHERE doc_id % 41 <> 7 AND doc_id % 43 <> 9 AND (source IN ('src1', 'src2') OR doc_id % 23 > 3)) SELECT source, bool_and(k NOT IN (1, 2, 3)) AS restorable, count(*) FILTER (k NOT IN (1, 2, 3) AND ord % 10 <> 4) AS active, count(*) FILTER (k NOT IN (1, 2, 3) AND ord % 10 = 4) AS deleted FROM b GROUP BY source",
     "delete_groups": "WITH s AS (SELECT source, doc_id, CASE WHEN doc_id % 23 = 3 THEN 'x' ELSE CAST(doc_id AS VARCHAR) END AS g FROM documents WHERE doc_id % 41 <> 7) SELECT source, count(DISTINCT g) AS n FROM s WHERE doc_id % 6 = 1 AND source NOT IN (SELECT source FROM s WHERE source LIKE '%4' AND doc_id % 2 = 0) GROUP BY source",
     "reusable_plans": "SELECT doc_id AS group_id, 'p1' AS plan_id FROM documents WHERE length(text) > 0 AND doc_id % 4 <> 0 AND doc_id % 5 <> 2 AND doc_id % 9 <> 4",
-    "effective_chunks": f"WITH {CHUNKS_SQL} SELECT 'p' || doc_id AS plan_id, doc_id % 10 IN (1, 2) OR (doc_id % 10 = 3 AND upper(left(text, 20)) <> text) AS edited, CASE WHEN doc_id % 10 IN (1, 2) THEN 'invalid' WHEN NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}]') THEN 'invalid' END AS error, CASE WHEN doc_id % 10 = 1 THEN 3 WHEN doc_id % 10 = 2 THEN 2500 WHEN doc_id % 10 = 3 THEN length(upper(replace(left(text, 20), 'ß', 'SS'))) ELSE length(text) END AS chars FROM chunks WHERE ord = 0",
+    "effective_chunks": f"WITH {CHUNKS_SQL} SELECT 'p' || doc_id AS plan_id, doc_id % 10 IN (1, 2) OR (doc_id % 10 = 3 AND contains(text, 'e')) AS edited, CASE WHEN doc_id % 10 IN (1, 2) THEN 'invalid' WHEN NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}]') THEN 'invalid' END AS error, CASE WHEN doc_id % 10 = 1 THEN 3 WHEN doc_id % 10 = 2 THEN 2500 ELSE length(text) END AS chars FROM chunks WHERE ord = 0",
     "list_sessions": "SELECT md5(CAST(doc_id AS VARCHAR)) AS id, CASE WHEN doc_id % 10 = 0 THEN 'Phiên chưa đặt tên' ELSE source END AS title, 1767225600 + doc_id * 60 AS at, least(5, doc_id % 9 + 1) AS step FROM documents WHERE doc_id % 17 NOT IN (1, 2, 3, 4)",
     "render_merged": "WITH r AS (SELECT source, doc_id % 40 AS number, doc_id, CASE WHEN doc_id % 6 = 1 THEN '' ELSE 'Chương ' || doc_id || chr(10) || chr(10) END AS head, CASE WHEN doc_id % 4 = 2 THEN '' ELSE substring(text, 1, 90) END AS text FROM documents), b AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS bare FROM r) SELECT source, sha256(regexp_replace(string_agg(head || text || repeat(chr(10), 3), '' ORDER BY number, doc_id), '\\s+$', '') || chr(10)) AS sha, CAST(sum(length(head) + length(bare) + CASE WHEN bare = '' THEN 0 ELSE 1 END) AS BIGINT) AS alone_chars FROM b GROUP BY source",
     "range_files": f"""WITH {CHUNKS_SQL}, c AS (SELECT source, number, doc_id * 1000000 + ord AS o, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, r.i, r.label FROM chunks JOIN (VALUES (1, 1, 5, '1-5'), (2, 90, 99, '90-99'), (3, 4, 4, '4')) r(i, low, high, label) ON number BETWEEN low AND high),
