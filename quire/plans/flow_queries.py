@@ -56,7 +56,7 @@ def chapter_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences and clauses of texts without technical tokens."""
-    bare = F.regexp_replace(F.replace("text", F.lit(". "), F.lit("! ")), r"[^A-Za-z ,!?\n]", " ")
+    bare = F.regexp_replace(F.replace("text", F.lit(". "), F.lit("! ")), r"[^\p{L} ,!?\n]", " ")
     texts = documents(spark, sf_dir).select("doc_id", bare.alias("text")).filter("length(text) > 0")
     every = chunk.split_units(texts).withColumn("kind", F.lit("sentence")).unionByName(chunk.split_units(texts, kind="clause").withColumn("kind", F.lit("clause")))
     return every.select("doc_id", "kind", "ord", "start", F.sha2("unit", 256).alias("sha"))
@@ -65,7 +65,7 @@ def sentence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 def protected_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Technical tokens put at the ends of plain texts."""
     tail = F.get(F.array(*map(F.lit, ("https://a.vn/x....y.", "www.a.vn/b,", "a.b@c.org", r"C:\\x\\y.", '{"a": {"b": "}"}}', "3.14", "12:30:05", "v1.2.3", "key:val/x", "shop.com", "TP.HCM", "U.S.A.", "Dr. No"))), (F.col("doc_id") % 13).cast("int"))
-    bare = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " "))
+    bare = F.trim(F.regexp_replace("text", r"[^\p{L}]+", " "))
     texts = documents(spark, sf_dir).select("doc_id", F.concat(bare, F.lit(" | "), tail).alias("text"), (F.length(bare) + 3).alias("from"))
     found = chunk.protected(texts.select("doc_id", "text")).join(texts.select("doc_id", "from"), "doc_id").filter("start >= from")
     return found.groupBy("doc_id").agg(F.max(F.struct(F.length("token").alias("n"), "token"))["token"].alias("token"))
@@ -73,7 +73,7 @@ def protected_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def half_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Halves of texts of letters and spaces only: cut at the space nearest the middle."""
-    bare = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " "))
+    bare = F.trim(F.regexp_replace("text", r"[^\p{L}]+", " "))
     texts = documents(spark, sf_dir).select("doc_id", bare.alias("text")).filter(~F.col("text").rlike(r"^(?i:Chapter) "))
     return chunk.halves(texts).groupBy("doc_id").agg(F.max(F.when(F.col("ord") == 0, F.length("unit"))).cast("long").alias("first_chars"), F.sum(F.length("unit")).alias("chars"))
 
@@ -134,11 +134,11 @@ _DAYS = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM
 ORACLES = {
     "chunk_integrity": "SELECT doc_id, true AS lossless, true AS within, sha256(regexp_replace(text, '[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x0B\\x1C-\\x1F]+', '', 'g')) AS sha FROM documents WHERE regexp_matches(text, '[\\p{L}\\p{N}]')",
     "chapter_chunks": f"WITH {NORMAL_SQL}, h AS (SELECT source, number, {HEADER_SQL} AS header, text, title FROM ranked WHERE rank = 1) SELECT source, number, sha256(regexp_replace(header || CASE WHEN regexp_matches(text, '[\\p{{L}}\\p{{N}}]') THEN text ELSE '' END, '[\\s\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x0B\\x1C-\\x1F]+', '', 'g')) AS sha, true AS numbered, CASE WHEN trim(title) = '' THEN header ELSE trim(title) END AS title FROM h",
-    "sentence_units": r"""WITH b AS (SELECT doc_id, regexp_replace(replace(text, '. ', '! '), '[^A-Za-z ,!?\n]', ' ', 'g') AS t FROM documents WHERE length(text) > 0),
+    "sentence_units": r"""WITH b AS (SELECT doc_id, regexp_replace(replace(text, '. ', '! '), '[^\p{L} ,!?\n]', ' ', 'g') AS t FROM documents WHERE length(text) > 0),
  u AS (SELECT doc_id, 'sentence' AS kind, unnest(regexp_extract_all(t, '[^!?]*[!?]+|[^!?]+')) AS unit, generate_subscripts(regexp_extract_all(t, '[^!?]*[!?]+|[^!?]+'), 1) - 1 AS ord FROM b UNION ALL SELECT doc_id, 'clause', unnest(regexp_extract_all(t, '[^,]*,+|[^,]+')), generate_subscripts(regexp_extract_all(t, '[^,]*,+|[^,]+'), 1) - 1 FROM b)
  SELECT doc_id, kind, ord, CAST(coalesce(sum(length(unit)) OVER (PARTITION BY doc_id, kind ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, sha256(unit) AS sha FROM u""",
     "protected_tokens": r"""SELECT doc_id, token FROM documents JOIN (VALUES (0, 'https://a.vn/x....y'), (1, 'www.a.vn/b'), (2, 'a.b@c.org'), (3, 'C:\\x\\y'), (4, '{"a": {"b": "}"}}'), (5, '3.14'), (6, '12:30:05'), (7, 'v1.2.3'), (8, 'key:val/x'), (9, 'shop.com'), (10, 'TP.HCM'), (11, 'U.S.A.'), (12, 'Dr.')) v(k, token) ON doc_id % 13 = k""",
-    "half_splits": """WITH b AS (SELECT doc_id, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS t FROM documents), c AS (SELECT doc_id, t, length(t) AS n, list_filter(range(1, length(t)), lambda i: substring(t, i + 1, 1) = ' ') AS cuts FROM b WHERE NOT regexp_matches(t, '^(?i:Chapter) '))
+    "half_splits": """WITH b AS (SELECT doc_id, trim(regexp_replace(text, '[^\\p{L}]+', ' ', 'g')) AS t FROM documents), c AS (SELECT doc_id, t, length(t) AS n, list_filter(range(1, length(t)), lambda i: substring(t, i + 1, 1) = ' ') AS cuts FROM b WHERE NOT regexp_matches(t, '^(?i:Chapter) '))
  SELECT doc_id, CASE WHEN n < 2 THEN n WHEN len(cuts) = 0 THEN greatest(1, n // 2) ELSE list_min(list_filter(cuts, lambda i: abs(i - n // 2) = list_min(list_transform(cuts, lambda j: abs(j - n // 2))))) END AS first_chars, CASE WHEN n < 2 OR len(cuts) = 0 THEN n ELSE n - 1 END AS chars FROM c""",
     "json_unwrap": """WITH t AS (SELECT *, doc_id % 4 AS k, regexp_replace(text, '^\\n+|\\n+$', '', 'g') AS bare, CASE WHEN regexp_matches(text, '^\\s*(?i:Chương|Chuong|Hồi|Hoi|Quyển|Quyen|Phần|Phan|Chapter|Chap|第)') THEN '' ELSE 'Chương ' || doc_id || ': T ' || lang || chr(10) END AS head FROM documents),
  w AS (SELECT doc_id, k, text, rtrim(head || CASE WHEN head = '' THEN bare ELSE text END, chr(10)) AS one, bare FROM t)

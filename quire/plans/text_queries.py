@@ -125,7 +125,7 @@ def sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _plain(spark: SparkSession, sf_dir: str, expression: str) -> DataFrame:
     """Texts of letters, spaces and what one step of sanitizing looks for, so that the other steps don't change them."""
-    bare = F.trim(F.regexp_replace(T(), "[^A-Za-z]+", " "))
+    bare = F.trim(F.regexp_replace(T(), r"[^\p{L}]+", " "))
     return documents(spark, sf_dir).select("doc_id", "source", bare.alias("text")).withColumn("text", F.expr(expression))
 
 
@@ -343,7 +343,7 @@ ORACLES = {
     "clean_for_speech": f"WITH {DIRTY_SQL}, r AS (SELECT doc_id, coalesce(text, '') AS t FROM dirty) SELECT doc_id, sha256(replace({_RULED('t')}, 'e', 'E')) AS sha, len(regexp_extract_all(t, '(?i)the [a-z]')) + length({_RULED('t')}) - length(replace({_RULED('t')}, 'e', '')) AS custom_rule_hits FROM r",
     "has_escapes": f"WITH {DIRTY_SQL} SELECT source, count(*) FILTER (regexp_matches(text, '\\\\[rn]')) AS n FROM dirty GROUP BY source",
     "numeral_texts": f"SELECT doc_id, token, regexp_matches(token, '^[0-9０-９零〇洞一二两三四五六七八九十百千万亿壹贰叁肆伍陆柒捌玖拾佰仟萬億]+$') AS is_numeral FROM ({_values(TOKENS)})",
-    "sanitize_steps": " UNION ALL ".join(f"SELECT doc_id, '{name}' AS step, sha256({sql}) AS sha FROM (SELECT doc_id, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS text FROM documents)" for name, sql in STEP_SQL.items()),
+    "sanitize_steps": " UNION ALL ".join(f"SELECT doc_id, '{name}' AS step, sha256({sql}) AS sha FROM (SELECT doc_id, trim(regexp_replace(text, '[^\\p{{L}}]+', ' ', 'g')) AS text FROM documents)" for name, sql in STEP_SQL.items()),
     "suspicious_values": f"WITH {_HITS} SELECT doc_id, rule, value, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts, CAST(sum(length(upto) - length(replace(upto, chr(10), '')) + 1) AS BIGINT) AS line_sum, CAST(sum(length(regexp_replace(upto, '(?s)^.*\\n', '')) + 1) AS BIGINT) AS columns, CAST(sum(length(context)) AS BIGINT) AS context_chars FROM q GROUP BY ALL",
     "mojibake_report": f"WITH {_HITS}, o AS (SELECT source, rule, value, context, count(*) AS n, min(start) AS start FROM q GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source, rule, value ORDER BY start, context) AS nth FROM o) SELECT source, rule, value, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(context, '|' ORDER BY nth) FILTER (nth <= 3)) AS contexts FROM r GROUP BY source, rule, value",
     "language_of": "WITH t AS (SELECT coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN repeat('流民不可怕', doc_id % 50) ELSE '' END AS text FROM documents), n AS (SELECT len(regexp_extract_all(text, '[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}]')) AS han, len(regexp_extract_all(text, '[A-Za-zÀ-ỹ]')) AS latin FROM t) SELECT CASE WHEN han > latin * 0.5 THEN 'zh' WHEN han > 0 AND latin > 0 THEN 'mixed' WHEN latin > 0 THEN 'vi' ELSE 'unknown' END AS language, count(*) AS n FROM n GROUP BY 1",
