@@ -119,7 +119,7 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def revision_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of states: of each user the first in full, then only changes of the revision."""
     states = jobs.state_stream(ingest.event_stream(spark, sf_dir))
-    return ingest.run_to_memory(jobs.updates(states, "user_id", "at", "revision"), f"updates_{uuid.uuid4().hex}", "append").filter("kind <> 'heartbeat'")
+    return ingest.run_to_table(jobs.updates(states, "user_id", "at", "revision"), "updates").filter("kind <> 'heartbeat'")
 
 
 def distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.session import shared_folder
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of its files; ts as a timestamp in the session's zone."""
@@ -45,3 +49,10 @@ def run_to_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataF
     query = stream.writeStream.outputMode(mode).trigger(availableNow=True).format("memory").queryName(name).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def run_to_table(stream: DataFrame, name: str) -> DataFrame:
+    """Process what there is now into a new table in the shared folder and read it back; rows go from tasks to files, none through the driver."""
+    folder = f"{shared_folder(stream.sparkSession)}/quire-{name}-{uuid.uuid4().hex}"
+    run_available(stream, f"{folder}/log", f"{folder}/rows")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -78,3 +78,13 @@ def test_state_tables_have_versions(spark, tmp_path):
     rows(("c", 1, "crash")).write.parquet(str(tmp_path / "t" / "rows-dead"))  # a writer that was lost before its commit
     again = StateTable(spark, str(tmp_path / "t"), "k string, at long, state string", ["k"], "at")
     assert set(map(tuple, again.latest().collect())) == want and again.read(2).count() == 3
+
+
+def test_updates_are_files_and_not_rows_of_the_driver(spark, tmp_path):
+    from quire.plans.flow_queries import revision_updates
+
+    rows = spark.range(3000).selectExpr("id AS event_id", "id % 7 AS user_id", "cast(id % 2 AS string) AS event_type", "timestamp_seconds(id) AS ts", "0.5D AS value")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    told = revision_updates(spark, str(tmp_path))
+    assert len(told.inputFiles()) > 0  # a table in memory has none
+    assert {(r.kind, r["count"]) for r in told.groupBy("kind").count().collect()} == {("full", 7), ("update", 2993)}
