@@ -127,3 +127,51 @@ def test_damage_is_told_by_place(spark):
     assert report["latin1-utf8", "Ã©"] == (3, 1)  # the whole text is the context of each
     told = clean.sanitize_warnings(clean.sanitize(spark.createDataFrame([(1, "漢字 x。")], "doc_id long, text string")), found).collect()
     assert ("detected_cjk_chars", 2, "kept") in [tuple(r)[1:] for r in told] and any(r.code == "utf8-bom" and "line 2, char 5" in r.detail for r in told)
+
+
+def test_only_words_that_may_hold_a_token_are_looked_through(monkeypatch):
+    """The same tokens as by a search through the whole text, from a small part of it."""
+    import random
+    import re
+
+    from quire.functions import boundaries
+
+    class Seen:
+        def __init__(self, pattern):
+            self.pattern, self.chars = pattern, 0
+
+        def finditer(self, text, begin=0, end=None):
+            end = len(text) if end is None else end
+            self.chars += end - begin
+            return self.pattern.finditer(text, begin, end)
+
+    seen = Seen(boundaries._TOKEN)
+    monkeypatch.setattr(boundaries, "_TOKEN", seen)
+    text = "Đêm ấy trời mưa. " * 1000 + "xem https://a.vn/x....y, rồi " + "Không ai nói gì! " * 1000
+    assert [text[a:b] for a, b in boundaries.protected_spans(text)] == ["https://a.vn/x....y"]
+    assert seen.chars < 100
+    every = "|".join(re.escape(a) for a in sorted(boundaries.ABBREVIATIONS, key=len, reverse=True))
+    bits = ["https://a.vn/x....y,", "www.b/c.", "a.b@c.org", " ", "\n", "\u2028", "3.14", "٣.٤", "k:v/x", "C:\\x", '{"a": 1}', "shop.Com", "a.info", "U.S.A.", "dr. ", "Thſ.", "ThſS.", "mr", "é", "。", "word", "..."]
+    rnd = random.Random(3)
+    for _ in range(2000):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 30)))
+        found = sorted(set(boundaries.protected_spans(text)) - set(boundaries._objects(text)))
+        whole = []
+        for m in seen.pattern.finditer(text):
+            token = m.group()
+            whole.append((m.start(), m.start() + len(token.rstrip(boundaries.TRAILING) if "://" in token or "\\" in token or token[:4].lower() == "www." else token)))
+        whole += (m.span() for pattern in (re.compile(rf"(?<!\w)(?:{every})(?!\w)", re.I), re.compile(boundaries.INITIALS)) for m in pattern.finditer(text))
+        assert found == sorted(set(whole) - set(boundaries._objects(text))), text
+
+
+def test_texts_without_anything_to_mend_are_not_rewritten(monkeypatch):
+    from quire.functions import sanitizing
+    from quire.operators import clean
+
+    tried = []
+    sub = sanitizing.Text.sub
+    monkeypatch.setattr(sanitizing.Text, "sub", lambda self, pattern, *more, **over: tried.append(pattern.pattern) or sub(self, pattern, *more, **over))
+    one = sanitizing.Sanitizer(clean.SanitizeOptions(), clean.FIXED, {"urls": "", "emails": ""}, clean.sanitize_counters())
+    assert one("Đêm ấy trời mưa. Không ai nói gì!")[0] == "Đêm ấy trời mưa. Không ai nói gì!"
+    assert sanitizing.python_pattern(clean.FIXED["spaces"]) not in tried
+    assert sanitizing.python_pattern(clean.FIXED["line_end"]) not in tried
