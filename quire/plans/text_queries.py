@@ -123,12 +123,7 @@ def sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("sha"), "removed_invisible_chars", "removed_html_tags", "normalized_ellipsis", "double_quotes_normalized")
 
 
-def _plain(spark: SparkSession, sf_dir: str, expression: str) -> DataFrame:
-    """Texts of letters, spaces and what one step of sanitizing looks for, so that the other steps don't change them."""
-    bare = F.trim(F.regexp_replace(T(), r"[^\p{L}]+", " "))
-    return documents(spark, sf_dir).select("doc_id", "source", bare.alias("text")).withColumn("text", F.expr(expression))
-
-
+#: Texts of letters and spaces with what one step of sanitizing looks for.
 STEPS = {
     "links": "concat(text, ' xem https://a.vn/x....y, rồi gửi a.b@c.org nhé')",
     "joiners": "concat(replace(text, ' a', ' \u200ca'), ' क्\u200dष')",
@@ -143,10 +138,9 @@ STEPS = {
 
 def sanitize_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain texts with what one step looks for, a row for each document and step."""
-    made = None
-    for name, expression in STEPS.items():
-        one = _plain(spark, sf_dir, expression).select("doc_id", F.lit(name).alias("step"), "text")
-        made = one if made is None else made.unionByName(one)
+    bare = F.trim(F.regexp_replace(T(), r"[^\p{L}]+", " "))  # letters and spaces, so that the other steps don't change them
+    plain = documents(spark, sf_dir).select("doc_id", F.explode(F.array(bare)).alias("text"))
+    made = plain.select("doc_id", F.inline(F.array(*(F.struct(F.lit(name).alias("step"), F.expr(x).alias("text")) for name, x in STEPS.items()))))
     return clean.sanitize(made).select("doc_id", "step", F.sha2("text", 256).alias("sha"))
 
 
