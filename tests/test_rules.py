@@ -175,3 +175,18 @@ def test_texts_without_anything_to_mend_are_not_rewritten(monkeypatch):
     assert one("Đêm ấy trời mưa. Không ai nói gì!")[0] == "Đêm ấy trời mưa. Không ai nói gì!"
     assert sanitizing.python_pattern(clean.FIXED["spaces"]) not in tried
     assert sanitizing.python_pattern(clean.FIXED["line_end"]) not in tried
+
+
+def test_marks_after_a_full_chunk_take_its_last_word_along():
+    import random
+
+    from quire.functions import boundaries
+
+    bare = lambda t: "".join(t.split())
+    assert [c[0] for c in boundaries.plan_chunks("ab " * 29 + "cd. ****", 90, 2000)] == ["ab " * 28 + "ab", "cd.****"]
+    rnd = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rnd.choice(("lời", "ab", "dài quá", "xin chào bạn")) + rnd.choice((" ", ", ", ". ", "*** ", " %%% ", " | ", "&&&\n", " $$ ")) for _ in range(rnd.randint(1, 40))) + rnd.choice(("", " ***", " | |", "&&&&&&"))
+        chunks = [c[0] for c in boundaries.plan_chunks(text, 30, 2000)]
+        assert all(len(c) <= 30 and boundaries.spoken(c) for c in chunks), text
+        assert bare("".join(chunks)) == bare(text), text
