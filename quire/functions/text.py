@@ -79,7 +79,8 @@ def _lacks_ending(line: Column) -> Column:
     body = strip(line)
     last = F.right(F.regexp_replace(line, rf"{SPACE}+\z", ""), F.lit(1))
     closed = F.contains(F.lit(SENTENCE_END + CLOSERS + PAUSES), last)
-    return (F.length(body) > 1) & ~closed & line.rlike(PROSE)
+    at_once = F.contains(F.lit(SENTENCE_END + CLOSERS + PAUSES), F.right(line, F.lit(1)))  # of most lines, without looking for white space
+    return ~at_once & (F.length(body) > 1) & ~closed & line.rlike(PROSE)
 
 
 def end_sentences(text: Column) -> tuple[Column, Column]:
