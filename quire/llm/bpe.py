@@ -14,7 +14,9 @@ inside a text become their special ids. Ids that the vocabulary lacks decode to
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import pairwise
 
 from pyspark.sql import DataFrame
@@ -28,10 +30,26 @@ from quire.session import in_batches
 LONGEST_KEPT = 64
 
 
+class _Words(dict):
+    """What ask tells of words, in two generations of limit words: where the newer is full it takes the place of the older, of which words that are met again go on."""
+
+    def __init__(self, ask: Callable[[str], tuple[bytes, str]], limit: int) -> None:
+        self.ask, self.limit, self.older = ask, limit, {}
+
+    def __missing__(self, word: str) -> tuple[bytes, str]:
+        got = self.older.get(word) or self.ask(word)
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[word] = got
+        return got
+
+
 class ForcedBoundaryBPE:
     """Encoder and decoder for a word-level BPE file whose words end in a suffix."""
 
-    def __init__(self, path: str, limit: int = 100_000) -> None:
+    def __init__(self, path: str, limit: int = 120_000) -> None:
         import regex
         from tokenizers import Regex, Tokenizer, pre_tokenizers
 
@@ -40,56 +58,69 @@ class ForcedBoundaryBPE:
         model = spec["model"]
         self.limit, self.suffix = limit, model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = dict(model["vocab"])
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in (self.vocab | self.special).items()}
-        self.symbols = byte_symbols()
-        #: Pairs that occur inside a token; between all others is a forced boundary.
-        self.inside = {p for t in self.vocab for p in pairwise(t.removesuffix(self.suffix) if self.suffix else t)}
+        symbols, self.lacking = [c for _, c in sorted(byte_symbols().items())], max(self.token, default=-1) + 1
+        number = dict(model["vocab"])  # of tokens and symbols; those that the vocabulary lacks count from self.lacking on
+        known = lambda t: number.setdefault(t, self.lacking + len(number))
+        self.first, self.last = [known(c) for c in symbols], [known(c + self.suffix) for c in symbols]
+        #: Pairs of numbers that merge, by rank and number of what they make, in one number.
+        self.merges: dict[int, int] = {}
+        for rank, (x, y) in enumerate(model["merges"]):
+            self.merges[known(x) << 32 | known(y)] = rank << 32 | known(x + y)
+        #: Pairs of bytes that occur inside a token; between all others is a forced boundary.
+        byte = {c: i for i, c in enumerate(symbols)}
+        self.inside = bytearray(1 << 16)
+        for t in self.vocab:
+            for x, y in pairwise(t.removesuffix(self.suffix) if self.suffix else t):
+                if x in byte and y in byte:
+                    self.inside[byte[x] << 8 | byte[y]] = 1
         self.normalizer = Tokenizer.from_file(path).normalizer
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"]).findall
         self.splitter = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
         self.usual, self.unusual = set(), set()
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
-        self.fragments: dict[tuple[str, ...], tuple[int, ...]] = {}
-        self.kept: dict[str, tuple[bytes, str]] = {}
+        self.fragments: dict[tuple[int, ...], tuple[int, ...]] = {}
+        self.kept = _Words(self.told, limit)
 
-    def merge(self, parts: list[str]) -> list[str]:
-        """All merges within one fragment, the lowest rank first and of equals the leftmost."""
-        rank, none = self.ranks.get, 1 << 60
+    def merge(self, parts: list[int]) -> list[int]:
+        """Ids after all merges within one fragment, the lowest rank first and of equals the leftmost."""
+        made, none, low = self.merges.get, 1 << 62, (1 << 32) - 1
         while len(parts) > 256:  # long fragments: all places of a pair in one pass
-            best = min(pairwise(parts), key=lambda p: rank(p, none))
-            if best not in self.ranks:
-                return parts
+            best = min(made(x << 32 | y, none) for x, y in pairwise(parts))
+            if best == none:
+                break
             out, i = [], 0
             while i < len(parts):
-                hit = i + 1 < len(parts) and (parts[i], parts[i + 1]) == best
-                out.append(parts[i] + parts[i + 1] if hit else parts[i])
+                hit = i + 1 < len(parts) and made(parts[i] << 32 | parts[i + 1], none) == best
+                out.append(best & low if hit else parts[i])
                 i += 2 if hit else 1
             parts = out
-        order = [rank(p, none) for p in pairwise(parts)]
+        order = [made(x << 32 | y, none) for x, y in pairwise(parts)]
         while order and (best := min(order)) < none:
             i = order.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del order[i]
+            parts[i] = new = best & low
+            del parts[i + 1], order[i]
             if i:
-                order[i - 1] = rank((parts[i - 1], parts[i]), none)
+                order[i - 1] = made(parts[i - 1] << 32 | new, none)
             if i < len(order):
-                order[i] = rank((parts[i], parts[i + 1]), none)
-        return parts
+                order[i] = made(new << 32 | parts[i + 1], none)
+        return parts if max(parts, default=0) < self.lacking else [x for x in parts if x < self.lacking]
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word of the normalised text."""
-        chars = [self.symbols[b] for b in word.encode()]
-        cuts = [0, *(i for i, p in enumerate(pairwise(chars), 1) if p not in self.inside), len(chars)]
-        chars[-1] += self.suffix
+        data, inside = word.encode(), self.inside
+        parts = [*map(self.first.__getitem__, data[:-1]), self.last[data[-1]]]
+        cuts = [i for i, (x, y) in enumerate(pairwise(data), 1) if not inside[x << 8 | y]]
+        if not cuts:
+            return self.merge(parts)
         ids: list[int] = []
-        for a, b in pairwise(cuts):
-            fragment = tuple(chars[a:b])
+        for a, b in pairwise((0, *cuts, len(parts))):
+            fragment = tuple(parts[a:b])
             got = self.fragments.get(fragment)
             if got is None:
-                got = tuple(self.vocab[t] for t in self.merge(list(fragment)) if t in self.vocab)
+                got = tuple(self.merge(list(fragment)))
                 if len(fragment) <= LONGEST_KEPT:
                     if len(self.fragments) > self.limit:
                         self.fragments.clear()
@@ -97,6 +128,11 @@ class ForcedBoundaryBPE:
             ids += got
         return ids
 
+    def told(self, word: str) -> tuple[bytes, str]:
+        """Ids of a word as little-endian 32 bits, and what they decode to."""
+        ids = self.encode_word(word)
+        return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
+
     def split(self, text: str) -> list[str]:
         """Words of a normalised text. Where the library's Unicode tables and regex's class a character differently, the library splits."""
         if not self.usual.issuperset(text):
@@ -107,47 +143,46 @@ class ForcedBoundaryBPE:
                 return [w for w, _ in self.splitter.pre_tokenize_str(text)]
         return self.words(text)
 
-    def pieces(self, text: str) -> Iterator[tuple[bytes, str]]:
-        """(ids as little-endian 32 bits, decoded) of each word and special string."""
-        kept = self.kept
-        if len(kept) > self.limit:
-            kept.clear()
+    def normal(self, text: str) -> str:
+        """The normalised text. Of ASCII only case matters: white space of any kind parts words and goes."""
+        return text.lower() if text.isascii() else self.normalizer.normalize_str(text)
+
+    def encode_bytes(self, text: str) -> tuple[bytes, str]:
+        """Ids as little-endian 32 bits, and what they decode to."""
+        ids, decoded = [], []
         for part in self.split_special(text) if "<|" in text else (text,):
             if part in self.special:
-                yield self.special[part].to_bytes(4, "little"), part
+                ids.append(self.special[part].to_bytes(4, "little"))
+                decoded.append(part)
                 continue
-            for word in self.split(self.normalizer.normalize_str(part)):
-                got = kept.get(word)
-                if got is None:
-                    ids = self.encode_word(word)
-                    got = b"".join(i.to_bytes(4, "little") for i in ids), self.decode(ids)
-                    if len(word) <= LONGEST_KEPT:
-                        kept[word] = got
-                yield got
-
-    def encode_bytes(self, text: str) -> tuple[bytes, str]:
-        """Ids as bytes, and what they decode to."""
-        parts = list(self.pieces(text))
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[0]])
+            got = list(map(self.kept.__getitem__, self.split(self.normal(part))))
+            ids += [own for own, _ in got]
+            decoded += [read for own, read in got if own]
+        return b"".join(ids), " ".join(decoded)
 
     def encode(self, text: str) -> list[int]:
         data = self.encode_bytes(text)[0]
-        return [int.from_bytes(data[i : i + 4], "little") for i in range(0, len(data), 4)]
+        return list(struct.unpack(f"<{len(data) // 4}I", data))
 
     def decode(self, ids: list[int]) -> str:
         """Without a decoder in the file, the tokens joined by spaces."""
         return " ".join(self.token[i] for i in ids if i in self.token)
 
 
+@lru_cache(maxsize=1)
+def encoder(vocabulary: str) -> ForcedBoundaryBPE:
+    """The encoder of a file, with its tables: one a worker, for all tasks that it runs."""
+    return ForcedBoundaryBPE(vocabulary)
+
+
 def _batches(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, schema: str, make) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        bpe = None
         for batch in batches:
-            bpe = bpe or ForcedBoundaryBPE(vocabulary)
+            bpe = encoder(vocabulary)
             columns = make(bpe, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns.values()], ["doc_id", *columns])
 
@@ -194,9 +229,8 @@ def decode_ids(rows: DataFrame, vocabulary: str, *, id_col: str = "doc_id", ids_
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        bpe = None
         for batch in batches:
-            bpe = bpe or ForcedBoundaryBPE(vocabulary)
+            bpe = encoder(vocabulary)
             out = [bpe.decode(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "decoded"])
 

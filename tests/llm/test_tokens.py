@@ -81,3 +81,16 @@ def test_long_words(text):
     assert mine.encode(text) == library("word_bpe_49k.json").encode(text, add_special_tokens=False).ids
     count = token_counts.TokenCounter(tokenizer_path("byte_bpe_50k.json"))([text])
     assert count[0] == len(library("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids)
+
+
+def test_words_met_again_stay_when_the_table_is_full(monkeypatch):
+    mine = bpe.ForcedBoundaryBPE(tokenizer_path("word_bpe_49k.json"), limit=60)
+    asked, encode_word = [], mine.encode_word
+    monkeypatch.setattr(mine, "encode_word", lambda word: asked.append(word) or encode_word(word))
+    text = " ".join(f"again {w}" for w in fuzz(40, 8) + ["abc", "def", "İx", "a\x1cb", "\x0b"] * 3)
+    assert mine.encode(text) == library("word_bpe_49k.json").encode(text, add_special_tokens=False).ids
+    assert asked.count("again") == 1
+
+
+def test_one_encoder_a_worker():
+    assert bpe.encoder(tokenizer_path("word_bpe_49k.json")) is bpe.encoder(tokenizer_path("word_bpe_49k.json"))
