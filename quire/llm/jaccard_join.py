@@ -58,8 +58,9 @@ NODES = 50_000
 DEPTH = 6
 #: Common values that a pair at the threshold takes on average at a node below the root.
 BRANCH = 2
-#: A large node is split if it takes more than FINISH^2 comparisons; sets in one block of them.
-FINISH, NODE_BLOCK = 4096, 1024
+#: A large node is split if it takes more than FINISH^2 comparisons; sets in one block of them (1 MB). With blocks as
+#: large as FINISH a node that isn't split is one unit or makes at most 4 rows a set, so its rows don't grow with its square.
+FINISH = NODE_BLOCK = 4096
 
 
 def margin_for(threshold: float) -> float:
@@ -253,11 +254,10 @@ def _if_few(nodes: DataFrame) -> DataFrame:
     return F.broadcast(nodes) if nodes.count() <= NODES else nodes
 
 
-def block_links(rows: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) within nodes of any size of rows (path, rep, values, far, size, n_far), between sets of which one is far at least.
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """path, i, j, own, far, rep, values: rows (path, rep, values, far, size, n_far) of nodes, once for each pair of blocks with far sets that their own is in.
 
-    Far sets are dealt into blocks of about NODE_BLOCK and so are the others (of a small node
-    all into one); each pair of blocks with far sets is a task's unit. Links are reduced as in leaf_links.
+    Far sets are dealt into blocks of about NODE_BLOCK and so are the others (of a small node all into one).
     """
     small = F.col("size") <= NODE_BLOCK
     far_blocks = F.when(small, 1).otherwise(F.ceil(F.col("n_far") / NODE_BLOCK)).cast("int")
@@ -267,7 +267,15 @@ def block_links(rows: DataFrame, least: float) -> DataFrame:
     rows = rows.withColumn("far_blocks", far_blocks).withColumn("near_blocks", near_blocks).withColumn("own", own)
     last = F.col("far_blocks") - 1 + F.when(F.col("far"), F.col("near_blocks")).otherwise(0)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    rows = rows.select("path", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "far", "rep", "values")
+    return rows.select("path", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "far", "rep", "values")
+
+
+def block_links(rows: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) within nodes of any size of rows (path, rep, values, far, size, n_far), between sets of which one is far at least.
+
+    Each pair of blocks with far sets is a task's unit. Links are reduced as in leaf_links.
+    """
+    rows = block_pairs(rows)
     kind = rows.schema["rep"].dataType.simpleString()
 
     def compare(unit: pd.DataFrame) -> pd.DataFrame:

@@ -171,3 +171,20 @@ def test_minimisers_cover_every_window():
     seeds = np.random.default_rng(1).integers(0, 50, 500).astype(np.uint64)
     at = suffix_dedup.minimisers(seeds, 9)
     assert all(any(k <= p < k + 9 for p in at) for k in range(500 - 8))
+
+
+@pytest.mark.parametrize("size, n_far", [(3_949, 3_948), (4_096, 4_096), (4_500, 3_700), (40_000, 400)])
+def test_rows_of_pairs_of_blocks_do_not_grow_with_the_square_of_a_node(spark, size, n_far):
+    assert size * n_far <= jaccard_join.FINISH**2
+    rows = spark.range(size).selectExpr("7L path", "id rep", f"id < {n_far} far", f"{size}L size", f"{n_far}L n_far", "binary('') values")
+    dealt = jaccard_join.block_pairs(rows)
+    assert size <= dealt.count() <= (size if size <= jaccard_join.FINISH else 2.5 * size)
+    blocks = {(r.rep, r.own) for r in dealt.select("rep", "own").distinct().collect()}
+    assert len(blocks) == size
+    if size > jaccard_join.FINISH:  # every far set meets every set
+        units = dealt.groupBy("i", "j").count().collect()
+        n_own = {}
+        for _, own in blocks:
+            n_own[own] = n_own.get(own, 0) + 1
+        far_own = {r.own for r in dealt.filter("far").select("own").distinct().collect()}
+        assert {(u.i, u.j) for u in units} >= {(min(a, b), max(a, b)) for a in far_own for b in n_own}
