@@ -18,7 +18,8 @@ DOUBLE_QUOTES = "\"“”„‟＂"
 REMOVED_QUOTES = "\"“”‘’«»„‟"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 ZERO_WIDTH = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{FEFF}]"
-SPACE = r"[ \t\n\x0B\f\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# characters below U+0100 one by one, which Java tells by one look at a table, and the others behind one test of their range
+SPACE = r"[ \t\n\x0B\f\r\x1C\x1D\x1E\x1F\x{85}\x{A0}[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]]"
 CLOSING_PUNCTUATION = r"[,.;:!?%…)\]}»”’]"
 OPENING_PUNCTUATION = r"[(\[{«“‘]"
 SENTENCE_END = "。！？!?…；;."
@@ -43,6 +44,13 @@ def char_count(text: Column, chars: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
 
 
+def any_of(chars: str) -> str:
+    """Expression for any of some characters. Spark's translate makes a string of every character that it reads; where none or few match, an expression is faster."""
+    near, far = [f"\\x{{{ord(c):X}}}" for c in chars if c < "Ā"], sorted(c for c in chars if c >= "Ā")
+    told = "".join(f"\\x{{{ord(c):X}}}" for c in far)
+    return "[" + "".join(near) + (f"[\\x{{{ord(far[0]):X}}}-\\x{{{ord(far[-1]):X}}}&&[{told}]]" if far else "") + "]"
+
+
 def strip(text: Column) -> Column:
     """Text without white space of any kind at both ends."""
     return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
@@ -62,17 +70,18 @@ def restore_newlines(text: Column) -> tuple[Column, Column]:
 
 def normalize_spacing(text: Column) -> Column:
     """One space for runs, none before closing or after opening punctuation or at line ends, one blank line at most."""
-    out = F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\r ", "\n ")
+    out = text
+    for part, by in (("\r\n", "\n"), ("\r", "\n"), ("\u00a0", " ")):
+        out = F.replace(out, F.lit(part), F.lit(by))
     for pattern, by in (
         (r"[ \t\x{A0}\x{3000}]{2,}", " "),
         (rf"{SPACE}+({CLOSING_PUNCTUATION})", "$1"),
         (rf"({OPENING_PUNCTUATION}){SPACE}+", "$1"),
         (r"[ \t\x{3000}]+(?=\n|\z)", ""),
         (r"\n{3,}", "\n\n"),
-        (r"\A\n+|\n+\z", ""),
     ):
         out = F.regexp_replace(out, pattern, by)
-    return out
+    return F.btrim(out, F.lit("\n"))
 
 
 def _lacks_ending(line: Column) -> Column:
@@ -83,12 +92,25 @@ def _lacks_ending(line: Column) -> Column:
     return ~at_once & (F.length(body) > 1) & ~closed & line.rlike(PROSE)
 
 
+def ended_lines(text: Column) -> Column:
+    """For each line its text with a period, where it is prose that ends without punctuation; else null."""
+    trimmed = lambda x: F.regexp_replace(x, rf"{SPACE}+\z", "")
+    return F.transform(F.split(text, "\n", -1), lambda x: F.when(_lacks_ending(x), F.concat(trimmed(x), F.lit("."))))
+
+
+def with_ended(text: Column, ended: Column) -> Column:
+    """text with its ended_lines put in."""
+    return F.array_join(F.zip_with(F.split(text, "\n", -1), ended, lambda x, e: F.coalesce(e, x)), "\n")
+
+
+def ended_count(ended: Column) -> Column:
+    return F.size(F.filter(ended, lambda x: x.isNotNull())).cast("long")
+
+
 def end_sentences(text: Column) -> tuple[Column, Column]:
     """A period after prose lines that end without punctuation; and how many."""
-    lines = F.split(text, "\n", -1)
-    trimmed = lambda x: F.regexp_replace(x, rf"{SPACE}+\z", "")
-    done = F.transform(lines, lambda x: F.when(_lacks_ending(x), F.concat(trimmed(x), F.lit("."))).otherwise(x))
-    return F.array_join(done, "\n"), F.size(F.filter(lines, _lacks_ending)).cast("long")
+    ended = ended_lines(text)
+    return with_ended(text, ended), ended_count(ended)
 
 
 def bracket_pairs(pairs: Sequence[str]) -> list[str]:

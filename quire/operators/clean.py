@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from quire.functions import boundaries as B
 from quire.functions import expressions as X
-from quire.functions.text import BRACKET_PAIRS, CONTROL, HTML_BLOCK_TAG, HTML_COMMENT, HTML_TAG, REMOVED_QUOTES, ZERO_WIDTH, bracket_pairs, char_count, count_of, end_sentences, normalize_spacing, pair_pattern
+from quire.functions.text import BRACKET_PAIRS, CONTROL, HTML_BLOCK_TAG, HTML_COMMENT, HTML_TAG, REMOVED_QUOTES, ZERO_WIDTH, any_of, bracket_pairs, char_count, count_of, ended_count, ended_lines, normalize_spacing, pair_pattern, with_ended
 from quire.session import in_batches
 
 # Words for symbols.
@@ -81,8 +81,9 @@ class _Chain:
     """The text column of a table, step by step, and its counters."""
 
     def __init__(self, rows: DataFrame, text_col: str) -> None:
-        self.rows, self.text = in_batches(rows).withColumn(text_col, F.coalesce(F.col(text_col), F.lit(""))), text_col
+        self.rows, self.text = in_batches(rows), text_col
         self.counters: list[str] = []
+        self.step(F.coalesce(self.col(), F.lit("")))  # what makes the text is run once, not for the first counts and the first step
 
     def col(self) -> Column:
         return F.col(self.text)
@@ -104,6 +105,13 @@ class _Chain:
             self.add(name, count)
         self.rows = self.rows.withColumn(self.text, F.explode(F.array(new)))
 
+    def shrink(self, new: Column, name: str, by: int = 1) -> None:
+        """The new text, and a count of changes of which each takes away so many characters (adds them, if less than 0): told by the lengths, without a search of its own."""
+        self.rows = self.rows.withColumn("_was", F.length(self.col()))
+        self.step(new)
+        self.add(name, F.floor((F.col("_was") - F.length(self.col())) / by))
+        self.rows = self.rows.drop("_was")
+
     def sub(self, pattern: str, by: str, name: str = "", needs: str = "") -> None:
         """Replace a pattern; needs: a literal without which nothing matches, looked for first."""
         text, lit = self.col(), F.lit(pattern)
@@ -122,10 +130,9 @@ def clean(rows: DataFrame, options: CleanOptions = CleanOptions(), *, text_col:
     c = _Chain(rows, text_col)
     every = ("control_chars", "zero_width", "html_tags", "html_entities", "bracket_pairs_removed", "quotes_removed", "symbols_replaced", "custom_rule_hits", "blank_lines_collapsed", "periods_added")
     c.add("before_chars", F.length(c.col()))
-    if options.control:
-        c.sub(CONTROL, "", "control_chars")
-    if options.zero_width:
-        c.sub(ZERO_WIDTH, "", "zero_width")
+    for on, pattern, name in ((options.control, CONTROL, "control_chars"), (options.zero_width, ZERO_WIDTH, "zero_width")):
+        if on:
+            c.shrink(F.regexp_replace(c.col(), pattern, ""), name)
     if options.html:
         for pattern, by in ((HTML_COMMENT, ""), (HTML_BLOCK_TAG, "\n"), (HTML_TAG, "")):
             c.sub(pattern, by, "html_tags", "<")
@@ -142,16 +149,19 @@ def clean(rows: DataFrame, options: CleanOptions = CleanOptions(), *, text_col:
         c.add("bracket_pairs_removed", F.floor(F.col("brackets_removed") / 2))
     elif options.brackets == "strip":
         for pair in bracket_pairs(options.bracket_pairs):
-            c.sub(pair_pattern(pair), "$1", "bracket_pairs_removed", pair[0])
+            c.shrink(F.when(F.contains(c.col(), F.lit(pair[0])), F.regexp_replace(c.col(), pair_pattern(pair), "$1")).otherwise(c.col()), "bracket_pairs_removed", 2)
         c.add("brackets_removed", 2 * F.col("bracket_pairs_removed"))
     else:
         c.add("brackets_removed", F.lit(0))
     if options.quotes != "keep":
         chars = options.quote_chars or REMOVED_QUOTES
-        c.step(F.translate(c.col(), chars, ""), "quotes_removed", char_count(c.col(), chars))
+        c.shrink(F.regexp_replace(c.col(), any_of(chars), ""), "quotes_removed")
     for symbol, word in sorted((SYMBOL_WORDS if options.symbols is None else options.symbols).items(), key=lambda kv: -len(kv[0])):
-        if symbol:
-            c.step(F.replace(c.col(), F.lit(symbol), F.lit(word)), "symbols_replaced", count_of(c.col(), symbol))
+        new = F.replace(c.col(), F.lit(symbol), F.lit(word))
+        if symbol and len(symbol) != len(word):
+            c.shrink(new, "symbols_replaced", len(symbol) - len(word))
+        elif symbol:
+            c.step(new, "symbols_replaced", count_of(c.col(), symbol))
     for regex, run in groupby((r for r in options.rules if r.pattern and not r.problem()), key=lambda r: r.regex):
         if regex:
             c.rows = c.rows.withColumn("_ruled", X.replaced(c.col(), [(r.pattern, r.replacement) for r in run]))
@@ -170,8 +180,9 @@ def clean(rows: DataFrame, options: CleanOptions = CleanOptions(), *, text_col:
         lines = F.filter(F.split(c.col(), "\n", -1), lambda x: x.rlike(r"[^ \t\n\x0B\f\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"))
         c.step(F.array_join(lines, "\n"))
     if options.endings:
-        new, count = end_sentences(c.col())
-        c.step(new, "periods_added", count)
+        c.rows = c.rows.withColumn("_ended", F.explode(F.array(ended_lines(c.col()))))
+        c.step(with_ended(c.col(), F.col("_ended")), "periods_added", ended_count(F.col("_ended")))
+        c.rows = c.rows.drop("_ended")
     c.add("after_chars", F.length(c.col()))
     c.add("lost_chars", F.col("before_chars") - F.col("after_chars"))
     for name in every:

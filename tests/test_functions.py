@@ -119,3 +119,22 @@ def test_json(spark):
     assert [r["is_json"] for r in got] == [True] * 4 + [False] * 3 + [True]
     first = unwrap_json(rows, prefer_translation=False, headers=False).first()
     assert first["text"] == "a\n\nc" and {(a["key"], a["action"]) for a in first["artifacts"]} == {("text", "used"), ("translated", "skipped")}
+
+
+def test_cleaning_reads_a_text_once_for_each_step(spark):
+    import contextlib
+    import io
+
+    rows = spark.createDataFrame([(1, "a b\x1c ,c .\r\n\r\n\r\n“x” ‘y’ «z»„q‟ ((a)) 5 & 6 ＆ 100%\n\nend 　"), (2, None), (3, ""), (4, "\n\n")], "id long, text string")
+    symbols = {"&": " và ", "%": "p", "100": "c"}  # of which one word is as long as its symbol
+    made = clean.clean(rows, clean.CleanOptions(symbols=symbols, endings=True))
+    got = {r.id: r for r in made.collect()}
+    assert got[1].text == "a b,c.\n\nx y zq (a) 5 và 6 ＆ cp.\n\nend."
+    assert (got[1].control_chars, got[1].quotes_removed, got[1].bracket_pairs_removed, got[1].symbols_replaced, got[1].periods_added) == (1, 4, 3, 3, 2)
+    assert all(got[i].text == "" and got[i].before_chars == (2 if i == 4 else 0) for i in (2, 3, 4))
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        made.explain()
+    assert "translate(" not in plan.getvalue()
+    for chars in (text.REMOVED_QUOTES, "\"'", "“", "\\]^-[", "😀a"):
+        own = f"x{chars}y[]^-z😀“"
+        assert spark.range(1).select(F.regexp_replace(F.lit(own), text.any_of(chars), "")).first()[0] == "".join(c for c in own if c not in chars)
