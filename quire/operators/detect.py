@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from quire.functions import expressions as X
 from quire.functions.numerals import NUMBER_TOKEN, clean_header, clean_header_count, format_header, parse_number
 from quire.functions.text import HAN, LATIN, char_count, end_sentences, language_of, normalize_spacing, quotes_to_single, restore_newlines, strip
+from quire.session import persist_table
 
 # Prefixes, units, decorations and separators of headers.
 DECORATION = r"[ \t\n\r\f\x0B\x{A0}\x{3000}>»\-–—*#【\[（\(★\]】）\)〔〕《》〈〉「」『』]"
@@ -391,7 +392,9 @@ def sequence_report(found: DataFrame, key: str = "source", *, missing: int = 40,
 
     How many numbers are missing and the least of them, how many neighbours aren't consecutive
     and the first of these (source_line, previous, number, kind), at most so many of each.
+    The numbers are written as a table first, so that texts are searched once and not for each part.
     """
+    found = persist_table(found.select(key, "source_line", "number"), "numbers")
     gaps = sequence_gaps(found, key)
     least = first_missing(gaps, missing, key).groupBy(key).agg(F.array_sort(F.collect_list("number")).alias("first_missing"))
     holes = gaps.groupBy(key).agg(F.sum("missing").alias("missing")).join(least, key)
