@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from quire.operators import detect
 from quire.plans.stimulus import NOVELS_SQL, novels
 from quire.plans.text_queries import ENDED_LINES, LACKS_ENDING, SPACED
+from quire.session import persist_table
 
 # The rules once more, in DuckDB's dialect and for ASCII digits only.
 _DECO = r"[ \t\n\r\f\x0B\x{A0}\x{3000}>»\-–—*#【\[（\(★\]】）\)〔〕《》〈〉「」『』]"
@@ -227,10 +228,10 @@ def exact_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def numeric_starts_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts first, first + 10, ... up to the largest number that have no heading."""
-    spans = _spans(spark, sf_dir)
-    ends = spans.groupBy("source").agg(F.min("number").alias("low"), F.max("number").alias("high"))
+    there = persist_table(_spans(spark, sf_dir).select("source", "number").distinct(), "numbers")  # read twice, found once
+    ends = there.groupBy("source").agg(F.min("number").alias("low"), F.max("number").alias("high"))
     starts = ends.select("source", F.explode(F.sequence("low", "high", F.lit(10).cast("long"))).alias("number"))
-    return starts.join(spans.select("source", "number").distinct(), ["source", "number"], "left_anti")
+    return starts.join(there, ["source", "number"], "left_anti")
 
 
 def expected_count(spark: SparkSession, sf_dir: str) -> DataFrame:

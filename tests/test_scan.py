@@ -142,3 +142,16 @@ def test_one_huge_number_changes_its_own_row_only(spark):
     assert report["far"].first_missing == [3, 4, 5] and report["far"].missing == 99999999996
     assert [tuple(b) for b in report["far"].first_breaks] == [(4, 2, 99999999999, "gap")]
     assert detect.analyze_grouping(spans, 2).select(detect.listed_starts(F.col("missing_starts"), 2, 4).alias("m")).filter("size(m) = 4").first().m == [3, 5, 7, 9]
+
+
+def test_reports_on_numbers_search_the_texts_once(spark, tmp_path):
+    from quire.plans import registry
+
+    texts = spark.createDataFrame([("a", "Chương 1\nx\nChương 3\nx\nChương 2\nx")], "source string, text string")
+    texts.write.parquet(f"{tmp_path}/texts")
+    heads = detect.headers(spark.read.parquet(f"{tmp_path}/texts")).withColumnRenamed("line_index", "source_line")
+    report = detect.sequence_report(heads.withColumn("number", F.col("number") * 2))
+    assert not [f for f in report.inputFiles() if "/texts/" in f]
+    assert [(r.missing, r.first_missing, r.breaks) for r in report.collect()] == [(2, [3, 5], 2)]
+    starts = registry.queries()["numeric_starts_missing"](spark, "/root/testdata/sf0.001")
+    assert not [f for f in starts.inputFiles() if "documents" in f]
