@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import pairwise
 
 from pyspark.sql import DataFrame
@@ -49,7 +48,7 @@ class _Words(dict):
 class ForcedBoundaryBPE:
     """Encoder and decoder for a word-level BPE file whose words end in a suffix."""
 
-    def __init__(self, path: str, limit: int = 120_000) -> None:
+    def __init__(self, path: str, limit: int = 60_000) -> None:
         import regex
         from tokenizers import Regex, Tokenizer, pre_tokenizers
 
@@ -169,20 +168,15 @@ class ForcedBoundaryBPE:
         return " ".join(self.token[i] for i in ids if i in self.token)
 
 
-@lru_cache(maxsize=1)
-def encoder(vocabulary: str) -> ForcedBoundaryBPE:
-    """The encoder of a file, with its tables: one a worker, for all tasks that it runs."""
-    return ForcedBoundaryBPE(vocabulary)
-
-
 def _batches(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, schema: str, make) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        bpe = None  # its tables go with the task: workers that are used again would hold them beside what comes next
         for batch in batches:
-            bpe = encoder(vocabulary)
+            bpe = bpe or ForcedBoundaryBPE(vocabulary)
             columns = make(bpe, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns.values()], ["doc_id", *columns])
 
@@ -229,8 +223,9 @@ def decode_ids(rows: DataFrame, vocabulary: str, *, id_col: str = "doc_id", ids_
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        bpe = None
         for batch in batches:
-            bpe = encoder(vocabulary)
+            bpe = bpe or ForcedBoundaryBPE(vocabulary)
             out = [bpe.decode(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "decoded"])
 
