@@ -1,6 +1,7 @@
 """Token counts and BPE against the tokenizers library."""
 
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -90,3 +91,44 @@ def test_words_met_again_stay_when_the_table_is_full(monkeypatch):
     text = " ".join(f"again {w}" for w in fuzz(40, 8) + ["abc", "def", "İx", "a\x1cb", "\x0b"] * 3)
     assert mine.encode(text) == library("word_bpe_49k.json").encode(text, add_special_tokens=False).ids
     assert asked.count("again") == 1
+
+
+def odd_words(n, seed, longest=30):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéßñ中한") for _ in range(rng.randint(1, longest))) for _ in range(n)]
+
+
+def test_new_words_are_merged_side_by_side(monkeypatch):
+    mine, tok = bpe.ForcedBoundaryBPE(tokenizer_path("word_bpe_49k.json"), limit=500), library("word_bpe_49k.json")
+    alone, merge, encode_word = [], mine.merge, mine.encode_word
+    monkeypatch.setattr(mine, "merge", lambda parts: alone.append(parts) or merge(parts))
+    monkeypatch.setattr(mine, "encode_word", lambda word: alone.append(word) or encode_word(word))
+    monkeypatch.setattr(bpe, "GROUP", 20_000)
+    words = odd_words(6000, 9)
+    every = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)] + fuzz(500, 10) + [" ".join(odd_words(5, 11, 200) + words[:900])]
+    got = list(mine.encode_all(every))
+    assert len(alone) < 600  # those longer than 64, and of few new words
+    for t, (ids, decoded) in zip(every, got, strict=True):
+        told = tok.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == told
+        assert decoded == tok.decode(told, skip_special_tokens=False)
+
+
+def test_words_side_by_side_equal_words_alone_where_the_vocabulary_lacks_symbols(tmp_path):
+    with open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    for t in ("e", "q</w>", "th", "ing</w>", "er"):
+        del spec["model"]["vocab"][t]
+    path = tmp_path / "lacking.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    mine = bpe.ForcedBoundaryBPE(str(path))
+    words = odd_words(1500, 12) + ["e", "q", "the", "thing", "eeee"] + ["the" * k for k in range(1, 80)]
+    assert list(mine.told_all(words)) == [mine.told(w) for w in words]
+
+
+def test_composed_texts_are_normalised_as_the_library_does():
+    mine, tok = bpe.ForcedBoundaryBPE(tokenizer_path("word_bpe_49k.json")), library("word_bpe_49k.json")
+    every = ["Ça Éte Ñu", "Étȩ", "ΑΣ ΣΑ", "İI ẞ ﬁ", "가각 가", "à̕b", "É\u0085x　y", "Å Å Ω", "_a_b__ É_"]
+    for t, (ids, _) in zip(every, mine.encode_all(every), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert {"É", "Ñ"} <= mine.even and "Σ" not in mine.even
