@@ -114,6 +114,15 @@ def test_new_words_are_merged_side_by_side(monkeypatch):
         assert decoded == tok.decode(told, skip_special_tokens=False)
 
 
+def test_many_new_words_of_a_text_are_not_encoded_one_by_one(monkeypatch):
+    mine = bpe.ForcedBoundaryBPE(tokenizer_path("word_bpe_49k.json"))
+    alone, encode_word = [], mine.encode_word
+    monkeypatch.setattr(mine, "encode_word", lambda word: alone.append(word) or encode_word(word))
+    text = " ".join(odd_words(3000, 13))
+    assert mine.encode(text) == library("word_bpe_49k.json").encode(text, add_special_tokens=False).ids
+    assert len(alone) < 300
+
+
 def test_words_side_by_side_equal_words_alone_where_the_vocabulary_lacks_symbols(tmp_path):
     with open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
         spec = json.load(f)
