@@ -128,7 +128,7 @@ STEPS = {
     "links": "concat(text, ' xem https://a.vn/x....y, rồi gửi a.b@c.org nhé')",
     "joiners": "concat(replace(text, ' a', ' \u200ca'), ' क्\u200dष')",
     "metadata": "concat('chapter_id=5\n', text, '\nsource_url = x y\n', text)",
-    "marks": "concat(replace(text, ' e', '.. . ! ! ?e'), ' 3.14 , v.v. ok')",
+    "marks": "concat(replace(text, ' e', ' .. . ! ! ?e'), ' 3.14 , v.v. ok')",  # after a blank: a word such as TS with a period is an abbreviation, which is held
     "markdown": "concat('# ', replace(text, ' a', ' **b** a'), '\n> q [t](u v) 2 * 3 snake_case_x')",
     "html": "concat(replace(text, ' o', '<br/> <b class=\"x\">o</b>'), ' <test> 1 < 2 <!-- c --> <!-- open')",
     "entities": "concat(text, ' &amp;amp; &eacute; e\u0301 &nosuch; &#65;')",
