@@ -215,7 +215,7 @@ MOJIBAKE = (
     ("utf8-bom", "ï»¿"),
     ("utf8-emoji", r"ðŸ[\x{80}-\x{2FF}]{1,2}"),
 )
-ELLIPSIS = r"(?:\.(?:[ \t]*\.){2,}|…)(?:[ \t]*(?:\.|…))*"
+ELLIPSIS = r"\.(?:[ \t]*\.){2,}(?:[ \t]*[.…])*|…(?:[ \t]*[.…])+"
 HORIZONTAL = r"[^\S\n]{2,}|[^\S\n ]"
 METADATA_LINE = r"(?m)^[ \t]*(?:chapter_id|source_url)\s*=.*$"
 LABELS = {"link": "[đường dẫn]", "mail": "[email]"}
@@ -270,8 +270,8 @@ FIXED = {
     "ellipsis": ELLIPSIS,
     "two_periods": r"(?<!\.)\.[ \t]*\.(?!\.)",
     "repeated": r"[?!](?:[ \t]*[?!])+",
-    "space_before": r"[ \t]+([,.;:!?…%\)\]\}”’»])",
-    "no_space_after": r"[.,!?…:;]+[\"'”’»\)\]\}」』】》〉]*(?=[^\W_]|[“«(\[])",
+    "space_before": r"[ \t][ \t]*(?=[,.;:!?…%\)\]\}”’»])",
+    "no_space_after": r"[.,!?…:;][.,!?…:;]*[\"'”’»\)\]\}」』】》〉]*(?=[^\W_]|[“«(\[])",
     "dash": r"(?m)^ *[-–—] *(?=[^\W\d_]|[\"“])",
     "line_space": r"(?m)^ +| +$",
     "spoken": "(?im)" + B.SPOKEN_HEADING.replace(r"\s", r"[^\S\n]") + ".*$",

@@ -279,3 +279,27 @@ def test_stream_goes_on_where_it_ended(spark, tmp_path):
     spark.createDataFrame([(3, "c")], "k long, v string").write.mode("append").parquet(source)
     ingest.run_available(spark.readStream.schema(rows.schema).parquet(source), state, target)
     assert spark.read.parquet(target).count() == 3
+
+
+def test_steps_run_only_on_what_they_look_for():
+    from quire.functions.sanitizing import Sanitizer, Text
+    from quire.operators.clean import FIXED, LABELS, SanitizeOptions, sanitize_counters
+
+    class Used(dict):
+        def __getitem__(self, name):
+            used.add(name)
+            return super().__getitem__(name)
+
+    used: set[str] = set()
+    options = SanitizeOptions()
+    one = Sanitizer(options, FIXED, {"urls": LABELS["link"], "emails": LABELS["mail"]}, sanitize_counters(options))
+    one.p = Used(one.p)
+    for text, steps in (("Một câu không có dấu\nnữa", set()), ("a, b. C", {"no_space_after"}), ("x • y “z” …", {"bullet", "decoration", "space_before", "ellipsis", "no_space_after"})):
+        used.clear()
+        one(text)
+        assert used - {"detected_other_script_chars", "spoken"} == steps, text  # told by first bytes, which letters share
+    for text, spans in (("ab cd 3.14 ef, gh 5.6. i j", [(6, 10, False), (18, 21, False)]), ("3.14", [(0, 4, False)]), ("a 1.2 3.4 b", [(2, 5, True), (6, 9, False)]), ("word 1.2", [(5, 8, False)])):
+        t = Text(text)
+        t.spans = spans
+        t.join(*t.parted())
+        assert (t.text, t.spans) == (text, spans)
