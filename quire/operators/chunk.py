@@ -114,10 +114,10 @@ def plan_chapters(chapters: DataFrame, key: str = "source", limit: int = SOFT, *
         told = F.when(F.length(head) > clamp(limit), "heading_exceeds_limit")
         first = named.filter(head.rlike(r"[\p{L}\p{N}]")).select(key, "number", "source_line", "chapter_title", "header", F.lit(-1).cast("long").alias("ord"), head.alias("text"), F.length(head).cast("long").alias("chars"), F.lit("paragraph").alias("strategy"), F.lit(False).alias("hard_split"), F.lit("chapter_heading").alias("reason"), F.lit(None).cast("long").alias("visible_lines"), told.alias("error"))
         made = made.unionByName(first)
-    own = W.partitionBy(key, "number", "source_line")
-    made = made.withColumn("part", F.row_number().over(own.orderBy("ord")).cast("long")).withColumn("parts", F.count(F.lit(1)).over(own))
-    ordered = W.partitionBy(key).orderBy("number", "source_line", "part")
-    return made.withColumn("ord", F.row_number().over(ordered).cast("long")).drop("header")
+    own = W.partitionBy(key, "number", "source_line")  # dealt and sorted as the order by key is, which is made first
+    made = made.withColumn("_ord", F.row_number().over(W.partitionBy(key).orderBy("number", "source_line", "ord")).cast("long"))
+    made = made.withColumn("part", F.row_number().over(own.orderBy("_ord")).cast("long")).withColumn("parts", F.count(F.lit(1)).over(own))
+    return made.withColumn("ord", F.col("_ord")).drop("header", "_ord")
 
 
 def chunk_diagnostics(chapters: DataFrame, chunks: DataFrame, key: str = "source", least: int = LEAST) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 
 from quire.functions import expressions as X
 from quire.functions.numerals import NUMBER_TOKEN, clean_header, clean_header_count, format_header, parse_number
-from quire.functions.text import HAN, LATIN, char_count, end_sentences, language_of, normalize_spacing, quotes_to_single, restore_newlines, strip
+from quire.functions.text import HAN, LATIN, SPACE, char_count, end_sentences, language_of, normalize_spacing, quotes_to_single, restore_newlines, strip
 from quire.session import persist_table
 
 # Prefixes, units, decorations and separators of headers.
@@ -417,6 +417,11 @@ def order_breaks(found: DataFrame, key: str = "source") -> DataFrame:
 LINE_BREAK = r"(?<=[\n\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}])|(?<=\r)(?!\n)"
 
 
+_WITHIN = r"[^\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+#: A text with such a line: PREFIXED after white space at the beginning of any of its lines.
+HAS_PREFIXED = rf"(?iu)(?:\A|[\n\x0B\f\r\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}])[{SPACE}&&{_WITHIN}]*+[{DECORATION}&&{_WITHIN}]*+(?:第|{VIETNAMESE}|{ENGLISH})"
+
+
 def physical_lines(texts: DataFrame, key: str = "source") -> DataFrame:
     """key, line_index, physical (the line with its line break), line (without CR and LF at its end), start (in code points), total (of the text)."""
     told = texts.select(key, F.length("text").cast("long").alias("total"), F.posexplode(F.split("text", LINE_BREAK, -1)).alias("line_index", "physical")).filter("length(physical) > 0")
@@ -446,8 +451,10 @@ def heading_spans(texts: DataFrame, key: str = "source", patterns: tuple[HeaderP
     """key, number, heading, start, body_start, end, line: headings with their spans in code points of the untouched text.
 
     A span ends where the next begins, the last with the text. Line breaks are those of LINE_BREAK;
-    line counts from 1.
+    line counts from 1. Texts without a line that begins as a header aren't cut into lines.
     """
+    if set(patterns) <= set(PATTERNS):
+        texts = texts.filter(F.col("text").rlike(HAS_PREFIXED))
     told = physical_lines(texts, key).withColumn("number", F.explode(F.array(heading_number(F.col("line"), patterns)))).filter("number is not null")
     end = F.coalesce(F.lead("start").over(W.partitionBy(key).orderBy("line_index")), F.col("total"))
     return told.select(key, "number", F.col("line").alias("heading"), "start", (F.col("start") + F.length("physical")).alias("body_start"), end.alias("end"), (F.col("line_index") + 1).cast("long").alias("line"))

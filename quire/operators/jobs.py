@@ -128,8 +128,9 @@ def settings_identity(**settings: object) -> str:
 
 def reusable_plans(wanted: DataFrame, saved: DataFrame) -> DataFrame:
     """group_id, plan_id of wanted (group_id, plan_id) whose saved chunks (group_id, plan_id, ord, text, text_sha256) are numbered 1, 2, 3 ... and have the right digests."""
-    own = saved.join(wanted.select("group_id", "plan_id"), ["group_id", "plan_id"], "left_semi")
-    facts = own.groupBy("group_id", "plan_id").agg(F.bool_and(F.sha2("text", 256) == F.col("text_sha256")).alias("fine"), F.count(F.lit(1)).alias("n"), F.countDistinct("ord").alias("different"), F.min("ord").alias("low"), F.max("ord").alias("top"))
+    told = saved.select("group_id", "plan_id", "ord", (F.sha2("text", 256) == F.col("text_sha256")).alias("fine"))  # texts aren't shuffled
+    own = told.join(wanted.select("group_id", "plan_id"), ["group_id", "plan_id"], "left_semi")
+    facts = own.groupBy("group_id", "plan_id").agg(F.bool_and("fine").alias("fine"), F.count(F.lit(1)).alias("n"), F.countDistinct("ord").alias("different"), F.min("ord").alias("low"), F.max("ord").alias("top"))
     return facts.filter("fine and low = 1 and top = n and different = n").select("group_id", "plan_id")
 
 

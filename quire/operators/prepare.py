@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from quire.operators import chunk, clean, jobs
 from quire.session import persist_table
 
+#: Rows of identities that are broadcast, counted first.
+BROADCAST_ROWS = 100_000
 #: Columns of a plan's chunks.
 CHUNK = ("group_id", "plan_id", "ord", "number", "chapter_title", "text", "text_sha256", "reason", "visible_lines")
 
@@ -51,33 +53,48 @@ def identified(groups: DataFrame, options: PrepareOptions = PrepareOptions()) ->
     return groups.withColumn("plan_id", jobs.plan_id(F.col("text_sha256"), F.col("revision"), options.identity()))
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """A written table, broadcast where it has few rows, so that the texts it is joined to stay where they are."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def group_chapters(groups: DataFrame, spans: DataFrame, key: str = "source") -> DataFrame:
-    """group_id, plan_id, number, source_line, header, title, text, chars: the chapters of groups (key, start, end, slice) by their headings' spans, and what stands before the first as number 0 without a header."""
-    part = lambda a, b: F.substring(F.col("slice"), (a - F.col("start") + 1).cast("int"), (b - a).cast("int"))
-    own = spans.select(F.col(key).alias("_key"), "number", "heading", F.col("start").alias("_from"), "body_start", F.col("end").alias("_to"))
-    inside = (F.col(key) == F.col("_key")) & (F.col("_from") >= F.col("start")) & (F.col("_from") < F.col("end"))
-    both = groups.join(own, inside)
-    made = both.select("group_id", "plan_id", "number", F.col("_from").alias("source_line"), F.col("heading").alias("header"), F.lit("").alias("title"), part(F.col("body_start"), F.col("_to")).alias("text"))
-    first = both.groupBy("group_id", "plan_id").agg(F.min("_from").alias("_first"))
-    lead = groups.join(first, ["group_id", "plan_id"], "left").withColumn("_first", F.coalesce("_first", "end"))
-    lead = lead.select("group_id", "plan_id", F.lit(0).cast("long").alias("number"), F.lit(-1).cast("long").alias("source_line"), F.lit("").alias("header"), F.lit("").alias("title"), part(F.col("start"), F.col("_first")).alias("text"))
-    return made.unionByName(lead.filter(F.length(F.trim(F.translate("text", "\r\n\t", "   "))) > 0)).withColumn("chars", F.length("text").cast("long"))
+    """group_id, plan_id, number, source_line, header, title, text, chars: the chapters of groups (key, start, end, slice) by their headings' spans, and what stands before the first as number 0 without a header.
+
+    Headings are gathered by group (there are no more than a slice has lines) before the slices are read, once.
+    """
+    place = ["group_id", "plan_id", key, "start", "end"]
+    own = spans.select(F.col(key).alias("_key"), F.struct(F.col("start").alias("from"), "number", F.col("heading").alias("header"), F.col("body_start").alias("low"), F.col("end").alias("high")).alias("_h"))
+    inside = (F.col(key) == F.col("_key")) & (F.col("_h.from") >= F.col("start")) & (F.col("_h.from") < F.col("end"))
+    found = persist_table(groups.select(*place).distinct().join(own, inside).groupBy(*place).agg(F.sort_array(F.collect_list("_h")).alias("_own")), "headings")
+    both = groups.select(*place, "slice").join(_few(found), place, "left")
+    first = F.coalesce(F.get("_own", F.lit(0))["from"], F.col("end"))
+    lead = F.struct(F.lit(-1).cast("long").alias("from"), F.lit(0).cast("long").alias("number"), F.lit("").alias("header"), F.col("start").alias("low"), first.alias("high"))
+    every = both.select("group_id", "plan_id", "start", "slice", F.explode(F.concat(F.array(lead), F.coalesce("_own", F.array()))).alias("_h"))
+    text = F.substring(F.col("slice"), (F.col("_h.low") - F.col("start") + 1).cast("int"), (F.col("_h.high") - F.col("_h.low")).cast("int"))
+    made = every.select("group_id", "plan_id", F.col("_h.number").alias("number"), F.col("_h.from").alias("source_line"), F.col("_h.header").alias("header"), F.lit("").alias("title"), text.alias("text"))
+    return made.filter((F.col("source_line") >= 0) | F.col("text").rlike(r"[^ \r\n\t]")).withColumn("chars", F.length("text").cast("long"))
+
+
+#: Every character that counts as white space.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def _bare(text: Column) -> Column:
-    return F.regexp_replace(text, r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1C-\x1F]+", "")
+    return F.translate(text, WHITE, "")
 
 
 def cut_groups(chapters: DataFrame, options: PrepareOptions) -> DataFrame:
     """CHUNK, error and lossless of the chapters of groups: prepared, cut, and each chapter's chunks compared with its prepared text."""
     own = chapters.select(F.concat_ws("\u0000", "group_id", "plan_id").alias("_plan"), "number", "source_line", "header", "title", "text", "chars")
     ready = persist_table(clean.prepare_chapters(own, options.cleaning, options.sanitizing).select(*own.columns), "prepared")
-    made = chunk.plan_chapters(ready, "_plan", options.limit, with_header=True, budget=options.budget, abbreviations=tuple(options.sanitizing.abbreviations))
+    made = persist_table(chunk.plan_chapters(ready, "_plan", options.limit, with_header=True, budget=options.budget, abbreviations=tuple(options.sanitizing.abbreviations)), "cut")
     place = ["_plan", "number", "source_line"]
-    joined = made.groupBy(*place).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "").alias("_joined"))  # of one chapter
-    want = ready.filter(F.concat("header", "text").rlike(r"[\p{L}\p{N}]")).select(*place, F.when(F.col("header").rlike(r"[\p{L}\p{N}]"), F.concat("header", "text")).otherwise(F.col("text")).alias("_want"))
-    lost = want.join(joined, place, "left").filter(~F.coalesce(_bare(F.col("_want")) == _bare(F.col("_joined")), F.lit(False))).groupBy("_plan").agg(F.lit(False).alias("lossless"))
-    out = made.join(lost, "_plan", "left").withColumn("lossless", F.coalesce("lossless", F.lit(True)))
+    digest = lambda text: F.sha2(_bare(text), 256)
+    joined = made.groupBy(*place).agg(digest(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "")).alias("_joined"))  # of one chapter
+    want = ready.filter(F.concat("header", "text").rlike(r"[\p{L}\p{N}]")).select(*place, digest(F.when(F.col("header").rlike(r"[\p{L}\p{N}]"), F.concat("header", "text")).otherwise(F.col("text"))).alias("_want"))
+    lost = persist_table(want.join(joined, place, "left").filter(~F.coalesce(F.col("_want") == F.col("_joined"), F.lit(False))).groupBy("_plan").agg(F.lit(False).alias("lossless")), "lost")
+    out = made.join(_few(lost), "_plan", "left").withColumn("lossless", F.coalesce("lossless", F.lit(True)))
     ids = F.split("_plan", "\u0000")
     out = out.withColumn("group_id", ids[0]).withColumn("plan_id", ids[1]).withColumn("text_sha256", F.sha2("text", 256))
     return out.select(*CHUNK, "error", "lossless")
@@ -92,14 +109,14 @@ def prepare(groups: DataFrame, spans: DataFrame, saved: DataFrame | None = None,
     wanted = persist_table(identified(groups, options), "wanted")
     both = ["group_id", "plan_id"]
     ready = persist_table(jobs.reusable_plans(wanted, saved), "reusable") if saved is not None else wanted.select(*both).limit(0)
-    stale = wanted.join(ready, both, "left_anti")
+    stale = wanted.join(_few(ready) if saved is not None else ready, both, "left_anti")
     made = persist_table(cut_groups(group_chapters(stale, spans, key), options), "chunks")
     facts = made.groupBy(*both).agg(F.max("error").alias("error"), F.bool_and("lossless").alias("lossless"))
     problem = F.when(F.col("lossless").isNull(), "no_speakable_text").when(F.col("error").isNotNull(), F.col("error")).when(~F.col("lossless"), "chunks_differ_from_text")
     judged = stale.select(*both).join(facts, both, "left").select(*both, problem.alias("problem"))
     states = ready.select(*both, F.lit("reused").alias("state"), F.lit(None).cast("string").alias("problem"))
     states = persist_table(states.unionByName(judged.select(*both, F.when(F.col("problem").isNull(), "fresh").otherwise("failed").alias("state"), "problem")), "states")
-    fresh = made.join(states.filter("state = 'fresh'"), both, "left_semi").select(*CHUNK)
+    fresh = made.join(_few(states.filter("state = 'failed'")), both, "left_anti").select(*CHUNK)  # a group with chunks is fresh or failed
     every = fresh if saved is None else fresh.unionByName(saved.join(ready, both, "left_semi").select(*CHUNK))
     none = every.select("plan_id", "ord", "text").limit(0) if overrides is None else overrides
     budget = options.budget

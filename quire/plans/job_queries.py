@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quire.operators import detect, jobs, parts, prepare, records
 from quire.plans.record_queries import CHUNKS_SQL, _chunks
 from quire.plans.stimulus import documents
+from quire.session import persist_table
 from quire.sources import sinks
 
 STAGES = ["input", "normalize", "chunk", "speech", "video", "upload"]
@@ -98,7 +99,7 @@ def plan_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which plans are made again: of groups whose saved plan is missing, has another digest or is of another revision."""
     id_ = F.col("doc_id").cast("string")
     groups = documents(spark, sf_dir).select("doc_id", id_.alias("source"), id_.alias("group_id"), F.lit(0).cast("long").alias("start"), F.length("text").cast("long").alias("end"), F.col("text").alias("slice"), F.sha2("text", 256).alias("text_sha256"), (F.col("doc_id") % 3).alias("revision"))
-    spans = detect.heading_spans(groups.select("source", F.col("slice").alias("text")))
+    spans = persist_table(detect.heading_spans(groups.select("source", F.col("slice").alias("text"))), "spans")
     number = F.col("group_id").cast("long")
     saved = prepare.prepare(groups, spans).fresh.filter(number % 4 != 0).withColumn("text", F.when((number % 5 == 2) & (F.col("ord") == 1), F.concat("text", F.lit("x"))).otherwise(F.col("text")))
     now = groups.withColumn("revision", F.when(F.col("doc_id") % 7 == 3, 9).otherwise(F.col("revision")))

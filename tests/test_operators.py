@@ -303,3 +303,24 @@ def test_steps_run_only_on_what_they_look_for():
         t.spans = spans
         t.join(*t.parted())
         assert (t.text, t.spans) == (text, spans)
+
+
+def test_plans_look_for_what_they_need(spark, monkeypatch):
+    """Places after words are looked for only where sentences and clauses won't do, texts are cut into lines only where one begins as a header."""
+    from pyspark.sql import functions as F
+
+    from quire.functions import boundaries
+    from quire.operators import detect
+
+    asked = []
+    blanks = boundaries.Places.blanks
+    monkeypatch.setattr(boundaries.Places, "blanks", lambda self: asked.append(self.text) or blanks(self))
+    assert len(boundaries.plan_chunks("Một câu. Hai câu! " * 200, 700, 2000)) > 4 and not asked
+    assert boundaries.plan_chunks("không dấu chấm " * 150, 700, 2000) and asked
+
+    texts = ["a\nb", "Chương 1\nx", "x\r\n　 ## Chapter 2: y", "x\x1e 【第三章】", "x  hồi 4", "x\x0b>> Part 5\n", "x Chương 6", "\n\n \r\tVol. 7", "", "x\x85Quyển 8 "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "source long, text string")
+    number = detect.heading_number(F.col("line"))
+    wanted = sorted((r["source"], r["number"]) for r in detect.physical_lines(rows).select("source", number.alias("number")).filter("number is not null").collect())
+    got = sorted((r["source"], r["number"]) for r in detect.heading_spans(rows).collect())
+    assert got == wanted and len(got) > 4
